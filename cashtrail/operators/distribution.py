@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BLOCKS = 200                # value blocks of a heavy key
 DIRECT_LIMIT = 50_000       # distinct values a single aggregation buffer may hold
 DAY_S = 86_400
@@ -21,6 +23,35 @@ def count_values(df: DataFrame, keys: list[str], value: str, weight: str | None
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.cast("long").alias("n"))
 
 
+def _over(keys: list[str]):
+    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+
+
+def _heavy_keys(counts: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys with more distinct values than one task should scan; None when there are none.
+
+    ``counts`` must be materialised: this looks at it once.
+    """
+    heavy = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d")).filter(F.col("__d") > DIRECT_LIMIT)
+    return None if heavy.isEmpty() else heavy.drop("__d")
+
+
+def _parts(counts: DataFrame, keys: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """(light rows, heavy rows) of a materialised count table; either may be None."""
+    heavy = _heavy_keys(counts, keys)
+    if heavy is None:
+        return counts, None
+    if not keys:
+        return None, counts
+    return counts.join(heavy, keys, "left_anti"), counts.join(heavy, keys, "left_semi")
+
+
+def _merge(light: DataFrame | None, heavy: DataFrame | None) -> DataFrame:
+    if light is None or heavy is None:
+        return heavy if light is None else light
+    return light.unionByName(heavy)
+
+
 def _with_blocks(counts: DataFrame, keys: list[str], value: str, weight: str = "n") -> DataFrame:
     """Adds an order-preserving ``block`` number and ``before``, the weight in earlier blocks."""
     probs = F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)])
@@ -30,73 +61,51 @@ def _with_blocks(counts: DataFrame, keys: list[str], value: str, weight: str = "
     blocked = joined.withColumn("block", block).drop("__cuts")
     totals = blocked.groupBy(*keys, "block").agg(F.sum(weight).alias("__bn"))
     # at most BLOCKS rows per key
-    order = Window.partitionBy(*keys).orderBy("block") if keys else Window.partitionBy(F.lit(0)).orderBy("block")
-    span = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    totals = (totals.withColumn("before", F.coalesce(F.sum("__bn").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("total", F.sum("__bn").over(span)).drop("__bn"))
+    earlier = _over(keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("before", F.coalesce(F.sum("__bn").over(earlier), F.lit(0))).drop("__bn")
     return blocked.join(totals, keys + ["block"])
 
 
 def cumulative(counts: DataFrame, keys: list[str], value: str, measures: list[str]) -> DataFrame:
     """Running totals of ``measures`` over ``value`` within ``keys``, as ``cum_<measure>`` (inclusive).
 
-    ``counts`` holds one row per (keys, value). Work is split into value blocks, then
-    stitched together with one row per block.
+    ``counts`` holds one row per (keys, value). Heavy keys are split into value blocks that
+    are stitched together with one row per block.
     """
-    blocked = _with_blocks(counts.withColumn("__one", F.lit(1)), keys, value, "__one").drop("__one", "before", "total")
-    part = keys + ["block"]
-    sums = blocked.groupBy(*part).agg(*[F.sum(m).alias(f"__s_{m}") for m in measures])
-    head = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    earlier = head.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*part, *[F.coalesce(F.sum(f"__s_{m}").over(earlier), F.lit(0)).alias(f"__b_{m}") for m in measures])
-    inside = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = blocked.join(sums, part)
-    for m in measures:
-        out = out.withColumn(f"cum_{m}", F.col(f"__b_{m}") + F.sum(m).over(inside))
-    return out.drop("block", *[f"__b_{m}" for m in measures])
-
-
-def _select_ranks(counts: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
-    """``ranks``: keys, slot, rank (0-based). Returns keys, slot, value at that rank."""
-    blocked = _with_blocks(counts, keys, value)
-    edges = blocked.groupBy(*keys, "block", "before").agg(F.sum("n").alias("__bn"))
-    wanted = edges.join(ranks, keys) if keys else edges.join(F.broadcast(ranks), F.lit(True))
-    wanted = (wanted.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("__bn")))
-              .select(*keys, "block", "slot", "rank"))
-    hit_blocks = wanted.select(*keys, "block").distinct()
-    inside = Window.partitionBy(*keys, "block").orderBy(value)
-    ordered = (blocked.join(hit_blocks, keys + ["block"], "left_semi")
-               .withColumn("__end", F.col("before") + F.sum("n").over(inside)))
-    return (ordered.join(wanted, keys + ["block"])
-            .filter((F.col("rank") < F.col("__end")) & (F.col("rank") >= F.col("__end") - F.col("n")))
-            .select(*keys, "slot", F.col(value).alias("at_rank")))
-
-
-def _by_blocks(counts: DataFrame, keys: list[str], value: str, probs: list[float], pick: str) -> DataFrame:
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("__t")).filter(F.col("__t") > 0)
-    slots = []
-    for i, p in enumerate(probs):
-        if pick == "index":
-            at = F.least(F.col("__t") - 1, F.floor(F.lit(p) * F.col("__t")))
-            slots.append(F.struct(F.lit(2 * i).alias("slot"), at.cast("long").alias("rank")))
+    light, heavy = _parts(cut_lineage(counts), keys)
+    if light is not None:
+        w = _over(keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        light = light.withColumns({f"cum_{m}": F.sum(m).over(w) for m in measures})
+    if heavy is not None:
+        blocked = cut_lineage(_with_blocks(heavy.withColumn("__one", F.lit(1)), keys, value, "__one").drop("__one", "before"))
+        part = keys + ["block"]
+        sums = blocked.groupBy(*part).agg(*[F.sum(m).alias(f"__s_{m}") for m in measures])
+        earlier = _over(keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select(*part, *[F.coalesce(F.sum(f"__s_{m}").over(earlier), F.lit(0)).alias(f"__b_{m}") for m in measures])
+        inside = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        heavy = (blocked.join(sums, part).withColumns({f"cum_{m}": F.col(f"__b_{m}") + F.sum(m).over(inside) for m in measures})
+                 .drop("block", *[f"__b_{m}" for m in measures]))
+    return _merge(light, heavy)
+
+
+def _values_at(counts: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
+    """Value at 0-based ranks: keys, slot, at_rank. ``counts`` materialised, ``ranks``: keys, slot, rank."""
+    light, heavy = _parts(counts, keys)
+    found = []
+    for rows, split in ((light, False), (heavy, True)):
+        if rows is None:
+            continue
+        if split:
+            rows = cut_lineage(_with_blocks(rows, keys, value))
+            part, base = keys + ["block"], F.col("before")
         else:
-            pos = F.lit(p) * (F.col("__t") - 1)
-            slots.append(F.struct(F.lit(2 * i).alias("slot"), F.floor(pos).cast("long").alias("rank")))
-            slots.append(F.struct(F.lit(2 * i + 1).alias("slot"), F.ceil(pos).cast("long").alias("rank")))
-    ranks = totals.select(*keys, F.explode(F.array(*slots)).alias("s")).select(*keys, "s.slot", "s.rank")
-    found = _select_ranks(counts, keys, value, ranks)
-    picked = found.groupBy(*keys).agg(*[F.max(F.when(F.col("slot") == s, F.col("at_rank"))).alias(f"__v{s}")
-                                        for s in range(2 * len(probs))])
-    joined = picked.join(totals, keys) if keys else picked.withColumn("__t", totals.scalar())
-    out = []
-    for i, p in enumerate(probs):
-        low = F.col(f"__v{2 * i}").cast("double")
-        if pick == "index":
-            out.append(low)
-        else:
-            pos = F.lit(p) * (F.col("__t") - 1)
-            out.append(low + (F.col(f"__v{2 * i + 1}").cast("double") - low) * (pos - F.floor(pos)))
-    return joined.select(*keys, F.array(*out).alias("q"))
+            part, base = keys, F.lit(0)
+        ends = rows.withColumn("__end", base + F.sum("n").over(_over(part).orderBy(value)))
+        # a few ranks per key
+        hit = ends.join(ranks, keys) if keys else ends.join(F.broadcast(ranks))
+        found.append(hit.filter((F.col("rank") < F.col("__end")) & (F.col("rank") >= F.col("__end") - F.col("n")))
+                     .select(*keys, "slot", F.col(value).alias("at_rank")))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
@@ -104,16 +113,40 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     """Exact quantiles per key as array ``q``.
 
     ``pick='linear'`` interpolates; ``pick='index'`` returns sorted[min(n-1, floor(p*n))].
-    Keys with few distinct values use the built-in aggregate; keys above ``DIRECT_LIMIT``
-    go through value blocks, so no buffer grows with the group.
+    Values are counted once and written out; keys with up to ``DIRECT_LIMIT`` distinct values
+    are finished in one step, larger ones through value blocks, so no buffer grows with a key.
     """
-    counts = count_values(df, keys, value, weight)
-    if not keys or pick == "index":
-        return _by_blocks(counts, keys, value, probs, pick)
-    heavy = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d")).filter(F.col("__d") > DIRECT_LIMIT).select(*keys)
-    light = (counts.join(heavy, keys, "left_anti").groupBy(*keys)
-             .agg(F.percentile(value, F.array(*[F.lit(p) for p in probs]), F.col("n")).alias("q")))
-    return light.unionByName(_by_blocks(counts.join(heavy, keys, "left_semi"), keys, value, probs, pick))
+    counts = cut_lineage(count_values(df, keys, value, weight))
+    light, heavy = _parts(counts, keys)
+    if pick == "linear" and light is not None:
+        p = F.array(*[F.lit(float(v)) for v in probs])
+        light = light.groupBy(*keys).agg(F.percentile(value, p, F.col("n")).alias("q"))
+        light = light if keys else light.filter(F.col("q").isNotNull())
+        if heavy is None:
+            return light
+        return light.unionByName(_picked(heavy, keys, value, probs, pick))
+    return _picked(counts, keys, value, probs, pick)
+
+
+def _picked(counts: DataFrame, keys: list[str], value: str, probs: list[float], pick: str) -> DataFrame:
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("__t")).filter(F.col("__t") > 0)
+    slots = []
+    for i, p in enumerate(probs):
+        pos = F.lit(p) * (F.col("__t") - 1)
+        low = F.least(F.col("__t") - 1, F.floor(F.lit(p) * F.col("__t"))) if pick == "index" else F.floor(pos)
+        slots.append(F.struct(F.lit(2 * i).alias("slot"), low.cast("long").alias("rank")))
+        if pick == "linear":
+            slots.append(F.struct(F.lit(2 * i + 1).alias("slot"), F.ceil(pos).cast("long").alias("rank")))
+    ranks = totals.select(*keys, "__t", F.explode(F.array(*slots)).alias("s")).select(*keys, "s.slot", "s.rank")
+    found = _values_at(counts, keys, value, ranks)
+    picked = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("slot", F.col("at_rank").cast("double")))).alias("__v"))
+    joined = picked.join(totals, keys) if keys else picked.filter(F.size("__v") > 0).withColumn("__t", totals.scalar())
+    out = []
+    for i, p in enumerate(probs):
+        low = F.col("__v")[2 * i]
+        pos = F.lit(p) * (F.col("__t") - 1)
+        out.append(low if pick == "index" else low + (F.col("__v")[2 * i + 1] - low) * (pos - F.floor(pos)))
+    return joined.select(*keys, F.array(*out).alias("q"))
 
 
 def scalar_quantile(df: DataFrame, value: str, p: float, pick: str = "index") -> Column:
@@ -122,10 +155,13 @@ def scalar_quantile(df: DataFrame, value: str, p: float, pick: str = "index") ->
 
 
 def value_at_rank(df: DataFrame, value: str, rank: Column) -> Column:
-    """The value at a 0-based rank over the whole table, as a scalar subquery; NULL when out of range."""
-    counts = count_values(df, [], value)
+    """The value at a 0-based rank over the whole table, as a scalar subquery; NULL when out of range.
+
+    ``rank`` may use ``t``, the number of rows.
+    """
+    counts = cut_lineage(count_values(df, [], value))
     ranks = counts.groupBy().agg(F.sum("n").alias("t")).select(F.lit(0).alias("slot"), rank.cast("long").alias("rank"))
-    return _select_ranks(counts, [], value, ranks).agg(F.max("at_rank")).scalar()
+    return _values_at(counts, [], value, ranks).agg(F.max("at_rank")).scalar()
 
 
 def forward_counts(df: DataFrame, keys: list[str], ts: str, width_s: int) -> DataFrame:
@@ -169,11 +205,9 @@ def next_event(marks: DataFrame, keys: list[str], ts: str, event: str, out: str,
 
 def number_rows(df: DataFrame, order: str, out: str, start: Column | int = 1) -> DataFrame:
     """Consecutive numbers over a unique numeric column without a single global sort."""
-    counts = df.select(order).withColumn("n", F.lit(1))
-    blocked = _with_blocks(counts, [], order).select(order, "block", "before")
-    w = Window.partitionBy("block").orderBy(order)
-    numbered = blocked.withColumn(out, F.col("before") + F.row_number().over(w) - 1 + start).select(order, out)
-    return df.join(numbered, order)
+    ones = df.select(order).withColumn("n", F.lit(1))
+    numbers = cumulative(ones, [], order, ["n"]).select(order, (F.col("cum_n") - 1 + start).alias(out))
+    return df.join(numbers, order)
 
 
 def first_rows(df: DataFrame, keys: list[str], by: Column | str, keep: list[str], order: str = "min") -> DataFrame:
