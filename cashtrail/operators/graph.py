@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,19 +194,17 @@ def sage_layer(vectors: DataFrame, edges: DataFrame, weights: dict, both_ways: b
     zero = F.array(*[F.lit(0.0)] * width)
     joined = vectors.join(near, "account_id", "left").withColumn("nx", F.coalesce("nx", zero))
 
-    def matrix(rows):
-        return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in rows])
+    near_w, self_w = np.array(weights["near"]).T, np.array(weights["self"]).T
+    bias, scale, shift = (np.array(weights[c]) for c in ("bias", "scale", "shift"))
 
-    def dot(row, column):
-        return F.aggregate(F.zip_with(row, F.col(column), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    @F.pandas_udf("array<double>")
+    def layer(x: pd.Series, nx: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        out = np.vstack(x.to_list()) @ self_w + np.vstack(nx.to_list()) @ near_w + bias
+        return pd.Series(list(np.maximum(0.0, out * scale + shift)))
 
-    unit = F.struct
-    table = F.arrays_zip(matrix(weights["self"]).alias("ws"), matrix(weights["near"]).alias("wn"),
-                         F.array(*[F.lit(float(v)) for v in weights["bias"]]).alias("b"),
-                         F.array(*[F.lit(float(v)) for v in weights["scale"]]).alias("g"),
-                         F.array(*[F.lit(float(v)) for v in weights["shift"]]).alias("h"))
-    layer = F.transform(table, lambda r: F.greatest(F.lit(0.0), (dot(r["ws"], "x") + dot(r["wn"], "nx") + r["b"]) * r["g"] + r["h"]))
-    return joined.select("account_id", layer.alias("x"))
+    return joined.select("account_id", layer("x", "nx").alias("x"))
 
 
 def sage_embed(vectors: DataFrame, edges: DataFrame, layers: list[dict], both_ways: bool = True) -> DataFrame:
