@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import cut_lineage
 from . import spatial
 
 OPERATING_K, ZONE_MASS, MIN_ZONE_KM = 5, 0.80, 0.05
@@ -62,16 +63,21 @@ def search_zone(scored: DataFrame, group: list[str], directory: DataFrame, mass:
     """
     before = F.coalesce(F.sum("p").over(Window.partitionBy(*group).orderBy("choice_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     kept = scored.withColumn("__before", before).filter((F.col("__before") < mass) | (F.col("choice_rank") == 1))
-    w = F.col("p")
-    centre = kept.groupBy(*group).agg((F.sum(w * F.col("plat")) / F.sum(w)).alias("zone_lat"), (F.sum(w * F.col("plon")) / F.sum(w)).alias("zone_lon"),
-                                      F.count(F.lit(1)).alias("candidates_covered"), F.sum("p").alias("probability_mass"))
-    radius = (kept.join(centre, group).groupBy(*group)
-              .agg(F.max(geo.haversine_km("zone_lat", "zone_lon", "plat", "plon")).alias("zone_radius_km")))
-    zones = centre.join(radius, group)
-    circles = zones.select(F.col("zone_lat").alias("lat"), F.col("zone_lon").alias("lon"), F.greatest("zone_radius_km", F.lit(MIN_ZONE_KM)).alias("km"))
+    # K rows at most, so a group folds into one short array
+    sets = kept.groupBy(*group).agg(F.collect_list(F.struct("plat", "plon", "p")).alias("m"))
+
+    def total(value):
+        return F.aggregate(F.transform("m", value), F.lit(0.0), lambda acc, v: acc + v)
+
+    zones = (sets.withColumn("probability_mass", total(lambda r: r["p"])).withColumn("candidates_covered", F.size("m").cast("long"))
+             .withColumn("zone_lat", total(lambda r: r["p"] * r["plat"]) / F.col("probability_mass"))
+             .withColumn("zone_lon", total(lambda r: r["p"] * r["plon"]) / F.col("probability_mass"))
+             .withColumn("zone_radius_km", F.array_max(F.transform("m", lambda r: geo.haversine_km("zone_lat", "zone_lon", r["plat"], r["plon"]))))
+             .withColumn("km", F.greatest("zone_radius_km", F.lit(MIN_ZONE_KM))).drop("m"))
+    zones = cut_lineage(zones)
+    circles = zones.select(F.col("zone_lat").alias("lat"), F.col("zone_lon").alias("lon"), "km")
     inside = spatial.count_in_circles(circles, directory, "zone_atm_count")
-    return (zones.withColumn("km", F.greatest("zone_radius_km", F.lit(MIN_ZONE_KM)))
-            .join(inside.select(F.col("lat").alias("zone_lat"), F.col("lon").alias("zone_lon"), "km", "zone_atm_count"), ["zone_lat", "zone_lon", "km"], "left").drop("km"))
+    return zones.join(inside.select(F.col("lat").alias("zone_lat"), F.col("lon").alias("zone_lon"), "km", "zone_atm_count"), ["zone_lat", "zone_lon", "km"], "left").drop("km")
 
 
 def case_terminals(attached: DataFrame) -> DataFrame:

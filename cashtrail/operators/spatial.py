@@ -61,9 +61,11 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int = CANDIDATES, point_
     rank_spot = Window.partitionBy("plat", "plon").orderBy(point_id)
     spots = (finite_points(points).select(F.col(point_id), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
              .withColumn("__r", F.row_number().over(rank_spot)).filter(F.col("__r") <= k).drop("__r"))
+    # written once: the steps below each look at it again
+    spots = cut_lineage(spots)
     spot_counts = spots.groupBy(F.col("plat").alias("lat"), F.col("plon").alias("lon")).agg(F.count(F.lit(1)).alias("n"))
-    pyramid = _pyramid(spot_counts)
-    places = places_of(finite_points(queries))
+    pyramid = cut_lineage(_pyramid(spot_counts))
+    places = cut_lineage(places_of(finite_points(queries)))
 
     # 1. own cell, finest level with k points
     levels = F.explode(F.array(*[F.lit(v) for v in LEVELS])).alias("level")
@@ -75,6 +77,7 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int = CANDIDATES, point_
     bounded = (places.join(level, ["lat", "lon"], "left")
                .withColumn("bound_km", F.when(F.col("level").isNull(), F.lit(geo.EARTH_KM * 3.1415927))
                            .otherwise(geo.KM_PER_DEGREE * 1.4142136 * 1.0001 * _size(F.col("level")))))
+    bounded = cut_lineage(bounded)
 
     # 2. tighten with cells two levels finer
     fine = F.greatest(F.coalesce("level", F.lit(top)) - 2, F.lit(0))
@@ -90,6 +93,7 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int = CANDIDATES, point_
              .groupBy("lat", "lon").agg(F.min("reach").alias("tight_km")))
     search = (bounded.join(tight, ["lat", "lon"], "left")
               .withColumn("km", F.coalesce(F.least("bound_km", "tight_km"), "bound_km")))
+    search = cut_lineage(search)
 
     # 3. fetch at the level whose cell is about the size of the search circle
     fetch_level = F.least(F.lit(top), F.greatest(F.lit(0), F.ceil(F.log2(F.col("km") / geo.KM_PER_DEGREE / FINEST)))).cast("int")
@@ -147,8 +151,8 @@ def build_cells(points: DataFrame, radius_km: float = CELL_RADIUS_KM) -> DataFra
     # the first point of a place decides for all points of that place
     places = (rows.groupBy("lat", "lon").agg(F.min(order).alias("ord"))
               .withColumn("gx", geo.grid_index("lat", size)).withColumn("gy", geo.grid_index("lon", size)))
-    undecided = cut_lineage(places)
-    leaders = undecided.limit(0).select("lat", "lon", "ord")
+    places = cut_lineage(places)
+    undecided, leaders = places, None
 
     def around(df):
         return (df.select(F.col("lat").alias("llat"), F.col("lon").alias("llon"), F.col("ord").alias("lord"),
@@ -156,14 +160,20 @@ def build_cells(points: DataFrame, radius_km: float = CELL_RADIUS_KM) -> DataFra
                 .select("llat", "llon", "lord", "c.gx", "c.gy"))
 
     in_range = geo.haversine_km("lat", "lon", "llat", "llon") <= radius_km
-    while undecided.take(1):
+    while not undecided.isEmpty():
         contenders = (undecided.groupBy("gx", "gy").agg(F.min_by(F.struct("lat", "lon", "ord"), F.col("ord")).alias("s")).select("s.*"))
         beaten = (undecided.join(around(contenders), ["gx", "gy"])
                   .filter((F.col("ord") < F.col("lord")) & in_range).select(F.col("lord").alias("ord")).distinct())
-        fresh = cut_lineage(contenders.join(beaten, "ord", "left_anti").select("lat", "lon", "ord"))
-        covered = undecided.join(around(fresh), ["gx", "gy"]).filter(in_range).select("ord").distinct()
-        undecided = cut_lineage(undecided.join(covered, "ord", "left_anti").select("lat", "lon", "ord", "gx", "gy"))
-        leaders = leaders.unionByName(fresh)
+        fresh = contenders.join(beaten, "ord", "left_anti")
+        settled = (undecided.join(around(fresh), ["gx", "gy"]).filter(in_range)
+                   .groupBy("ord").agg(F.max(F.col("ord") == F.col("lord")).alias("leads")))
+        # leads: true = leader, false = in range of one, NULL = still open
+        outcome = cut_lineage(undecided.join(settled, "ord", "left"))
+        won = outcome.filter("leads").select("lat", "lon", "ord")
+        leaders = won if leaders is None else leaders.unionByName(won)
+        undecided = outcome.filter("leads is null").drop("leads")
+    if leaders is None:
+        leaders = places.select("lat", "lon", "ord")
 
     home = (places.join(around(leaders), ["gx", "gy"]).filter(in_range)
             .groupBy("lat", "lon").agg(F.min_by(F.struct("lord", "llat", "llon"), F.col("lord")).alias("h")))
@@ -179,6 +189,11 @@ def _plurality(members: DataFrame, column: str) -> DataFrame:
     return votes.groupBy("leader_id").agg(F.min_by(column, best).alias(column))
 
 
+def _steady(column: str):
+    """Six decimals; the nudge makes half-way means round alike whatever order they were summed in."""
+    return F.round(F.col(column) + 1e-10, 6)
+
+
 def describe_cells(points: DataFrame, membership: DataFrame) -> DataFrame:
     """One row per cell: id by size then seed latitude, centre of members, place names by plurality."""
     members = (points.join(membership, "atm_id")
@@ -186,11 +201,11 @@ def describe_cells(points: DataFrame, membership: DataFrame) -> DataFrame:
     base = members.groupBy("leader_id").agg(
         F.count(F.lit(1)).alias("atm_count"), F.avg("lat").alias("clat"), F.avg("lon").alias("clon"),
         F.first("seed_lat").alias("seed_lat"))
-    base = number_cells(base)
+    base = number_cells(cut_lineage(base))
     for name in ("district", "state", "city"):
         if name in points.columns:
             base = base.join(_plurality(members, name), "leader_id", "left").withColumn(name, F.coalesce(name, F.lit("")))
-    return base.select("cell_id", "leader_id", F.round("clat", 6).alias("lat"), F.round("clon", 6).alias("lon"),
+    return base.select("cell_id", "leader_id", _steady("clat").alias("lat"), _steady("clon").alias("lon"),
                        *[c for c in ("district", "state", "city") if c in points.columns], "atm_count")
 
 
@@ -220,7 +235,8 @@ def count_in_circles(circles: DataFrame, points: DataFrame, out: str) -> DataFra
     pyramid = _pyramid(spots.select(F.col("plat").alias("lat"), F.col("plon").alias("lon"), "n"))
     level = F.floor(F.log2(F.greatest(F.col("km"), F.lit(1e-6)) / geo.KM_PER_DEGREE / 3 / FINEST))
     level = F.least(F.lit(LEVELS[-1]), F.greatest(F.lit(0), level)).cast("int")
-    base = circles.select("lat", "lon", "km").distinct()
+    base = cut_lineage(circles.select("lat", "lon", "km").distinct())
+    spots, pyramid = cut_lineage(spots), cut_lineage(pyramid)
     edge = _size(F.col("level"))
     half_diag = geo.KM_PER_DEGREE * 0.7071068 * 1.0001 * edge
     asks = (base.withColumn("level", level)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timing
+from ..session import cut_lineage
 from . import choice
 from .distribution import scalar_quantile
 
@@ -88,6 +89,8 @@ def forward_surface(rows: DataFrame, cell_probs: DataFrame, cells: DataFrame, pr
                 .agg(F.sum(F.col("mass") * F.col("amount")).alias("rupees"), F.max("mass").alias("mass")))
     live = per_case.groupBy("cell", "window_start_min", "window_end_min").agg(
         F.sum("rupees").alias("conditional_rupees"), F.sum((F.col("mass") > EPS_CASE).cast("long")).alias("case_count"))
+    # cells x windows rows, read by the totals, the national sum and the final join
+    live = cut_lineage(live)
     # at most one row per window
     totals = live.groupBy("window_start_min", "window_end_min").agg(F.sum("conditional_rupees").alias("window_total"))
     grand = F.coalesce(live.agg(F.sum("conditional_rupees")).scalar(), F.lit(0.0))
@@ -100,9 +103,9 @@ def forward_surface(rows: DataFrame, cell_probs: DataFrame, cells: DataFrame, pr
     both = F.col("conditional_rupees") + F.col("prior_rupees")
     full = (full.withColumn("prior_rupees", prior_rupees).withColumn("score", both)
             .withColumn("prior_share", F.when(both > 0, F.col("prior_rupees") / both).when(F.col("degraded"), 1.0).otherwise(0.0)))
-    # a cell without any mass in any window is not on the surface
-    on = full.groupBy("cell").agg(F.sum("score").alias("cell_score")).filter(F.col("cell_score") > 0).select("cell")
-    return full.join(on, "cell", "left_semi").drop("share", "window_total")
+    # a cell without any mass in any window is not on the surface; a cell has one row per window
+    present = F.sum("score").over(Window.partitionBy("cell")) > 0
+    return full.withColumn("__on", present).filter("__on").drop("share", "window_total", "__on")
 
 
 def contributing_ids(rows: DataFrame, cell_probs: DataFrame, as_of_s: Column | int, windows=timing.WINDOWS, limit: int = MAX_IDS) -> DataFrame:
@@ -167,4 +170,4 @@ def national_cuts(summary: DataFrame) -> DataFrame:
     from .distribution import exact_quantiles
 
     cuts = exact_quantiles(summary, [], "score", [0.95, 0.85, 0.70, 0.50], pick="index").select("q").scalar()
-    return summary.withColumn("band", F.size(F.filter(cuts, lambda c: F.col("score") < c)))
+    return summary.withColumn("__cuts", cuts).withColumn("band", F.size(F.filter("__cuts", lambda c: F.col("score") < c))).drop("__cuts")
