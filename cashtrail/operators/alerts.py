@@ -92,10 +92,10 @@ def advance_deliveries(deliveries: DataFrame, attempts: DataFrame, now: Column)
     tried = F.col("attempts") + 1
     joined = deliveries.join(attempts.select("delivery_id", "ok", "error"), "delivery_id")
     state = (F.when(~known, "dead").when(F.col("ok"), "sent").when(tried >= MAX_ATTEMPTS, "dead").otherwise("failed"))
-    return (joined.withColumn("attempts", tried).withColumn("state", state)
+    return (joined.withColumn("state", state)
             .withColumn("last_error", F.when(~known, F.concat(F.lit("no adapter for "), F.col("channel"))).when(F.col("ok"), None).otherwise(F.col("error")))
             .withColumn("next_retry_s", F.when(F.col("state") == "failed", now + (F.pow(F.lit(2.0), tried) * 60).cast("long")))
-            .drop("ok", "error"))
+            .withColumn("attempts", tried).drop("ok", "error"))
 
 
 def deliveries_due(deliveries: DataFrame, now: Column) -> DataFrame:
