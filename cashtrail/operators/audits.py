@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .distribution import exact_quantiles
@@ -44,10 +44,16 @@ def class_overlap(df: DataFrame, columns, low: float = 0.05, high: float = 0.95)
     return q.select("feature", "label", F.col("q")[0].alias("p_low"), F.col("q")[1].alias("p_high"))
 
 
+def _pearson(a: str, b: str) -> Column:
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+
 def correlation_pairs(df: DataFrame, columns) -> DataFrame:
     """Pearson r of every feature pair in one pass; a constant column gives NULL."""
     pairs = list(itertools.combinations(columns, 2))
-    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r")) for a, b in pairs]).alias("p"))
+    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _pearson(a, b).alias("r")) for a, b in pairs]).alias("p"))
     return one.select(F.explode("p").alias("p")).select("p.a", "p.b", "p.r")
 
 
@@ -89,7 +95,7 @@ def mutual_information(df: DataFrame, columns, bins: int = 20) -> DataFrame:
 
 def signal_table(df: DataFrame, columns) -> DataFrame:
     """Point-biserial r, AUC and mutual information per feature."""
-    one = df.agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.corr(F.col(c).cast("double"), F.col("label").cast("double")), F.lit(0.0)).alias("r")) for c in columns]).alias("p"))
+    one = df.agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(_pearson(c, "label"), F.lit(0.0)).alias("r")) for c in columns]).alias("p"))
     r = one.select(F.explode("p").alias("p")).select("p.feature", "p.r")
     return r.join(feature_auc(df, columns), "feature").join(mutual_information(df, columns), "feature")
 
@@ -160,5 +166,3 @@ def dataset_summary(ledger: DataFrame, accounts: DataFrame, complaints: DataFram
             .withColumn("complaints", complaints.agg(F.count(F.lit(1))).scalar())
             .withColumn("activity_p50", q[0]).withColumn("activity_p95", q[1]).withColumn("quiet_share", busy.agg(F.avg((F.col("n") <= 2).cast("double"))).scalar()))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]

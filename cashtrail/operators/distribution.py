@@ -116,7 +116,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     Values are counted once and written out; keys with up to ``DIRECT_LIMIT`` distinct values
     are finished in one step, larger ones through value blocks, so no buffer grows with a key.
     """
-    counts = cut_lineage(count_values(df, keys, value, weight))
+    rows = df.select(*keys, F.col(value).alias("__val"), *([F.col(weight).alias("__wt")] if weight else []))
+    value = "__val"
+    counts = cut_lineage(count_values(rows, keys, value, "__wt" if weight else None))
     light, heavy = _parts(counts, keys)
     if pick == "linear" and light is not None:
         p = F.array(*[F.lit(float(v)) for v in probs])
@@ -159,7 +161,8 @@ def value_at_rank(df: DataFrame, value: str, rank: Column) -> Column:
 
     ``rank`` may use ``t``, the number of rows.
     """
-    counts = cut_lineage(count_values(df, [], value))
+    counts = cut_lineage(count_values(df.select(F.col(value).alias("__val")), [], "__val"))
+    value = "__val"
     ranks = counts.groupBy().agg(F.sum("n").alias("t")).select(F.lit(0).alias("slot"), rank.cast("long").alias("rank"))
     return _values_at(counts, [], value, ranks).agg(F.max("at_rank")).scalar()
 

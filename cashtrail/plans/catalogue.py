@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, ledger_queries, place_queries, record_queries, report_queries  # noqa: F401
+from . import graph_queries, ledger_queries, place_queries, record_queries, report_queries, stream_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, runnable
 
 
