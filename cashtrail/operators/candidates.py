@@ -67,18 +67,20 @@ def crew_prior(targets: DataFrame, edges: DataFrame, past: DataFrame, hops: int
     links = undirected(edges)
     hubs = (links.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).filter(F.col("degree") >= hub_degree)
             .orderBy(F.desc("degree"), "a").limit(MAX_HUBS).select(F.col("a").alias("hub")))
-    if hubs.isEmpty():
+    hub_ids = [r.hub for r in hubs.collect()]  # MAX_HUBS rows at most
+    if not hub_ids:
         return _near_pairs(targets.join(past.select(F.col("account_id").alias("b"), "atm_id", "n"), "atm_id"), links, None)
 
     both = links.select(F.col("a").alias("src_account"), F.col("b").alias("dst_account"))
-    reach = (trace(hubs.select(F.col("hub").alias("trace_id"), F.col("hub").alias("account_id")), both, 2)
+    starts = links.filter(F.col("a").isin(hub_ids)).select(F.col("a").alias("trace_id"), F.col("a").alias("account_id")).distinct()
+    reach = (trace(starts, both, 2)
              .select(F.col("trace_id").alias("hub"), "account_id", "depth"))
     by_hub = reach.join(past, "account_id").groupBy("hub", "atm_id").agg(F.sum("n").alias("hub_n"))
     my_hub = reach.filter("depth <= 1").groupBy("account_id").agg(F.min("hub").alias("hub"))
     placed = targets.join(my_hub, "account_id", "left")
     taken = placed.join(by_hub, ["hub", "atm_id"]).select("account_id", "atm_id", F.col("hub_n").alias("n"))
     # past users a hub does not already cover; hubs number at most MAX_HUBS
-    rest = (past.crossJoin(F.broadcast(hubs)).join(reach.select("hub", "account_id"), ["hub", "account_id"], "left_anti")
+    rest = (past.withColumn("hub", F.explode(F.array(*[F.lit(h) for h in hub_ids]))).join(reach.select("hub", "account_id"), ["hub", "account_id"], "left_anti")
             .select("hub", F.col("account_id").alias("b"), "atm_id", "n"))
     free = placed.filter(F.col("hub").isNull()).drop("hub").join(past.select(F.col("account_id").alias("b"), "atm_id", "n"), "atm_id")
     asked = placed.filter(F.col("hub").isNotNull()).join(rest, ["hub", "atm_id"]).drop("hub").unionByName(free)

@@ -91,21 +91,26 @@ def cumulative(counts: DataFrame, keys: list[str], value: str, measures: list[st
 def _values_at(counts: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
     """Value at 0-based ranks: keys, slot, at_rank. ``counts`` materialised, ``ranks``: keys, slot, rank."""
     light, heavy = _parts(counts, keys)
+    inside = (F.col("rank") < F.col("__end")) & (F.col("rank") >= F.col("__end") - F.col("n"))
     found = []
-    for rows, split in ((light, False), (heavy, True)):
-        if rows is None:
-            continue
-        if split:
-            rows = cut_lineage(_with_blocks(rows, keys, value))
-            part, base = keys + ["block"], F.col("before")
-        else:
-            part, base = keys, F.lit(0)
-        ends = rows.withColumn("__end", base + F.sum("n").over(_over(part).orderBy(value)))
+    if light is not None:
+        ends = light.withColumn("__end", F.sum("n").over(_over(keys).orderBy(value)))
         # a few ranks per key
-        hit = ends.join(ranks, keys) if keys else ends.join(F.broadcast(ranks))
-        found.append(hit.filter((F.col("rank") < F.col("__end")) & (F.col("rank") >= F.col("__end") - F.col("n")))
-                     .select(*keys, "slot", F.col(value).alias("at_rank")))
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        hit = ends.join(ranks, keys).filter(inside) if keys else ends.join(F.broadcast(ranks), inside)
+        found.append(hit)
+    if heavy is not None:
+        part = keys + ["block"]
+        blocked = cut_lineage(_with_blocks(heavy, keys, value))
+        sizes = blocked.groupBy(*part).agg(F.min("before").alias("__from"), (F.min("before") + F.sum("n")).alias("__to"))
+        lands = (F.col("rank") >= F.col("__from")) & (F.col("rank") < F.col("__to"))
+        wanted = sizes.join(ranks, keys).filter(lands) if keys else sizes.join(F.broadcast(ranks), lands)
+        wanted = wanted.select(*part, "slot", "rank")
+        # only blocks that hold a wanted rank are put in order
+        ends = (blocked.join(wanted.select(*part).distinct(), part, "left_semi")
+                .withColumn("__end", F.col("before") + F.sum("n").over(_over(part).orderBy(value))))
+        found.append(ends.join(wanted, part).filter(inside))
+    picked = [f.select(*keys, "slot", F.col(value).alias("at_rank")) for f in found]
+    return picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1])
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],

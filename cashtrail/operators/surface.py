@@ -49,9 +49,10 @@ def posteriors(cases: DataFrame, attached: DataFrame, accounts: DataFrame, direc
     """
     chains = attached.join(cases.select(F.col("ticket_id").alias("complaint_id")), "complaint_id", "left_semi")
     ends = choice.case_terminals(chains)
-    placed = (ends.join(accounts.select("account_id", "bank_id", "lat", "lon"), "account_id")
-              .filter((F.round("lat", 4) != CENTROID[0]) | (F.round("lon", 4) != CENTROID[1])))
-    scored = choice.fixed_scores(placed, directory)
+    # one row per open case, and one candidate set per place and bank: each is read twice below
+    placed = cut_lineage(ends.join(accounts.select("account_id", "bank_id", "lat", "lon"), "account_id")
+                         .filter((F.round("lat", 4) != CENTROID[0]) | (F.round("lon", 4) != CENTROID[1])))
+    scored = cut_lineage(choice.fixed_scores(placed, directory))
     best = scored.filter(F.col("choice_rank") == 1).select("lat", "lon", "bank_id", (DOOR_MIN + MIN_PER_KM * F.col("dist_km")).alias("m"))
     rows = (cases.withColumnRenamed("ticket_id", "complaint_id").select("complaint_id", F.col("stolen_amount").alias("amount"), "filed_s", "fraud_type", "state", "city")
             .join(placed.select("complaint_id", "account_id", "lat", "lon", "bank_id"), "complaint_id")
