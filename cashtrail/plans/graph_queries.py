@@ -199,7 +199,11 @@ def _(d):
     return graph.components(d.ledger)
 
 
-@query("component_report")
+@query("component_report", "ledger", """
+select count(*) as components, max(n) as largest, sum(n)::bigint as nodes, (select count(*) from (select distinct src_account, dst_account from ledger where complaint_id is not null)) as edges,
+ round(2.0*(select count(*) from (select distinct src_account, dst_account from ledger where complaint_id is not null))/sum(n),4) as mean_degree from (select component, count(*) as n from (select account_id, min(label) as component from lab group by 1) group by 1)""", """
+e as (select src_account as u, dst_account as v from ledger where complaint_id is not null union select dst_account, src_account from ledger where complaint_id is not null),
+lab(account_id, label) as (select u, u from e union select e.v, lab.label from lab join e on e.u = lab.account_id and lab.label < e.v)""", recursive=True)
 def _(d):
     return graph.component_report(_att(d))
 
