@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_pairs, host_rules, mixing, secrets
+from . import chat_pairs, decontaminate, host_rules, language, line_join, mixing, ngram_join, rule_quality, secrets, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,13 +17,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_join": lambda s, d: ngram_join.ngram_join(table(s, d, "documents")),
+        "op2_decontaminate": lambda s, d: decontaminate.contamination(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op3_rule_quality": lambda s, d: rule_quality.classify(table(s, d, "documents"), table(s, d, "labels")),
         "op4_preference_pairs": lambda s, d: chat_pairs.preferences(table(s, d, "conversations")),
+        "op5_warc_zip": lambda s, d: warc_zip.round_trip(table(s, d, "pages")),
         "op6_host_rules": lambda s, d: host_rules.host_rules(table(s, d, "documents")),
         "op7_mix_sources": lambda s, d: mixing.mix(table(s, d, "documents")),
         "op8_secret_scan": lambda s, d: secrets.scan(table(s, d, "documents")),
+        "op9_language": lambda s, d: language.identify(table(s, d, "documents")),
+        "op10_line_dedup": lambda s, d: line_join.line_report(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preference_pairs": chat_pairs.preferences_sql(), "op6_host_rules": host_rules.host_rules_sql(),
+    return {"op4_preference_pairs": chat_pairs.preferences_sql(), "op5_warc_zip": warc_zip.round_trip_sql(), "op6_host_rules": host_rules.host_rules_sql(),
             "op7_mix_sources": mixing.mix_sql(), "op8_secret_scan": secrets.scan_sql()}
