@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .tables import Scratch
-from .words import row_shingles
+from .words import GOLD, mix64, row_shingles
 
 SHINGLE = 3
 NUM, DEN = 9, 10                # link when DEN * intersection >= NUM * union
@@ -31,8 +31,10 @@ def _set_key(grams: np.ndarray) -> tuple[int, int]:
     """(class key, hash) of a set of hashes."""
     if not len(grams):
         return 0, 0
-    total = np.add.reduce(grams) * np.uint64(0x9E3779B97F4A7C15) ^ np.bitwise_xor.reduce(grams) ^ np.uint64(len(grams))
-    return int(total.astype(np.int64)), len(grams)
+    # an order-free hash of the whole set
+    sums = np.array([np.add.reduce(grams), np.bitwise_xor.reduce(grams), len(grams)], np.uint64)
+    mixed = mix64(sums * GOLD)
+    return int(np.bitwise_xor.reduce(mix64(mixed + np.arange(3, dtype=np.uint64))).astype(np.int64)), len(grams)
 
 
 def _describe(size: int):
@@ -59,10 +61,6 @@ def _count(slots: np.ndarray, grams: np.ndarray) -> None:
     slots[at[ends]] += np.diff(ends, prepend=-1)
 
 
-def spare(n):
-    return np.maximum(1, n // SPARE)
-
-
 def _short_lists(size: int, frequency):
     """Rows (gram, cls, n): the first n - T + spare grams of every set in order of frequency, once per set and task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +74,7 @@ def _short_lists(size: int, frequency):
                     continue
                 seen.add(key)
                 need = -(-NUM * n // DEN)
-                take = min(n, n - need + int(spare(n)))
+                take = min(n, n - need + max(1, n // SPARE))
                 order = np.lexsort((grams, counts[(grams >> np.uint64(46)).astype(np.int64)]))[:take]
                 out.append((grams[order].astype(np.int64), key, n))
             if out:

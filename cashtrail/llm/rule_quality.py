@@ -22,7 +22,8 @@ SAMPLE = 20_000             # labelled rows to learn from, taken by hash of doc_
 TREES, DEPTH, SEED = 24, 3, 7
 LASSO = 0.0005
 CUT = 0.7
-STATISTICS = ("words", "word_bytes", "symbols", "upper", "digits", "stops", "marks", "bars", "lines", "line_words", "repeats", "distinct", "top_word", "longest")
+#: names of the statistics' columns start with two underscores, so they do not meet a document's own columns
+STATISTICS = tuple(f"__{name}" for name in ("words", "word_bytes", "symbols", "upper", "digits", "stops", "marks", "bars", "lines", "line_words", "repeats", "distinct", "top_word", "longest"))
 #: byte classes counted per document
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "stop": b".,;:?", "mark": b"!", "bar": b"|", "symbol": b"#*$%&<>~^_=+@/\\{}[]", "line": b"\n"}
 CLASS_OF = np.zeros(256, np.int64)
