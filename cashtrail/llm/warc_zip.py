@@ -130,7 +130,7 @@ def members(read_at: Callable[[int, int], bytes], length: int) -> list[Member]:
     """Members by the central directory at the archive's end, with ZIP64 numbers where the short ones are full."""
     tail_at = max(0, length - TAIL)
     tail = read_at(tail_at, length - tail_at)
-    at = tail.rfind(END)
+    at = tail.rfind(END, 0, max(0, len(tail) - 18))
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
         at = tail.rfind(END, 0, at)
     if at < 0:
