@@ -57,3 +57,14 @@ def alert_headline(rupees: Column, district: Column, cell: Column, start: Column
 
 def sms_text(subject: Column, body: Column) -> Column:
     return F.substring(F.concat(subject, F.lit(" "), body), 1, 160)
+
+
+def numbered_id(prefix: str, number: Column) -> Column:
+    """``ALT-000001`` style id: at least six digits, longer numbers whole."""
+    digits = number.cast("string")
+    return F.concat(F.lit(f"{prefix}-"), F.when(F.length(digits) >= 6, digits).otherwise(F.lpad(digits, 6, "0")))
+
+
+def id_number(column) -> Column:
+    """The number behind the last dash of an id."""
+    return F.substring_index(F.col(column) if isinstance(column, str) else column, "-", -1).cast("long")

@@ -64,9 +64,7 @@ def next_ids(new: DataFrame, existing: DataFrame | None, prefix: str, key: str,
         suffix = F.regexp_extract(F.col(ids), rf"^{prefix}-(\d+)$", 1)
         start = F.coalesce(existing.filter(suffix != "").agg(F.max(suffix.cast("long"))).scalar(), F.lit(0).cast("long")) + 1
     numbered = number_rows(new, key, "__n", start)
-    digits = F.col("__n").cast("string")
-    padded = F.when(F.length(digits) >= 6, digits).otherwise(F.lpad(digits, 6, "0"))
-    return numbered.withColumn(out, F.concat(F.lit(f"{prefix}-"), padded)).drop("__n")
+    return numbered.withColumn(out, text.numbered_id(prefix, F.col("__n"))).drop("__n")
 
 
 def route_alerts(alerts: DataFrame, recipients: DataFrame) -> DataFrame:
@@ -137,23 +135,34 @@ def alert_summary(alerts: DataFrame, deliveries: DataFrame) -> DataFrame:
 def delivery_text(alerts: DataFrame) -> DataFrame:
     subject = F.concat(F.lit("["), F.col("severity"), F.lit("] "), F.col("headline"))
     body = F.concat(F.lit("Cell "), F.col("cell_id"), F.lit(" - "), F.col("district"), F.lit(", "), F.col("state"),
-                    F.lit(". Forecast only; a ranked candidate area, not a confirmed location."))
+                    F.lit(". This area leads a forecast ranking; nobody has been seen there yet."))
     return alerts.withColumn("subject", subject).withColumn("body", body).withColumn("sms", text.sms_text(subject, body))
 
 
 def outbound_payloads(alerts: DataFrame) -> DataFrame:
-    """Fund-hold and dissemination messages as JSON, with the live share beside the historical share."""
+    """Fund-hold and dissemination messages as JSON, with the live share beside the historical share.
+
+    Number, time and acknowledgement columns may be absent: such alerts are not stored or acknowledged yet. Keys are fixed values of the receivers' contract;
+    the schema labels stay proposals of this engine.
+    """
+    for name, kind in (("id", "string"), ("created_s", "long"), ("status", "string"), ("acknowledged_by", "string"), ("disposition", "string")):
+        alerts = alerts if name in alerts.columns else alerts.withColumn(name, F.lit(None).cast(kind))
     live = F.round(1.0 - F.col("prior_share"), 4)
-    window = F.array("window_start_min", "window_end_min")
-    amount = F.round("rupees_at_risk", 2)
+    window = F.array("window_start_min", "window_end_min").alias("window_minutes_from_now")
+    amount = F.round("rupees_at_risk", 2).alias("amount_at_risk_inr")
     place = [F.col(c) for c in ("cell_id", "district", "state")]
-    hold = F.struct(F.lit("PRECAUTIONARY_HOLD").alias("action"), F.col("severity").alias("urgency"), F.col("complaint_ids").alias("complaint_references"),
-                    amount.alias("amount_at_risk_inr"), F.struct(*place, window.alias("window_minutes_from_now")).alias("predicted_cashout"),
+    issued, reference = F.col("created_s").alias("issued_at"), F.col("id").alias("reference")
+    person = F.struct((F.coalesce("status", F.lit("")) == "acknowledged").alias("acknowledged"), "acknowledged_by", "disposition")
+    hold = F.struct(F.lit("cashtrail.hold-request/v1-proposed").alias("schema"), issued, F.struct(F.lit("cashtrail").alias("system"), reference).alias("issuer"),
+                    F.lit("PRECAUTIONARY_HOLD").alias("action"), F.col("severity").alias("urgency"), F.col("complaint_ids").alias("complaint_references"), amount,
+                    F.struct(*place, window).alias("predicted_cashout"),
                     F.struct(F.col("rule_id").alias("rule"), live.alias("live_share"), F.round("prior_share", 4).alias("historical_prior_share"),
-                             F.col("case_count").alias("contributing_cases")).alias("confidence"))
-    spread = F.struct(F.lit("PREDICTED_CASHOUT_WINDOW").alias("event_type"), F.col("severity"), F.col("headline"),
-                      F.struct("state", "district").alias("jurisdiction"), F.struct(F.col("cell_id"), F.lit(12.0).alias("cluster_radius_km"), window.alias("window_minutes_from_now")).alias("target"),
-                      F.struct(F.col("complaint_ids").alias("linked_complaints"), amount.alias("amount_at_risk_inr"), live.alias("live_share")).alias("evidence"))
+                             F.col("case_count").alias("contributing_cases")).alias("confidence"), person.alias("human_in_the_loop"))
+    spread = F.struct(F.lit("cashtrail.dissemination/v1-proposed").alias("schema"), F.lit("PREDICTED_CASHOUT_WINDOW").alias("event_type"), issued, reference,
+                      F.col("severity"), F.col("headline"), F.struct("state", "district").alias("jurisdiction"),
+                      F.struct(F.col("cell_id"), F.lit(12.0).alias("atm_cluster_radius_km"), window).alias("target"),
+                      F.struct(F.col("complaint_ids").alias("linked_complaints"), amount, live.alias("live_share")).alias("evidence"),
+                      F.lit("An estimate of where, ordered by likelihood. Watch the place; being there proves nothing against anyone.").alias("advisory"))
     return alerts.withColumn("hold_request", F.to_json(hold)).withColumn("dissemination", F.to_json(spread))
 
 

@@ -6,10 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .distribution import first_rows, number_rows
+from ..functions import text
+from .distribution import first_rows
 
 MIN_REASON = 4
 
@@ -22,53 +23,64 @@ def custody_records(artefacts: DataFrame) -> DataFrame:
     digested = artefacts.withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256))
     keep = ["evidence_no", "size_bytes", "collected_by", "collected_s"]
     one = first_rows(digested.select("case_id", "sha256", *keep), ["case_id", "sha256"], "evidence_no", keep)
-    digits = F.col("evidence_no").cast("string")
-    return one.withColumn("id", F.concat(F.lit("EVD-"), F.when(F.length(digits) >= 6, digits).otherwise(F.lpad(digits, 6, "0"))))
+    return one.withColumn("id", text.numbered_id("EVD", F.col("evidence_no")))
 
 
-def _walk(batches: Iterator[pd.DataFrame], verify: bool) -> Iterator[pd.DataFrame]:
+def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Carry (case, position, hash) over rows sorted by case and order; memory stays one batch."""
     case, seq, prev = None, 0, ""
     for pdf in batches:
         seqs, prevs, hashes = [], [], []
-        for row in pdf.itertuples(index=False):
-            if row.case_id != case:
-                case, seq, prev = row.case_id, 0, ""
+        for own_case, head, tail in zip(pdf["case_id"], pdf["head"], pdf["tail"]):
+            if own_case != case:
+                case, seq, prev = own_case, 0, ""
             seq += 1
-            entry = hashlib.sha256("|".join((prev, row.id, str(row.case_id), row.sha256, row.collected_by, str(row.collected_s))).encode()).hexdigest()
+            entry = hashlib.sha256(f"{prev}|{head}|{tail}".encode()).hexdigest()
             seqs.append(seq)
             prevs.append(prev)
             hashes.append(entry)
             prev = entry
-        out = pdf.copy()
-        if verify:
-            out["ok"] = [s == int(q) and p == str(o) and h == e for s, q, p, o, h, e in zip(seqs, pdf["seq"], prevs, pdf["prev_hash"], hashes, pdf["entry_hash"])]
-            yield out[["case_id", "id", "seq", "ok"]]
-        else:
-            out["seq"], out["prev_hash"], out["entry_hash"] = seqs, prevs, hashes
-            yield out[["case_id", "id", "seq", "sha256", "size_bytes", "collected_by", "collected_s", "prev_hash", "entry_hash"]]
+        out = pdf.drop(columns=["head", "tail"])
+        out["seq"], out["prev_hash"], out["entry_hash"] = seqs, prevs, hashes
+        yield out[["case_id", "id", "seq", "sha256", "size_bytes", "collected_by", "collected_s", "prev_hash", "entry_hash"]]
 
 
 def _types(df: DataFrame) -> str:
     return df.schema["case_id"].dataType.simpleString()
 
 
+def _entry_text() -> tuple[Column, Column]:
+    return F.concat_ws("|", "id", F.col("case_id").cast("string"), "sha256"), F.concat_ws("|", "collected_by", F.col("collected_s").cast("string"))
+
+
 def link_chain(records: DataFrame, order: str = "evidence_no") -> DataFrame:
     """entry = sha256(previous | id | case | digest | by | at), in sequence per case.
 
     A hash chain is sequential inside its case by definition. Cases run in parallel and a
     case streams through its task in Arrow batches, so no case is ever held as one group.
     """
-    sorted_rows = records.repartition("case_id").sortWithinPartitions("case_id", order)
+    head, tail = _entry_text()
+    sorted_rows = (records.withColumn("head", head).withColumn("tail", tail).repartition("case_id").sortWithinPartitions("case_id", order)
+                   .select("case_id", "id", "sha256", "size_bytes", "collected_by", "collected_s", "head", "tail"))
     schema = (f"case_id {_types(records)}, id string, seq long, sha256 string, size_bytes long, collected_by string, "
               "collected_s long, prev_hash string, entry_hash string")
-    return sorted_rows.mapInPandas(lambda it: _walk(it, False), schema)
+    return sorted_rows.mapInPandas(_link, schema)
 
 
 def verify_chain(records: DataFrame) -> DataFrame:
-    """(case_id, id, seq, ok): recomputed forward from the recomputed hash, so damage spreads downstream."""
-    sorted_rows = records.repartition("case_id").sortWithinPartitions("case_id", "seq")
-    return sorted_rows.mapInPandas(lambda it: _walk(it, True), f"case_id {_types(records)}, id string, seq long, ok boolean")
+    """(case_id, id, seq, ok): a row is sound if it follows the row before it and its hash is that of its content.
+
+    Damage spreads downstream: everything from a case's first unsound row on is not ok. Rows are compared with the
+    stored hash of their predecessor by an equi-join, so no case is walked.
+    """
+    head, tail = _entry_text()
+    before = records.select("case_id", (F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("__prev"))
+    joined = records.join(before, ["case_id", "seq"], "left")
+    prev = F.when(F.col("seq") == 1, F.lit("")).otherwise(F.col("__prev"))
+    sound = F.coalesce((F.col("prev_hash") == prev) & (F.col("entry_hash") == F.sha2(F.concat_ws("|", prev, head, tail), 256)), F.lit(False))
+    marked = joined.select("case_id", "id", "seq", sound.alias("sound"))
+    first = marked.filter(~F.col("sound")).groupBy("case_id").agg(F.min("seq").alias("broken_at"))
+    return marked.join(first, "case_id", "left").select("case_id", "id", "seq", (F.col("broken_at").isNull() | (F.col("seq") < F.col("broken_at"))).alias("ok"))
 
 
 def verify_content(records: DataFrame, stored: DataFrame) -> DataFrame:

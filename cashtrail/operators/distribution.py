@@ -1,8 +1,8 @@
 """Exact order statistics and time-ordered scans that never put a whole group into one task.
 
-A key may hold a third of all rows. So values are first counted (map-side combined),
-heavy keys are cut into value blocks or time blocks, and only block summaries are ever
-looked at per key.
+A key may hold a third of all rows. So values are first counted (map-side combined), the
+counts are range-partitioned by key and value, and only one summary row per key and
+partition is ever put in sequence. Every key takes this way, whatever its size.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-BLOCKS = 200                # value blocks of a heavy key
-DIRECT_LIMIT = 50_000       # distinct values a single aggregation buffer may hold
 DAY_S = 86_400
 
 
@@ -27,90 +25,51 @@ def _over(keys: list[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
 
-def _heavy_keys(counts: DataFrame, keys: list[str]) -> DataFrame | None:
-    """Keys with more distinct values than one task should scan; None when there are none.
+def _in_blocks(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The rows, written, with the ``block`` they fall in when range-partitioned by keys and value.
 
-    ``counts`` must be materialised: this looks at it once.
+    Blocks are of even size and in order, and their number follows the session's partition settings: a
+    key with many values spans many blocks, many small keys share one.
     """
-    heavy = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d")).filter(F.col("__d") > DIRECT_LIMIT)
-    return None if heavy.isEmpty() else heavy.drop("__d")
-
-
-def _parts(counts: DataFrame, keys: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
-    """(light rows, heavy rows) of a materialised count table; either may be None."""
-    heavy = _heavy_keys(counts, keys)
-    if heavy is None:
-        return counts, None
-    if not keys:
-        return None, counts
-    return counts.join(heavy, keys, "left_anti"), counts.join(heavy, keys, "left_semi")
-
-
-def _merge(light: DataFrame | None, heavy: DataFrame | None) -> DataFrame:
-    if light is None or heavy is None:
-        return heavy if light is None else light
-    return light.unionByName(heavy)
-
-
-def _with_blocks(counts: DataFrame, keys: list[str], value: str, weight: str = "n") -> DataFrame:
-    """Adds an order-preserving ``block`` number and ``before``, the weight in earlier blocks."""
-    probs = F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)])
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 2000).alias("__cuts"))
-    block = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
-    joined = counts.join(cuts, keys) if keys else counts.withColumn("__cuts", cuts.scalar())
-    blocked = joined.withColumn("block", block).drop("__cuts")
-    totals = blocked.groupBy(*keys, "block").agg(F.sum(weight).alias("__bn"))
-    # at most BLOCKS rows per key
+    spread = cut_lineage(counts).repartitionByRange(*keys, value)
+    return cut_lineage(spread.withColumn("block", F.spark_partition_id()))
+
+
+def _before(blocked: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """(keys, block) with ``__b_<measure>``, the sum over the key's earlier blocks, and ``__s_<measure>``, its own."""
+    part = keys + ["block"]
+    sums = blocked.groupBy(*part).agg(*[F.sum(m).alias(f"__s_{m}") for m in measures])
+    # one row per key and partition it spans
     earlier = _over(keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("before", F.coalesce(F.sum("__bn").over(earlier), F.lit(0))).drop("__bn")
-    return blocked.join(totals, keys + ["block"])
+    return sums.select(*part, *[F.coalesce(F.sum(f"__s_{m}").over(earlier), F.lit(0)).alias(f"__b_{m}") for m in measures], *[f"__s_{m}" for m in measures])
 
 
 def cumulative(counts: DataFrame, keys: list[str], value: str, measures: list[str]) -> DataFrame:
     """Running totals of ``measures`` over ``value`` within ``keys``, as ``cum_<measure>`` (inclusive).
 
-    ``counts`` holds one row per (keys, value). Heavy keys are split into value blocks that
-    are stitched together with one row per block.
+    ``counts`` holds one row per (keys, value).
     """
-    light, heavy = _parts(cut_lineage(counts), keys)
-    if light is not None:
-        w = _over(keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        light = light.withColumns({f"cum_{m}": F.sum(m).over(w) for m in measures})
-    if heavy is not None:
-        blocked = cut_lineage(_with_blocks(heavy.withColumn("__one", F.lit(1)), keys, value, "__one").drop("__one", "before"))
-        part = keys + ["block"]
-        sums = blocked.groupBy(*part).agg(*[F.sum(m).alias(f"__s_{m}") for m in measures])
-        earlier = _over(keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select(*part, *[F.coalesce(F.sum(f"__s_{m}").over(earlier), F.lit(0)).alias(f"__b_{m}") for m in measures])
-        inside = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        heavy = (blocked.join(sums, part).withColumns({f"cum_{m}": F.col(f"__b_{m}") + F.sum(m).over(inside) for m in measures})
-                 .drop("block", *[f"__b_{m}" for m in measures]))
-    return _merge(light, heavy)
+    blocked, part = _in_blocks(counts, keys, value), keys + ["block"]
+    inside = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    sums = _before(blocked, keys, measures).drop(*[f"__s_{m}" for m in measures])
+    return (blocked.join(sums, part).withColumns({f"cum_{m}": F.col(f"__b_{m}") + F.sum(m).over(inside) for m in measures})
+            .drop("block", *[f"__b_{m}" for m in measures]))
 
 
 def _values_at(counts: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
-    """Value at 0-based ranks: keys, slot, at_rank. ``counts`` materialised, ``ranks``: keys, slot, rank."""
-    light, heavy = _parts(counts, keys)
-    inside = (F.col("rank") < F.col("__end")) & (F.col("rank") >= F.col("__end") - F.col("n"))
-    found = []
-    if light is not None:
-        ends = light.withColumn("__end", F.sum("n").over(_over(keys).orderBy(value)))
-        # a few ranks per key
-        hit = ends.join(ranks, keys).filter(inside) if keys else ends.join(F.broadcast(ranks), inside)
-        found.append(hit)
-    if heavy is not None:
-        part = keys + ["block"]
-        blocked = cut_lineage(_with_blocks(heavy, keys, value))
-        sizes = blocked.groupBy(*part).agg(F.min("before").alias("__from"), (F.min("before") + F.sum("n")).alias("__to"))
-        lands = (F.col("rank") >= F.col("__from")) & (F.col("rank") < F.col("__to"))
-        wanted = sizes.join(ranks, keys).filter(lands) if keys else sizes.join(F.broadcast(ranks), lands)
-        wanted = wanted.select(*part, "slot", "rank")
-        # only blocks that hold a wanted rank are put in order
-        ends = (blocked.join(wanted.select(*part).distinct(), part, "left_semi")
-                .withColumn("__end", F.col("before") + F.sum("n").over(_over(part).orderBy(value))))
-        found.append(ends.join(wanted, part).filter(inside))
-    picked = [f.select(*keys, "slot", F.col(value).alias("at_rank")) for f in found]
-    return picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1])
+    """Value at 0-based ranks: keys, slot, at_rank. ``ranks``: keys, slot, rank."""
+    blocked, part = _in_blocks(counts, keys, value), keys + ["block"]
+    sizes = _before(blocked, keys, ["n"])
+    lands = (F.col("rank") >= F.col("__b_n")) & (F.col("rank") < F.col("__b_n") + F.col("__s_n"))
+    # a few ranks per key
+    wanted = sizes.join(ranks, keys).filter(lands) if keys else sizes.join(F.broadcast(ranks), lands)
+    wanted = wanted.select(*part, "slot", "rank", "__b_n")
+    # only blocks that hold a wanted rank are put in order
+    ends = (blocked.join(wanted.select(*part).distinct(), part, "left_semi")
+            .withColumn("__in", F.sum("n").over(Window.partitionBy(*part).orderBy(value))))
+    end = F.col("__b_n") + F.col("__in")
+    return (ends.join(wanted, part).filter((F.col("rank") < end) & (F.col("rank") >= end - F.col("n")))
+            .select(*keys, "slot", F.col(value).alias("at_rank")))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
@@ -118,21 +77,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     """Exact quantiles per key as array ``q``.
 
     ``pick='linear'`` interpolates; ``pick='index'`` returns sorted[min(n-1, floor(p*n))].
-    Values are counted once and written out; keys with up to ``DIRECT_LIMIT`` distinct values
-    are finished in one step, larger ones through value blocks, so no buffer grows with a key.
+    Values are counted once and written out in blocks, so no buffer grows with a key.
     """
     rows = df.select(*keys, F.col(value).alias("__val"), *([F.col(weight).alias("__wt")] if weight else []))
-    value = "__val"
-    counts = cut_lineage(count_values(rows, keys, value, "__wt" if weight else None))
-    light, heavy = _parts(counts, keys)
-    if pick == "linear" and light is not None:
-        p = F.array(*[F.lit(float(v)) for v in probs])
-        light = light.groupBy(*keys).agg(F.percentile(value, p, F.col("n")).alias("q"))
-        light = light if keys else light.filter(F.col("q").isNotNull())
-        if heavy is None:
-            return light
-        return light.unionByName(_picked(heavy, keys, value, probs, pick))
-    return _picked(counts, keys, value, probs, pick)
+    counts = cut_lineage(count_values(rows, keys, "__val", "__wt" if weight else None))
+    return _picked(counts, keys, "__val", probs, pick)
 
 
 def _picked(counts: DataFrame, keys: list[str], value: str, probs: list[float], pick: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, timing
+from ..session import cut_lineage
 from .distribution import cumulative, exact_quantiles
 
 K_GRID = (1, 3, 5, 10)
@@ -62,8 +63,13 @@ def threshold_sweep(df: DataFrame, score="score", label="label", probs=tuple(i /
     """Confusion and rates at every distinct quantile threshold."""
     cuts = (exact_quantiles(df, [], score, list(probs)).select(F.explode("q").alias("threshold")).distinct())
     steps = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    # at most one threshold per probability: a short broadcast list
-    hit = (steps.join(F.broadcast(cuts), F.col(score) >= F.col("threshold")).groupBy("threshold").agg(F.sum("n").alias("flagged"), F.sum("pos").alias("tp")))
+    # at most one threshold per probability: every score is counted once, under the highest threshold it reaches
+    cuts = cut_lineage(cuts)
+    grid = cuts.agg(F.array_sort(F.collect_list("threshold")).alias("__c"))
+    reached = steps.withColumn("__c", grid.scalar()).withColumn("threshold", F.element_at("__c", F.nullif(F.size(F.filter("__c", lambda c: c <= F.col(score))), F.lit(0))))
+    own = reached.filter(F.col("threshold").isNotNull()).groupBy("threshold").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    up = Window.partitionBy(F.lit(0)).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    hit = cuts.join(own, "threshold", "left").na.fill(0, ["n", "pos"]).select("threshold", F.sum("n").over(up).alias("flagged"), F.sum("pos").over(up).alias("tp"))
     totals = steps.agg(F.struct(F.sum("n").alias("n"), F.sum("pos").alias("pos"))).scalar()
     out = cuts.join(hit, "threshold", "left").na.fill(0, ["flagged", "tp"]).withColumn("__t", totals)
     return with_rates(out.withColumn("fp", F.col("flagged") - F.col("tp")).withColumn("fn", F.col("__t.pos") - F.col("tp"))
@@ -114,25 +120,40 @@ def containment_curve(truth_ranks: DataFrame, n_machines: Column, ks=tuple(range
         (F.col("found") - F.col("c.hits")).alias("ranking_failures")))
 
 
+TAIL_TERMS = 4096       # binomial terms below k; the next one is then under 2^-53 of the sum, or there is none
+
+
+def _log_factorial(n: Column) -> Column:
+    """ln n! by Stirling's series from 10 on, exact below."""
+    x = n + F.lit(1.0)
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0))) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    exact = F.element_at(F.array(*[F.lit(math.lgamma(i + 1.0)) for i in range(10)]), (F.least(n, F.lit(9)) + 1).cast("int"))
+    return F.when(n < 10, exact).otherwise(series)
+
+
 def mcnemar(pairs: DataFrame, model="model_hit", baseline="baseline_hit") -> DataFrame:
     """Discordant counts and the exact two-sided p value.
 
-    The binomial tail is summed over a sequence in log space; ln C(n, i) comes from running
-    sums of logs, so it stays finite for any count.
+    The tail is summed downwards from k. Each term is the one above times i / (n - i + 1); where k is near n / 2 the
+    terms fall like a bell of width sqrt(n), so the number of terms follows sqrt(n), not n.
     """
     b = F.count(F.when(F.col(model) & ~F.col(baseline), 1))
     c = F.count(F.when(~F.col(model) & F.col(baseline), 1))
     counts = pairs.agg(b.alias("b"), c.alias("c")).withColumn("n", F.col("b") + F.col("c")).withColumn("k", F.least("b", "c"))
-    start = F.struct(F.lit(0.0).alias("lc"), F.lit(1.0).alias("s"), F.lit(0.0).alias("mx"))
-
-    def step(acc, i):  # running log-sum-exp of ln C(n, i)
-        lc = acc["lc"] + F.log(F.col("n") - i + 1) - F.log(i.cast("double"))
-        top = F.greatest(acc["mx"], lc)
-        return F.struct(lc.alias("lc"), (acc["s"] * F.exp(acc["mx"] - top) + F.exp(lc - top)).alias("s"), top.alias("mx"))
-
-    ks = F.when(F.col("k") >= 1, F.sequence(F.lit(1).cast("long"), F.col("k"))).otherwise(F.array().cast("array<bigint>"))
-    tail = F.aggregate(ks, start, step, lambda acc: F.log(acc["s"]) + acc["mx"])
-    p = F.when(F.col("n") == 0, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * F.exp(tail - F.col("n") * math.log(2.0))))
+    n, k = F.col("n"), F.col("k")
+    # beyond ten standard deviations nothing adds to a double
+    terms = F.least(k, F.greatest(F.lit(TAIL_TERMS), F.ceil(5 * F.sqrt(n.cast("double")))).cast("long"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("s"))
+
+    def step(acc, j):
+        i = k - j + 1
+        term = acc["term"] * i / (n - i + 1)
+        return F.struct(term.alias("term"), (acc["s"] + term).alias("s"))
+
+    js = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<bigint>"))
+    relative = F.aggregate(js, start, step, lambda acc: acc["s"])
+    top = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) - n * math.log(2.0)
+    p = F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * relative * F.exp(top)))
     return counts.withColumn("p_value", p)
 
 

@@ -143,12 +143,10 @@ def roll_up(summary: DataFrame, case_cells: DataFrame) -> DataFrame:
     """
     w = F.greatest(F.col("score"), F.lit(0.0))
     base = summary.withColumn("wlat", F.col("lat") * w).withColumn("wlon", F.col("lon") * w)
-    base.createOrReplaceTempView("__surface_cells")
-    sums = base.sparkSession.sql("""
-        select case grouping_id(state, district, cell_id) when 0 then 'cell' when 1 then 'district' when 3 then 'state' else 'national' end as level,
-          state, district, cell_id, sum(score) as score, sum(conditional_rupees) as conditional_rupees, sum(prior_rupees) as prior_rupees,
-          sum(atm_count) as atm_count, count(*) as cells, sum(wlat) as wlat, sum(wlon) as wlon
-        from __surface_cells group by grouping sets ((state, district, cell_id), (state, district), (state), ())""")
+    sets = [[F.col("state"), F.col("district"), F.col("cell_id")], [F.col("state"), F.col("district")], [F.col("state")], []]
+    total = [F.sum(c).alias(c) for c in ("score", "conditional_rupees", "prior_rupees", "atm_count", "wlat", "wlon")]
+    level = F.element_at(F.create_map(*[F.lit(x) for x in (0, "cell", 1, "district", 3, "state", 7, "national")]), F.grouping_id().cast("int"))
+    sums = base.groupingSets(sets, "state", "district", "cell_id").agg(level.alias("level"), F.count(F.lit(1)).alias("cells"), *total)
     names = summary.select("cell", "cell_id", "state", "district")
     joined = case_cells.join(names, "cell").drop("cell")
     levels = {"cell": ["state", "district", "cell_id"], "district": ["state", "district"], "state": ["state"], "national": []}

@@ -15,21 +15,20 @@ from .registry import query, tidy
 # --- alert rows and deliveries taken from complaints ------------------------------------------
 
 ALERTS = """
-alert_rows as (select 'ALT-' || lpad(cast(ticket_id as varchar),6,'0') as id, ticket_id, filed_s + 60 + (ticket_id*37) % 900 as created_s, case ticket_id % 3 when 0 then 'CRITICAL' when 1 then 'HIGH' else 'WATCH' end as severity, state, city as district, stolen_amount as score from complaints),
-acks as (select 'ALT-' || lpad(cast(audit_no % (select count(*) from complaints) as varchar),6,'0') as id, actor, at_s, case audit_no % 5 when 0 then 'Confirmed' when 1 then 'Actioned' when 2 then 'False positive' when 3 then 'Duplicate' else 'Nonsense' end as disposition from audit),
+alert_rows as (select printf('ALT-%06d', ticket_id + 999000) as id, ticket_id, filed_s + 60 + (ticket_id*37) % 900 as created_s, case ticket_id % 3 when 0 then 'CRITICAL' when 1 then 'HIGH' else 'WATCH' end as severity, state, city as district, stolen_amount as score from complaints),
+acks as (select printf('ALT-%06d', audit_no % (select count(*) from complaints) + 999000) as id, actor, at_s, case audit_no % 5 when 0 then 'Confirmed' when 1 then 'Actioned' when 2 then 'False positive' when 3 then 'Duplicate' else 'Nonsense' end as disposition from audit),
 acked as (select a.*, f is not null as got, f.actor as actor, f.at_s as at_s, f.disposition as disposition from alert_rows a left join (select id, arg_min(struct_pack(actor := actor, at_s := at_s, disposition := disposition), (at_s, actor)) as f from acks where disposition <> 'Nonsense' group by 1) using (id)),
 deliv as (select ticket_id as delivery_id, id as alert_id, case ticket_id % 4 when 0 then 'email' when 1 then 'sms' when 2 then 'webhook' else 'fax' end as channel, ticket_id % 4 as attempts, created_s from alert_rows),
 tried as (select *, attempts+1 as n, (ticket_ok) as ok from (select *, delivery_id % 3 = 0 as ticket_ok from deliv)),
 advanced as (select delivery_id, n as attempts, case when channel='fax' then 'dead' when ok then 'sent' when n >= 4 then 'dead' else 'failed' end as state, created_s from tried)"""
 
 
-def _padded(prefix, column):
-    return F.concat(F.lit(prefix), F.lpad(column.cast("string"), 6, "0"))
+NUMBERS_FROM = 999_000      # alert numbers of these tables pass from six digits to seven
 
 
 def _alert_rows(d):
     t = F.col("ticket_id")
-    return d.complaints.select(_padded("ALT-", t).alias("id"), "ticket_id", (F.col("filed_s") + 60 + (t * 37) % 900).alias("created_s"),
+    return d.complaints.select(text.numbered_id("ALT", t + NUMBERS_FROM).alias("id"), "ticket_id", (F.col("filed_s") + 60 + (t * 37) % 900).alias("created_s"),
                                F.when(t % 3 == 0, "CRITICAL").when(t % 3 == 1, "HIGH").otherwise("WATCH").alias("severity"),
                                "state", F.col("city").alias("district"), F.col("stolen_amount").alias("score"))
 
@@ -37,7 +36,7 @@ def _alert_rows(d):
 def _acknowledged(d):
     n = d.raw("orders").agg(F.count(F.lit(1))).scalar()
     labels = F.array(*[F.lit(v) for v in ("Confirmed", "Actioned", "False positive", "Duplicate", "Nonsense")])
-    acks = d.audit.select(_padded("ALT-", F.col("audit_no") % n).alias("id"), "actor", "at_s", F.element_at(labels, (F.col("audit_no") % 5 + 1).cast("int")).alias("disposition"))
+    acks = d.audit.select(text.numbered_id("ALT", F.col("audit_no") % n + NUMBERS_FROM).alias("id"), "actor", "at_s", F.element_at(labels, (F.col("audit_no") % 5 + 1).cast("int")).alias("disposition"))
     return alerts.acknowledge(_alert_rows(d), acks)
 
 
@@ -171,9 +170,9 @@ def _(d):
     return _triaged(d).select("ticket_id", "golden", "weight")
 
 
-@query("work_queue", "complaints", "select ticket_id, weight, round(stolen_amount,2) as stolen_amount from tri where status <> 'Resolved' and status <> 'Closed' order by tri.weight desc, tri.stolen_amount desc, ticket_id limit 200", BANDS)
+@query("work_queue", "complaints", "select ticket_id, weight, round(stolen_amount,2) as stolen_amount from tri where status <> 'Resolved' and status <> 'Closed'", BANDS)
 def _(d):
-    return tidy(cases.work_queue(cases.queue_filter(_triaged(d)), 200).select("ticket_id", "weight", "stolen_amount"), 2)
+    return tidy(cases.work_queue(cases.queue_filter(_triaged(d))).select("ticket_id", "weight", "stolen_amount"), 2)
 
 
 @query("queue_search", "complaints", "select ticket_id from complaints where status <> 'Resolved' and fraud_type = '1-URGENT' and contains(lower(concat_ws(' ', ticket_id, victim_name, city, state, fraud_type, victim_account)), 'nation_1')")
@@ -196,7 +195,7 @@ def _(d):
 RECORDS = """
 digests as (select evidence_no, case_id, sha256(text) as sha256, size_bytes, collected_by, collected_s from evidence),
 firsts as (select case_id, sha256, arg_min(struct_pack(evidence_no := evidence_no, size_bytes := size_bytes, collected_by := collected_by, collected_s := collected_s), evidence_no) as r from digests group by 1, 2),
-recs as (select case_id, sha256, 'EVD-' || lpad(cast(r.evidence_no as varchar),6,'0') as id, r.evidence_no as evidence_no, r.size_bytes as size_bytes, r.collected_by as collected_by, r.collected_s as collected_s, row_number() over (partition by case_id order by r.evidence_no) as seq from firsts),
+recs as (select case_id, sha256, printf('EVD-%06d', r.evidence_no) as id, r.evidence_no as evidence_no, r.size_bytes as size_bytes, r.collected_by as collected_by, r.collected_s as collected_s, row_number() over (partition by case_id order by r.evidence_no) as seq from firsts),
 chain(case_id, seq, id, sha256, prev_hash, entry_hash) as (select case_id, seq, id, sha256, '', sha256('|' || id || '|' || case_id || '|' || sha256 || '|' || collected_by || '|' || collected_s) from recs where seq = 1
  union all select r.case_id, r.seq, r.id, r.sha256, c.entry_hash, sha256(c.entry_hash || '|' || r.id || '|' || r.case_id || '|' || r.sha256 || '|' || r.collected_by || '|' || r.collected_s) from chain c join recs r on r.case_id = c.case_id and r.seq = c.seq + 1)"""
 
@@ -211,7 +210,7 @@ def _chain(d):
 
 def _tampered(chain):
     """Rewrite the digest of every seventh artefact after the fact."""
-    return chain.withColumn("sha256", F.when(F.substring("id", 5, 6).cast("int") % 7 == 3, F.reverse("sha256")).otherwise(F.col("sha256")))
+    return chain.withColumn("sha256", F.when(text.id_number("id") % 7 == 3, F.reverse("sha256")).otherwise(F.col("sha256")))
 
 
 @query("custody_records", "evidence", "select case_id, sha256, id, size_bytes from recs", RECORDS.split(",\nchain")[0])
@@ -224,7 +223,7 @@ def _(d):
     return _chain(d).select("case_id", "id", "seq", "prev_hash", "entry_hash")
 
 
-@query("custody_verification", "evidence", "select case_id, id, seq, min(case when cast(substr(id,5,6) as int) % 7 = 3 and reverse(sha256) <> sha256 then 0 else 1 end) over (partition by case_id order by seq) = 1 as ok from recs", RECORDS.split(",\nchain")[0])
+@query("custody_verification", "evidence", "select case_id, id, seq, min(case when evidence_no % 7 = 3 and reverse(sha256) <> sha256 then 0 else 1 end) over (partition by case_id order by seq) = 1 as ok from recs", RECORDS.split(",\nchain")[0])
 def _(d):
     return custody.verify_chain(_tampered(_chain(d)))
 
@@ -232,7 +231,7 @@ def _(d):
 @query("content_verification", "evidence", "select case_id, id, reason = '' as ok, reason from (select *, case when evidence_no % 11 = 5 then 'bytes missing from the store' when evidence_no % 13 = 4 then 'content hash mismatch' else '' end as reason from recs)", RECORDS.split(",\nchain")[0])
 def _(d):
     n = F.col("evidence_no")
-    kept = d.evidence.filter(n % 11 != 5).select(_padded("EVD-", n).alias("id"), F.when(n % 13 == 4, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
+    kept = d.evidence.filter(n % 11 != 5).select(text.numbered_id("EVD", n).alias("id"), F.when(n % 13 == 4, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
     return custody.verify_content(_records(d), kept).select("case_id", "id", "ok", "reason")
 
 
@@ -242,7 +241,7 @@ wd as (select *, evidence_no % 9 = 2 as withdrawn from recs)"""
 
 def _withdrawn(d):
     records = _chain(d)
-    n = F.substring("id", 5, 6).cast("int")
+    n = text.id_number("id")
     asked = records.filter(n % 9 == 2).select("id", F.lit("officer-1").alias("actor"), (F.col("collected_s") + 60).alias("at_s"), F.lit("wrong case").alias("reason"))
     short = records.filter(n % 9 == 3).select("id", F.lit("officer-2").alias("actor"), (F.col("collected_s") + 30).alias("at_s"), F.lit("no").alias("reason"))
     late = asked.withColumn("at_s", F.col("at_s") + 600).withColumn("reason", F.lit("second reason"))
@@ -263,7 +262,7 @@ def _(d):
 select case_id, count(*) filter (not withdrawn) as artefact_count, count(*) filter (withdrawn) as withdrawn_count, coalesce(sum(size_bytes) filter (not withdrawn),0)::bigint as total_bytes, min(case when evidence_no % 11 = 5 then 0 else 1 end) as content_ok, 1 as chain_ok, min(case when evidence_no % 11 = 5 then 0 else 1 end) as intact from wd group by 1""", WITHDRAWN)
 def _(d):
     records = cut_lineage(_withdrawn(d))
-    stored = d.evidence.filter(F.col("evidence_no") % 11 != 5).select(_padded("EVD-", F.col("evidence_no")).alias("id"), F.col("text").alias("content"))
+    stored = d.evidence.filter(F.col("evidence_no") % 11 != 5).select(text.numbered_id("EVD", F.col("evidence_no")).alias("id"), F.col("text").alias("content"))
     return custody.certificate(records, custody.verify_content(records, stored), custody.verify_chain(records))
 
 

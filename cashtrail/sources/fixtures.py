@@ -64,7 +64,7 @@ select 100 + r_regionkey, 'state-desk', 'LEA', 'sms', concat(lower(r_name), '@de
 union all
 select min(r_regionkey) + 1, 'national-desk', 'I4C', 'webhook', 'national@desk.example', '', '', 1 from region""",
     "evidence": """
-select doc_id as evidence_no, {div:doc_id,8} as case_id, source as kind, text, n_chars as size_bytes,
+select doc_id + 999900 as evidence_no, {div:doc_id,8} as case_id, source as kind, text, n_chars as size_bytes,
   concat('officer-', cast(doc_id % 7 as varchar(20))) as collected_by, 1700000000 + doc_id * 60 as collected_s
 from documents""",
     "notes": """

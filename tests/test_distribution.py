@@ -5,11 +5,14 @@ from pyspark.sql import functions as F
 from cashtrail.operators import distribution as D
 
 
-@pytest.fixture(params=["direct", "blocks"])
-def limit(request, monkeypatch):
-    if request.param == "blocks":
-        monkeypatch.setattr(D, "DIRECT_LIMIT", 5)
-        monkeypatch.setattr(D, "BLOCKS", 7)
+@pytest.fixture(params=["one_block", "blocks"])
+def limit(request, spark):
+    """Small inputs fall into one partition unless partitions stay as they are."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(request.param == "one_block").lower())
+    yield
+    spark.conf.set(name, before)
 
 
 def sample(spark, seed=3):
