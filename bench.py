@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINES = ("recurring_cashpoints", "account_features", "chain_timing", "collapsed_edges", "velocity_by_case", "case_detections",
-             "nearest_machines", "machine_cells", "case_forecasts", "forward_surface", "alerts", "replay_hits", "custody_chain", "money_trail")
+             "nearest_machines", "machine_cells", "case_forecasts", "forward_surface", "alerts", "replay_hits", "custody_chain", "money_trail", "components", "choice_weights", "stream_complaint_intake")
 
 
 def main() -> None:
@@ -19,7 +19,6 @@ def main() -> None:
 
     from cashtrail.plans import catalogue
     from cashtrail.plans.place_queries import Picture
-    from cashtrail.plans.report_queries import Replay
     from cashtrail.session import build_session
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -33,7 +32,6 @@ def main() -> None:
     for name in sys.argv[1:] or HEADLINES:
         # every query builds its own tables: nothing is carried over from the one before
         Picture.forget()
-        Replay._made.clear()
         began = time.perf_counter()
         seen = Observation()
         # every column of every row is produced, nothing is pruned away by a count

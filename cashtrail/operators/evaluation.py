@@ -227,7 +227,7 @@ def _live_ahead(live: DataFrame, asks: DataFrame, live_value: Column, ask_value:
 
 
 def replay_truth_ranks(events: DataFrame, scores: DataFrame, cells: DataFrame, prior: DataFrame, prior_weight: float = 0.15) -> DataFrame:
-    """Rank of the true cell among all cells at the instant of filing: (complaint_id, rank).
+    """Rank of the true cell among all cells at the instant of filing: (event_id, rank).
 
     The rank is 1 + the cells that score higher. Live cells are compared inside the instant;
     cells with prior mass only are counted in the one prior order, so no instant ever lists
@@ -236,7 +236,7 @@ def replay_truth_ranks(events: DataFrame, scores: DataFrame, cells: DataFrame, p
     totals = scores.groupBy("at_s").agg(F.sum("rupees").alias("total"))
     priors = cells.select("cell").join(prior, "cell", "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
     live = (scores.join(priors, "cell").join(totals, "at_s").withColumn("score", F.col("rupees") + prior_weight * F.col("share") * F.col("total")))
-    truth = events.select("complaint_id", F.col("filed_s").alias("at_s"), F.col("truth_cell").alias("cell"))
+    truth = events.select("event_id", F.col("filed_s").alias("at_s"), F.col("truth_cell").alias("cell"))
     asks = (truth.select("at_s", "cell").distinct().join(priors, "cell").join(totals, "at_s")
             .join(live.select("at_s", "cell", "score"), ["at_s", "cell"], "left")
             # the share a cell needs for its prior part alone to beat the true cell
@@ -253,14 +253,51 @@ def replay_truth_ranks(events: DataFrame, scores: DataFrame, cells: DataFrame, p
 
 
 def hit_table(ranks: DataFrame, amounts: DataFrame, ks=K_GRID) -> DataFrame:
-    """hit@k and rupees covered from (complaint_id, rank) and (complaint_id, amount)."""
-    rows = amounts.join(ranks.select("complaint_id", "rank"), "complaint_id")
+    """hit@k and rupees covered from (event_id, rank) and (event_id, amount)."""
+    rows = amounts.join(ranks.select("event_id", "rank"), "event_id")
     per = [F.struct(F.lit(k).alias("k"), F.count(F.when(F.col("rank") <= k, 1)).alias("hits"), F.sum(F.when(F.col("rank") <= k, F.col("amount")).otherwise(0.0)).alias("rupees")) for k in ks]
     one = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"), F.array(*per).alias("c"))
     return one.select("n", "total", F.explode("c").alias("c")).select(
         "c.k", "n", "c.hits", F.round(F.col("c.hits") / F.col("n"), 4).alias("hit_rate"), F.round(F.col("c.rupees") / F.col("total"), 4).alias("rupees_covered"))
 
 
+def flagged_shares(events: DataFrame, scores: DataFrame, cells: DataFrame, prior: DataFrame, n_machines: Column, ks=K_GRID, prior_weight: float = 0.15) -> DataFrame:
+    """Mean share of all machines that the k best cells of an event's instant hold: (k, share).
+
+    A cell with prior mass alone is among the k best only if it is among the k largest priors, because every cell with
+    a larger prior is ahead of it. So an instant lists its live cells and max(ks) others.
+    """
+    most = max(ks)
+    totals = scores.groupBy("at_s").agg(F.sum("rupees").alias("total")).filter("total > 0")
+    size = cells.select("cell", "atm_count")
+    live = (scores.join(totals, "at_s").join(prior.select("cell", "share"), "cell", "left")
+            .select("at_s", "cell", (F.col("rupees") + prior_weight * F.coalesce("share", F.lit(0.0)) * F.col("total")).alias("score")))
+    # max(ks) rows
+    best = prior.select("cell", "share").filter("share > 0").orderBy(F.desc("share"), "cell").limit(most)
+    rest = (totals.join(F.broadcast(best)).select("at_s", "cell", (prior_weight * F.col("share") * F.col("total")).alias("score"))
+            .join(scores.select("at_s", "cell"), ["at_s", "cell"], "left_anti"))
+    order = Window.partitionBy("at_s").orderBy(F.desc("score"), "cell")
+    top = live.unionByName(rest).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).join(size, "cell")
+    per = [F.sum(F.when(F.col("r") <= k, F.col("atm_count")).otherwise(0)).alias(f"k{k}") for k in ks]
+    held = events.select("event_id", F.col("filed_s").alias("at_s")).join(top.groupBy("at_s").agg(*per), "at_s")
+    one = held.agg(F.array(*[F.struct(F.lit(k).alias("k"), F.avg(F.col(f"k{k}")).alias("machines")) for k in ks]).alias("c"))
+    return one.select(F.explode("c").alias("c")).select("c.k", (F.col("c.machines") / n_machines).alias("share"))
+
+
+def forecast_table(hits: DataFrame, shares: DataFrame, leads: DataFrame, radius_km: float) -> DataFrame:
+    """Hit table with the predictive accuracy index, the share of machines and area flagged, and the mean lead of the hits."""
+    return (hits.join(shares, "k").join(leads, "k", "left")
+            .withColumn("pai", F.when((F.col("share") > 0) & (F.col("n") > 0), F.round(F.col("hits") / F.col("n") / F.col("share"), 3)).otherwise(0.0))
+            .withColumn("flagged_atm_share", F.round("share", 5)).withColumn("flagged_area_km2", F.round(F.col("k") * math.pi * radius_km * radius_km, 1)).drop("share"))
+
+
+def mean_leads(ranks: DataFrame, delays: DataFrame, ks=K_GRID) -> DataFrame:
+    """(k, mean_lead_min): minutes from filing to withdrawal of the events hit at k."""
+    rows = ranks.select("event_id", "rank").join(delays, "event_id")
+    one = rows.agg(F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.avg(F.when(F.col("rank") <= k, F.col("delay_min"))), 2).alias("lead")) for k in ks]).alias("c"))
+    return one.select(F.explode("c").alias("c")).select("c.k", F.col("c.lead").alias("mean_lead_min"))
+
+
 def coverage_table(hits: DataFrame) -> DataFrame:
     """Precision, false cells per hit and cells searched per hit."""
     tries = F.col("k") * F.col("n")
@@ -272,7 +309,7 @@ def coverage_table(hits: DataFrame) -> DataFrame:
 def static_rank(truth: DataFrame, order: DataFrame) -> DataFrame:
     """Rank of every true cell in one fixed cell order (decayed prior or plain counts); ties by cell."""
     ranked = order.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("share"), "cell")))
-    return truth.join(ranked.select("cell", "rank"), truth.truth_cell == ranked.cell).select("complaint_id", "rank")
+    return truth.join(ranked.select("cell", "rank"), truth.truth_cell == ranked.cell).select("event_id", "rank")
 
 
 def distance_rank(truth: DataFrame, cells: DataFrame) -> DataFrame:
@@ -285,7 +322,7 @@ def distance_rank(truth: DataFrame, cells: DataFrame) -> DataFrame:
     mine = (truth.join(cells.select(F.col("cell").alias("truth_cell"), F.col("lat").alias("clat"), F.col("lon").alias("clon")), "truth_cell")
             .withColumn("d", geo.haversine_km("lat", "lon", "clat", "clon")).withColumn("km", F.greatest(F.lit(0.0), F.col("d") - 1e-9)))
     nearer = spatial.count_in_circles(mine.select("lat", "lon", "km"), cells, "nearer")
-    return mine.join(nearer, ["lat", "lon", "km"]).select("complaint_id", (F.col("nearer") + 1).alias("rank"))
+    return mine.join(nearer, ["lat", "lon", "km"]).select("event_id", (F.col("nearer") + 1).alias("rank"))
 
 
 def city_positions(directory: DataFrame) -> DataFrame:

@@ -18,8 +18,9 @@ from .evaluation import average_precision, best_threshold, confusion, roc_auc, u
 
 
 def _unit(key: Column, seed: int) -> Column:
-    """A repeatable number in [0, 1) per key."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    """A repeatable number in [0, 1) per key: the first twelve hex digits of md5('seed|key')."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 12)
+    return F.conv(digits, 16, 10).cast("long") / float(1 << 48)
 
 
 def standardise(df: DataFrame, columns: list[str], train: Column) -> DataFrame:

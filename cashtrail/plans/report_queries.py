@@ -177,20 +177,31 @@ def _(d):
 
 # --- ranking and zones -------------------------------------------------------------------------------
 
-TRUTH = SCORED + "," + TERMINALS + """,
-truth as (select complaint_id, t.account_id, t.cashout_atm_id, t.time_to_cashout_min, a.lat, a.lon, a.bank_id from terminal t join accounts a using (account_id) where t.cashout_atm_id in (select atm_id from cashpoints)),
-truthrank as (select t.complaint_id, s.choice_rank as rank, s.rank as dist_rank from truth t left join scored s on s.lat=t.lat and s.lon=t.lon and s.bank_id=t.bank_id and s.atm_id=t.cashout_atm_id)"""
+# Labelled cash-outs outside history, on the test side of the complaint split: what is reported was never learned from.
+HELD = HISTORY + """,
+evalset as (select txn_id as event_id, complaint_id, dst_account as account_id, cashout_atm_id, time_to_cashout_min, lat, lon, bank_id from ledger join accounts on dst_account = account_id
+  where complaint_id is not null and is_terminal = 1 and cashout_atm_id in (select atm_id from cashpoints) and complaint_id not in (select complaint_id from history)),
+parts as (select complaint_id, ('0x' || substr(md5('42|' || complaint_id), 1, 12))::bigint / 281474976710656.0 as u from (select distinct complaint_id from evalset)),
+truth as (select * from evalset where complaint_id in (select complaint_id from parts where u < (select s[least(n, floor(0.2*n)::bigint + 1)] from (select list(u order by u) as s, count(*) as n from parts))))"""
+
+TRUTH = SCORED + "," + HELD + """,
+truthrank as (select t.event_id, s.choice_rank as rank, s.rank as dist_rank from truth t left join scored s on s.lat=t.lat and s.lon=t.lon and s.bank_id=t.bank_id and s.atm_id=t.cashout_atm_id)"""
 
 
 def _truth(d):
-    ends = choice.case_terminals(tables.attached_only(d.ledger)).join(d.cashpoints.select(F.col("atm_id").alias("cashout_atm_id")), "cashout_atm_id", "left_semi")
-    return ends.join(d.accounts.select("account_id", "lat", "lon", "bank_id"), "account_id")
+    """(event_id, complaint_id, account_id, cashout_atm_id, time_to_cashout_min, lat, lon, bank_id) of every held-out cash-out."""
+    history = candidates.history_complaints(d.complaints)
+    ends = (tables.attached_only(d.ledger).filter("is_terminal = 1")
+            .select(F.col("txn_id").alias("event_id"), "complaint_id", F.col("dst_account").alias("account_id"), "cashout_atm_id", "time_to_cashout_min")
+            .join(history, "complaint_id", "left_anti").join(d.cashpoints.select(F.col("atm_id").alias("cashout_atm_id")), "cashout_atm_id", "left_semi")
+            .join(d.accounts.select("account_id", "lat", "lon", "bank_id"), "account_id"))
+    return learning.split_by_complaint(cut_lineage(ends)).filter("part = 'test'").drop("part")
 
 
 @query("truth_ranks", ALL, "select * from truthrank", TRUTH)
 def _(d):
     s = choice.fixed_scores(d.accounts, d.cashpoints).select("lat", "lon", "bank_id", F.col("atm_id").alias("cashout_atm_id"), F.col("choice_rank"), F.col("rank").alias("dist_rank"))
-    return _truth(d).join(s, ["lat", "lon", "bank_id", "cashout_atm_id"], "left").select("complaint_id", F.col("choice_rank").alias("rank"), "dist_rank")
+    return _truth(d).join(s, ["lat", "lon", "bank_id", "cashout_atm_id"], "left").select("event_id", F.col("choice_rank").alias("rank"), "dist_rank")
 
 
 CURVE = "select k, round(count(*) filter (rank <= k)/count(*),4) as containment, round(count(*) filter (dist_rank <= k)/count(*),4) as baseline, round(1 - k/(select count(*) from cashpoints),6) as reduction, count(*) - count(rank) as retrieval_failures, count(rank) - count(*) filter (rank <= k) as ranking_failures from truthrank, "
@@ -220,7 +231,7 @@ def _(d):
 
 ZONED = TRUTH + "," + ZONE[len(SCORED) + 2:] + f""",
 near3 as (select lat, lon, avg(plat) as nlat, avg(plon) as nlon from near where rank <= 3 group by 1, 2),
-zerr as (select t.complaint_id, {hav('zone_lat', 'zone_lon', 'c.lat', 'c.lon')} as err_km, greatest(zone_radius_km,0.05) as r, {hav('nlat', 'nlon', 'c.lat', 'c.lon')} as near_km, {hav('t.lat', 't.lon', 'c.lat', 'c.lon')} as account_km
+zerr as (select t.event_id, {hav('zone_lat', 'zone_lon', 'c.lat', 'c.lon')} as err_km, greatest(zone_radius_km,0.05) as r, {hav('nlat', 'nlon', 'c.lat', 'c.lon')} as near_km, {hav('t.lat', 't.lon', 'c.lat', 'c.lon')} as account_km
   from truth t join zone z on z.lat=t.lat and z.lon=t.lon and z.bank_id=t.bank_id join near3 n on n.lat=t.lat and n.lon=t.lon join cashpoints c on c.atm_id = t.cashout_atm_id)"""
 
 
@@ -230,7 +241,7 @@ def _zone_errors(d):
     near3 = scored.filter("rank <= 3").select("lat", "lon", "atm_id", "plat", "plon").distinct().groupBy("lat", "lon").agg(F.avg("plat").alias("nlat"), F.avg("plon").alias("nlon"))
     c = d.cashpoints.select(F.col("atm_id").alias("cashout_atm_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
     rows = _truth(d).join(zones, ["lat", "lon", "bank_id"]).join(near3, ["lat", "lon"]).join(c, "cashout_atm_id")
-    return rows.select("complaint_id", geo.haversine_km("zone_lat", "zone_lon", "clat", "clon").alias("err_km"), F.greatest("zone_radius_km", F.lit(0.05)).alias("r"),
+    return rows.select("event_id", geo.haversine_km("zone_lat", "zone_lon", "clat", "clon").alias("err_km"), F.greatest("zone_radius_km", F.lit(0.05)).alias("r"),
                        geo.haversine_km("nlat", "nlon", "clat", "clon").alias("near_km"), geo.haversine_km("lat", "lon", "clat", "clon").alias("account_km"))
 
 
@@ -251,13 +262,13 @@ def _(d):
 
 
 @query("true_machine_distance_rank", ALL, f"""
-select complaint_id, 1 + (select count(*) from cashpoints c where {hav('t.lat', 't.lon', 'c.lat', 'c.lon')} < km - 1e-9) as rank, round(km,4) as km from (select t.*, {hav('t.lat', 't.lon', 'c.lat', 'c.lon')} as km from truth t join cashpoints c on c.atm_id = cashout_atm_id) t""", TRUTH)
+select event_id, 1 + (select count(*) from cashpoints c where {hav('t.lat', 't.lon', 'c.lat', 'c.lon')} < km - 1e-9) as rank, round(km,4) as km from (select t.*, {hav('t.lat', 't.lon', 'c.lat', 'c.lon')} as km from truth t join cashpoints c on c.atm_id = cashout_atm_id) t""", TRUTH)
 def _(d):
     """Rank of the true machine by distance without any cut, as points in a circle."""
     machines = d.cashpoints.select(F.col("atm_id").alias("cell"), "lat", "lon")
-    truth = _truth(d).withColumnRenamed("cashout_atm_id", "truth_cell").select("complaint_id", "truth_cell", "lat", "lon")
-    km = truth.join(machines.select(F.col("cell").alias("truth_cell"), F.col("lat").alias("clat"), F.col("lon").alias("clon")), "truth_cell").select("complaint_id", F.round(geo.haversine_km("lat", "lon", "clat", "clon"), 4).alias("km"))
-    return evaluation.distance_rank(truth, machines).join(km, "complaint_id")
+    truth = _truth(d).withColumnRenamed("cashout_atm_id", "truth_cell").select("event_id", "truth_cell", "lat", "lon")
+    km = truth.join(machines.select(F.col("cell").alias("truth_cell"), F.col("lat").alias("clat"), F.col("lon").alias("clon")), "truth_cell").select("event_id", F.round(geo.haversine_km("lat", "lon", "clat", "clon"), 4).alias("km"))
+    return evaluation.distance_rank(truth, machines).join(km, "event_id")
 
 
 @query("delay_distribution", "ledger", """
@@ -268,12 +279,12 @@ def _(d):
 
 
 COUNT = TRUTH + """,
-cd as (select complaint_id, time_to_cashout_min::double as actual, 22.0+1.9*dist_km as predicted, (22.0+1.9*dist_km)*0.4 as lo, (22.0+1.9*dist_km)*2.2 as hi from truth t join scored s on s.lat=t.lat and s.lon=t.lon and s.bank_id=t.bank_id and s.choice_rank=1)"""
+cd as (select event_id, time_to_cashout_min::double as actual, 22.0+1.9*dist_km as predicted, (22.0+1.9*dist_km)*0.4 as lo, (22.0+1.9*dist_km)*2.2 as hi from truth t join scored s on s.lat=t.lat and s.lon=t.lon and s.bank_id=t.bank_id and s.choice_rank=1)"""
 
 
 def _countdown(d):
     best = choice.fixed_scores(d.accounts, d.cashpoints).filter("choice_rank = 1").select("lat", "lon", "bank_id", (22.0 + 1.9 * F.col("dist_km")).alias("predicted"))
-    return _truth(d).join(best, ["lat", "lon", "bank_id"]).select("complaint_id", F.col("time_to_cashout_min").cast("double").alias("actual"), "predicted", (F.col("predicted") * 0.4).alias("lo"), (F.col("predicted") * 2.2).alias("hi"))
+    return _truth(d).join(best, ["lat", "lon", "bank_id"]).select("event_id", F.col("time_to_cashout_min").cast("double").alias("actual"), "predicted", (F.col("predicted") * 0.4).alias("lo"), (F.col("predicted") * 2.2).alias("hi"))
 
 
 @query("countdown_report", ALL, """select round(avg(abs(actual-predicted)),4) as mae, round(1 - sum(pow(actual-predicted,2))/sum(pow(actual-(select avg(actual) from cd),2)),4) as r2, round(avg(abs(actual-(select avg(actual) from cd))),4) as mean_mae,
@@ -289,46 +300,39 @@ def _(d):
 
 # --- replay -------------------------------------------------------------------------------------------
 
-REPLAY = CELLS + "," + TRUTH + "," + HISTORY + """,
+REPLAY = CELLS + "," + TRUTH + """,
 cellp as (select lat, lon, bank_id, cell, sum(p) as p from scored join member using (atm_id) group by 1,2,3,4),
-evs as (select t.complaint_id, c.filed_s, c.stolen_amount as amount, c.city, c.state, t.lat, t.lon, t.bank_id, 22.0+1.9*dist_km as m, (22.0+1.9*dist_km)*0.4 as lo, (22.0+1.9*dist_km)*2.2 as hi, mm.cell as truth_cell
+evs as (select t.event_id, t.time_to_cashout_min as delay_min, c.filed_s, c.stolen_amount as amount, c.city, c.state, t.lat, t.lon, t.bank_id, 22.0+1.9*dist_km as m, (22.0+1.9*dist_km)*0.4 as lo, (22.0+1.9*dist_km)*2.2 as hi, mm.cell as truth_cell
   from truth t join complaints c on c.ticket_id = t.complaint_id join scored s on s.lat=t.lat and s.lon=t.lon and s.bank_id=t.bank_id and s.choice_rank=1 join member mm on mm.atm_id = t.cashout_atm_id),
 inst as (select distinct filed_s as at_s from evs),
 pairs as (select e.*, at_s, (at_s-filed_s)/60.0 as elapsed, w0, w1 from evs e join inst on at_s between filed_s and filed_s + 7200, (values (0,30),(30,60),(60,120)) w(w0,w1)),""" + mass_sql("pairs", "pm") + """,
 spread as (select at_s, lat, lon, bank_id, sum(window_mass*amount) as rupees from pm group by 1,2,3,4),
 live as (select at_s, cell, sum(rupees*p) as rupees from spread join cellp using (lat, lon, bank_id) group by 1, 2),
-rawprior as (select cell, sum(amount*pow(2.0, -greatest(0.0, ((select max(filed_s) from complaints) - ts_s)/86400.0)/30.0)) as w, count(*) as k from ledger join history using (complaint_id) join member on atm_id = cashout_atm_id where is_terminal=1 group by 1),
+rawprior as (select cell, sum(amount*pow(2.0, -greatest(0.0, ((select max(filed_s) from complaints where ticket_id in (select complaint_id from history)) - ts_s)/86400.0)/30.0)) as w, count(*) as k from ledger join history using (complaint_id) join member on atm_id = cashout_atm_id where is_terminal=1 group by 1),
 prior as (select cell, w/(select sum(w) from rawprior) as share, k/(select sum(k) from rawprior) as flat from rawprior),
 tot as (select at_s, sum(rupees) as total from live group by 1),
 full_s as (select t.at_s, c.cell, coalesce(rupees,0) + 0.15*coalesce(share,0)*total as score from tot t cross join cells c left join live using (at_s, cell) left join prior using (cell)),
-rk as (select e.complaint_id, e.amount, 1 + (select count(*) from full_s o where o.at_s = e.filed_s and o.score > f.score) as rank from evs e join full_s f on f.at_s = e.filed_s and f.cell = e.truth_cell)"""
+rk as (select e.event_id, e.amount, e.delay_min, 1 + (select count(*) from full_s o where o.at_s = e.filed_s and o.score > f.score) as rank from evs e join full_s f on f.at_s = e.filed_s and f.cell = e.truth_cell)"""
 
 
 class Replay:
-    """Filed events with their true cell, cell spread and history prior, written once per application."""
-
-    _made: dict = {}
-
-    @classmethod
-    def of(cls, d):
-        key = (d.spark.sparkContext.applicationId, d.folder)
-        if key not in cls._made:
-            cls._made[key] = cls(d)
-        return cls._made[key]
+    """Held-out cash-outs with their true cell, cell spread and the prior of the history alone, written for one query."""
 
     def __init__(self, d):
-        self.d, p = d, Picture.of(d)
+        self.d, p = d, Picture(d)
         self.cells, self.membership, self.history, self.attached = p.cells, p.membership, p.history, p.attached
-        directory = p.directory
+        self.directory = p.directory
         truth = _truth(d).join(self.membership.select(F.col("atm_id").alias("cashout_atm_id"), F.col("cell").alias("truth_cell")), "cashout_atm_id")
-        scored = cut_lineage(choice.fixed_scores(d.accounts, directory))
+        scored = cut_lineage(choice.fixed_scores(d.accounts, self.directory))
         best = scored.filter("choice_rank = 1").select("lat", "lon", "bank_id", (22.0 + 1.9 * F.col("dist_km")).alias("m"))
         cols = d.complaints.select(F.col("ticket_id").alias("complaint_id"), "filed_s", F.col("stolen_amount").alias("amount"), "city", "state")
-        self.events = cut_lineage(truth.select("complaint_id", "lat", "lon", "bank_id", "truth_cell").join(cols, "complaint_id").join(best, ["lat", "lon", "bank_id"])
+        self.events = cut_lineage(truth.select("event_id", "complaint_id", "lat", "lon", "bank_id", "truth_cell", F.col("time_to_cashout_min").alias("delay_min"))
+                                  .join(cols, "complaint_id").join(best, ["lat", "lon", "bank_id"])
                                   .withColumn("lo", F.col("m") * 0.4).withColumn("hi", F.col("m") * 2.2))
         self.probs = surface.project_to_cells(scored, self.membership, ["lat", "lon", "bank_id"])
         self.outs = acct.cashouts(self.attached).join(self.history, "complaint_id", "left_semi")
-        self.now_s = d.complaints.agg(F.max("filed_s")).head()[0]
+        # the prior is dated at the last filing it may know of
+        self.now_s = d.complaints.withColumnRenamed("ticket_id", "complaint_id").join(self.history, "complaint_id", "left_semi").agg(F.max("filed_s")).head()[0]
 
     def prior(self):
         return cut_lineage(acct.decayed_prior(self.outs, self.membership, self.now_s))
@@ -337,52 +341,61 @@ class Replay:
         n = self.outs.withColumnRenamed("cashout_atm_id", "atm_id").join(self.membership.select("atm_id", "cell"), "atm_id").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
         return n.withColumn("share", F.col("n") / n.agg(F.sum("n")).scalar()).drop("n")
 
-    def ranks(self):
-        scores = cut_lineage(evaluation.epoch_cell_scores(self.events, self.probs))
-        return evaluation.replay_truth_ranks(self.events, scores, self.cells, self.prior())
+    def scores(self):
+        return cut_lineage(evaluation.epoch_cell_scores(self.events, self.probs))
+
+    def ranks(self, scores=None):
+        return evaluation.replay_truth_ranks(self.events, self.scores() if scores is None else scores, self.cells, self.prior())
 
     def table(self, ranks):
-        return evaluation.hit_table(ranks, self.events.select("complaint_id", "amount"))
+        return evaluation.hit_table(ranks, self.events.select("event_id", "amount"))
 
 
 HITS = "select k, count(*) as n, count(*) filter (rank <= k) as hits, round(count(*) filter (rank <= k)/count(*),4) as hit_rate, round(sum(case when rank <= k then amount else 0.0 end)/sum(amount),4) as rupees_covered from {0}, (values (1),(3),(5),(10)) g(k) group by k"
 
 
-@query("replay_hits", ALL, HITS.format("rk"), REPLAY, recursive=True)
+@query("replay_hits", ALL, """
+select h.*, round(l.lead, 2) as mean_lead_min, round(h.hits/h.n/f.share, 3) as pai, round(f.share, 5) as flagged_atm_share, round(h.k*pi()*144, 1) as flagged_area_km2 from (""" + HITS.format("rk") + """) h
+join (select k, avg(sh) as share from evs e join (select at_s, k, sum(atm_count)/(select count(*) from cashpoints) as sh from (select at_s, atm_count, row_number() over (partition by at_s order by score desc, cell) as r from full_s join cells using (cell) where score > 0) , (values (1),(3),(5),(10)) g(k) where r <= k group by 1, 2) s on s.at_s = e.filed_s group by k) f using (k)
+join (select k, avg(case when rank <= k then delay_min end) as lead from rk, (values (1),(3),(5),(10)) g(k) group by k) l using (k)""", REPLAY, recursive=True)
 def _(d):
-    r = Replay.of(d)
-    return r.table(r.ranks())
+    r = Replay(d)
+    scores, machines = r.scores(), d.cashpoints.agg(F.count(F.lit(1))).scalar()
+    ranks = cut_lineage(r.ranks(scores))
+    shares = evaluation.flagged_shares(r.events, scores, r.cells, r.prior(), machines)
+    leads = evaluation.mean_leads(ranks, r.events.select("event_id", "delay_min"))
+    return evaluation.forecast_table(r.table(ranks), shares, leads, spatial.CELL_RADIUS_KM)
 
 
 @query("replay_coverage", ALL, "select k, hits, round(hits/(k*n),5) as precision, case when hits > 0 then round((k*n-hits)/hits,2) else 0.0 end as false_cells_per_hit, case when hits > 0 then round(k*n/hits,2) else 0.0 end as cells_per_hit from (" + HITS.format("rk") + ")", REPLAY, recursive=True)
 def _(d):
-    r = Replay.of(d)
+    r = Replay(d)
     return evaluation.coverage_table(r.table(r.ranks())).select("k", "hits", "precision", "false_cells_per_hit", "cells_per_hit")
 
 
-@query("replay_prior_baseline", ALL, HITS.format("(select e.complaint_id, amount, rank from evs e join (select cell, row_number() over (order by share desc, cell) as rank from prior) p on p.cell = e.truth_cell)"), REPLAY, recursive=True)
+@query("replay_prior_baseline", ALL, HITS.format("(select e.event_id, amount, rank from evs e join (select cell, row_number() over (order by share desc, cell) as rank from prior) p on p.cell = e.truth_cell)"), REPLAY, recursive=True)
 def _(d):
-    r = Replay.of(d)
+    r = Replay(d)
     return r.table(evaluation.static_rank(r.events, r.prior()))
 
 
-@query("replay_static_baseline", ALL, HITS.format("(select e.complaint_id, amount, rank from evs e join (select cell, row_number() over (order by flat desc, cell) as rank from prior) p on p.cell = e.truth_cell)"), REPLAY, recursive=True)
+@query("replay_static_baseline", ALL, HITS.format("(select e.event_id, amount, rank from evs e join (select cell, row_number() over (order by flat desc, cell) as rank from prior) p on p.cell = e.truth_cell)"), REPLAY, recursive=True)
 def _(d):
-    r = Replay.of(d)
+    r = Replay(d)
     return r.table(evaluation.static_rank(r.events, r.flat()))
 
 
-@query("replay_nearest_cell_baseline", ALL, HITS.format(f"(select e.complaint_id, amount, 1 + (select count(*) from cells o where {hav('e.lat', 'e.lon', 'o.lat', 'o.lon')} < {hav('e.lat', 'e.lon', 'c.lat', 'c.lon')} - 1e-9) as rank from evs e join cells c on c.cell = e.truth_cell)"), REPLAY, recursive=True)
+@query("replay_nearest_cell_baseline", ALL, HITS.format(f"(select e.event_id, amount, 1 + (select count(*) from cells o where {hav('e.lat', 'e.lon', 'o.lat', 'o.lon')} < {hav('e.lat', 'e.lon', 'c.lat', 'c.lon')} - 1e-9) as rank from evs e join cells c on c.cell = e.truth_cell)"), REPLAY, recursive=True)
 def _(d):
-    r = Replay.of(d)
-    return r.table(evaluation.distance_rank(r.events.select("complaint_id", "truth_cell", "lat", "lon"), r.cells))
+    r = Replay(d)
+    return r.table(evaluation.distance_rank(r.events.select("event_id", "truth_cell", "lat", "lon"), r.cells))
 
 
-@query("replay_victim_city_baseline", ALL, HITS.format(f"(select e.complaint_id, amount, 1 + (select count(*) from cells o where {hav('v.vlat', 'v.vlon', 'o.lat', 'o.lon')} < {hav('v.vlat', 'v.vlon', 'c.lat', 'c.lon')} - 1e-9) as rank from evs e join cells c on c.cell = e.truth_cell join (select city, state, avg(lat) as vlat, avg(lon) as vlon from cashpoints group by 1,2) v on v.city = e.city and v.state = e.state)"), REPLAY, recursive=True)
+@query("replay_victim_city_baseline", ALL, HITS.format(f"(select e.event_id, amount, 1 + (select count(*) from cells o where {hav('v.vlat', 'v.vlon', 'o.lat', 'o.lon')} < {hav('v.vlat', 'v.vlon', 'c.lat', 'c.lon')} - 1e-9) as rank from evs e join cells c on c.cell = e.truth_cell join (select city, state, avg(lat) as vlat, avg(lon) as vlon from cashpoints group by 1,2) v on v.city = e.city and v.state = e.state)"), REPLAY, recursive=True)
 def _(d):
-    r = Replay.of(d)
+    r = Replay(d)
     spots = evaluation.city_positions(d.cashpoints)
-    truth = r.events.select("complaint_id", "truth_cell", "city", "state").join(spots, ["city", "state"]).select("complaint_id", "truth_cell", "lat", "lon")
+    truth = r.events.select("event_id", "truth_cell", "city", "state").join(spots, ["city", "state"]).select("event_id", "truth_cell", "lat", "lon")
     return r.table(evaluation.distance_rank(cut_lineage(truth), r.cells))
 
 
@@ -391,11 +404,16 @@ def _(d):
     return evaluation.open_pairs(d.complaints)
 
 
-@query("busiest_prior_share", ALL, "select round(sum(prior_rupees)/sum(conditional_rupees+prior_rupees),4) as prior_share from surf", SURFACE, recursive=True)
+@query("busiest_prior_share", ALL, """
+select round(0.15*sh*total/(total + 0.15*sh*total), 4) as prior_share, n_open from (select sum(share) as sh from prior), tot join
+ (select a.filed_s as at_s, count(*) as n_open from (select distinct filed_s from evs) a join evs b on b.filed_s between a.filed_s - 7200 and a.filed_s group by 1 order by n_open desc, at_s limit 1) using (at_s)""", REPLAY, recursive=True)
 def _(d):
-    """The 15 % cap measured on the busiest instant."""
-    s = Picture.of(d).surface()
-    return s.agg(F.round(F.sum("prior_rupees") / F.sum(F.col("conditional_rupees") + F.col("prior_rupees")), 4).alias("prior_share"))
+    """The 15 % cap measured at the instant with most held-out cases open, the earliest of equals."""
+    r = Replay(d)
+    most = evaluation.open_pairs(r.events).agg(F.min_by(F.struct("at_s", "n_open"), F.struct(-F.col("n_open"), F.col("at_s"))).alias("m")).select("m.*")
+    live = r.scores().groupBy("at_s").agg(F.sum("rupees").alias("total"))
+    added = 0.15 * r.prior().agg(F.sum("share")).scalar() * F.col("total")
+    return live.join(most, "at_s").select(F.round(added / (F.col("total") + added), 4).alias("prior_share"), "n_open")
 
 
 # --- learning -----------------------------------------------------------------------------------------
@@ -442,9 +460,9 @@ def _(d):
     return tidy(learning.experiment_table(rows, names, [{"name": "own", "columns": own, "kind": "logistic"}, {"name": "own_and_graph", "kind": "logistic"}]))
 
 
-def _ranking(d, crew=False):
+def _ranking(d):
     attached = tables.attached_only(d.ledger)
-    return candidates.ranking_set(attached, d.ledger, d.complaints, d.accounts, cut_lineage(d.cashpoints), _features(d), with_crew=crew)
+    return candidates.ranking_set(attached, d.ledger, d.complaints, d.accounts, cut_lineage(d.cashpoints), _features(d))
 
 
 @query("ranking_set")
@@ -484,10 +502,10 @@ def _(d):
 
 @query("countdown_forecast")
 def _(d):
-    rows = _ranking(d).filter("dist_rank = 0")
+    rows = _ranking(d).filter("label = 1")
     cols = ["stolen_amount", "velocity", "hour_of_day", "amount_after_split", "median_dwell_seconds", "log_median_gap", "log_span", "dist_km"]
     rows = cut_lineage(learning.split_by_complaint(rows))
-    model = learning.fit_countdown(rows, cols, rounds=5, depth=3)
+    model = learning.fit_countdown(rows, cols)
     scored = model.transform(rows)
     hold = learning._unit(F.col("complaint_id"), 43) < 0.15
     out = learning.countdown_band(scored.filter("part = 'test'"), scored.filter((F.col("part") == "train") & hold))

@@ -3,7 +3,8 @@
 customer -> accounts, part -> cash machines, orders -> complaints, lineitem -> transfers,
 documents -> evidence artefacts, conversations -> case notes, events -> audit trail,
 nation/region -> alert recipients. An order that is still open ('O') has no complaint on
-its transfers, so some complaints have no ledger and some transfers are unattached.
+its transfers, so some complaints have no ledger and some transfers are unattached; an order of five
+lines or more is cashed out twice.
 """
 
 from __future__ import annotations
@@ -44,15 +45,16 @@ select l_orderkey * 100 + hop as txn_id,
   dst as dst_account, l_extendedprice * (1 - l_discount) as amount,
   {epoch:o_orderdate} + hop * 70 + (l_partkey % 97) * (1 + l_suppkey % 5) as ts_s,
   least({div:hop + 2,3}, 4) as hop_depth,
-  case when hop > n - 1 then 1 else 0 end as is_terminal,
+  case when hop > n - ends then 1 else 0 end as is_terminal,
   case when o_orderstatus <> 'O' then 1 else 0 end as is_fraud,
-  case when hop > n - 1 then (l_partkey * 13 + l_suppkey) % (select count(*) from part) end as cashout_atm_id,
-  case when hop > n - 1 then 3 + (l_partkey * 37 + l_suppkey * 11) % 110 end as time_to_cashout_min
+  case when hop > n - ends then (l_partkey * 13 + l_suppkey) % (select count(*) from part) end as cashout_atm_id,
+  case when hop > n - ends then 3 + (l_partkey * 37 + l_suppkey * 11) % 110 end as time_to_cashout_min
 from (
   select l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_discount, o_custkey, o_orderdate, o_orderstatus,
     (l_partkey * 7 + l_suppkey) % (select count(*) from customer) as dst,
     row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as hop,
-    count(*) over (partition by l_orderkey) as n
+    count(*) over (partition by l_orderkey) as n,
+    case when count(*) over (partition by l_orderkey) >= 5 then 2 else 1 end as ends
   from lineitem join orders on l_orderkey = o_orderkey) l""",
     "recipients": """
 select 1000 + n_nationkey as recipient_id, 'district-desk' as name, 'LEA' as role, 'email' as channel,
