@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,14 +100,17 @@ def complaint_origins(edges: DataFrame) -> DataFrame:
             .select(F.col("complaint_id").alias("trace_id"), F.col("src_account").alias("account_id")).distinct())
 
 
-def trace_complaints(edges: DataFrame, max_depth: int = TRACE_DEPTH) -> DataFrame:
-    """Depth from the first-hop sources of every complaint, over the whole graph.
+def trace_complaints(edges: DataFrame, asked: DataFrame | None = None, max_depth: int = TRACE_DEPTH) -> DataFrame:
+    """(complaint_id, account_id, depth) from the first-hop sources of the asked complaints, over the whole graph.
 
-    The walk is done once per distinct origin account and handed to its complaints
-    afterwards, so complaints that share an origin share the work. Where two origins of a
-    complaint reach one account, the smaller depth is kept.
+    ``asked`` holds the complaint ids somebody wants traced; without it every complaint is, and the result is as large as
+    all their reach. The walk is done once per distinct origin account and handed to its complaints afterwards. Where
+    two origins of a complaint reach one account, the smaller depth is kept.
     """
     origins = complaint_origins(edges)
+    if asked is not None:
+        origins = origins.join(asked.select(F.col("complaint_id").alias("trace_id")).distinct(), "trace_id", "left_semi")
+    origins = cut_lineage(origins)
     walks = trace(origins.select(F.col("account_id").alias("trace_id"), "account_id").distinct(), edges, max_depth)
     return (origins.select(F.col("trace_id").alias("complaint_id"), F.col("account_id").alias("origin"))
             .join(walks, F.col("origin") == walks.trace_id)
@@ -178,48 +179,6 @@ def neighbour_mean(features: DataFrame, edges: DataFrame, columns: list[str], ro
     return out
 
 
-def sage_layer(vectors: DataFrame, edges: DataFrame, weights: dict, both_ways: bool = True) -> DataFrame:
-    """One trained layer: linear(self) + linear(mean of neighbours), batch norm, ReLU, on array columns.
-
-    ``weights``: self and near (rows of out x in), bias, and batch-norm scale and shift as
-    plain lists; their size is fixed by the model, not by the data.
-    """
-    fwd = edges.select(F.col("src_account").alias("s"), F.col("dst_account").alias("d"))
-    ways = fwd.unionByName(fwd.select(F.col("d").alias("s"), F.col("s").alias("d"))) if both_ways else fwd
-    counted = ways.groupBy("s", "d").agg(F.count(F.lit(1)).alias("w"))
-    width = len(weights["self"][0])
-    sums = [(F.sum(F.col("x")[i] * F.col("w")) / F.sum("w")) for i in range(width)]
-    near = (counted.join(vectors, F.col("s") == F.col("account_id")).groupBy(F.col("d").alias("account_id"))
-            .agg(F.array(*sums).alias("nx")))
-    zero = F.array(*[F.lit(0.0)] * width)
-    joined = vectors.join(near, "account_id", "left").withColumn("nx", F.coalesce("nx", zero))
-
-    near_w, self_w = np.array(weights["near"]).T, np.array(weights["self"]).T
-    bias, scale, shift = (np.array(weights[c]) for c in ("bias", "scale", "shift"))
-
-    @F.pandas_udf("array<double>")
-    def layer(x: pd.Series, nx: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        out = np.vstack(x.to_list()) @ self_w + np.vstack(nx.to_list()) @ near_w + bias
-        return pd.Series(list(np.maximum(0.0, out * scale + shift)))
-
-    return joined.select("account_id", layer("x", "nx").alias("x"))
-
-
-def sage_embed(vectors: DataFrame, edges: DataFrame, layers: list[dict], both_ways: bool = True) -> DataFrame:
-    for weights in layers:
-        vectors = sage_layer(vectors, edges, weights, both_ways)
-    return vectors
-
-
-def embed_subset(vectors: DataFrame, ledger: DataFrame, complaints: DataFrame, layers: list[dict]) -> DataFrame:
-    """The same over the transfers of some complaints only, forward edges only."""
-    edges = ledger.join(complaints.select("complaint_id"), "complaint_id", "left_semi")
-    ends = edges.select(F.col("src_account").alias("account_id")).union(edges.select("dst_account")).distinct()
-    return sage_embed(vectors.join(ends, "account_id", "left_semi"), edges, layers, both_ways=False)
-
-
 def fan_in_rings(ledger: DataFrame, n: int = 3) -> DataFrame:
     pairs = ledger.select("src_account", "dst_account").distinct()
     return (pairs.groupBy(F.col("dst_account").alias("account_id")).agg(F.count(F.lit(1)).alias("sources"))

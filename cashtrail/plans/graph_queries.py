@@ -81,51 +81,54 @@ def _(d):
     return graph.graph_stats(*graph.build_graph(d.ledger, d.accounts))
 
 
-WALK = """
-pairs as (select distinct src_account as s, dst_account as t from ledger),
-d0 as (select distinct src_account as start, src_account as node, 0 as depth from ledger where complaint_id is not null and hop_depth = 1),
-d1 as (select distinct start, t as node from d0 join pairs on s = node),
-d2 as (select distinct start, t as node from d1 join pairs on s = node),
-walk as (select start, node, min(depth) as depth from (select * from d0 union all select start, node, 1 from d1 union all select start, node, 2 from d2) group by 1, 2)"""
-
-
-@query("trace_all_complaints", "ledger", """
-select complaint_id, count(*) as reached, max(depth) as deepest, sum(node)::bigint as node_sum from (select distinct complaint_id, src_account from ledger where complaint_id is not null and hop_depth=1) o
-join walk on start = src_account group by 1""", WALK)
-def _(d):
-    """Reach of every complaint over the whole graph, two transfers deep, as one row per complaint."""
-    edges = d.ledger
-    origins = graph.complaint_origins(edges)
-    walks = graph.trace(origins.select(F.col("account_id").alias("trace_id"), "account_id").distinct(), edges, 2)
-    # every complaint of these tables has one origin: fold the walk before handing it out
-    folded = walks.groupBy("trace_id").agg(F.count(F.lit(1)).alias("reached"), F.max("depth").alias("deepest"), F.sum("account_id").alias("node_sum"))
-    return (origins.select(F.col("trace_id").alias("complaint_id"), F.col("account_id").alias("origin")).join(folded, F.col("origin") == folded.trace_id)
-            .select("complaint_id", "reached", "deepest", "node_sum"))
-
-
-@query("trace_victims_case_graph", "ledger", """
-select start as trace_id, depth, count(*) as accounts, sum(node)::bigint as node_sum from deep group by 1, 2""", """
-att as (select distinct src_account as s, dst_account as t from ledger where complaint_id is not null),
-roots as (select distinct victim_account as start from (select o_custkey as victim_account, o_orderkey from orders) where victim_account in (select s from att union select t from att)),
-l0 as (select start, start as node, 0 as depth from roots where start = (select min(start) from roots)),
-l1 as (select distinct start, t as node from l0 join att on s = node), l2 as (select distinct start, t as node from l1 join att on s = node),
-l3 as (select distinct start, t as node from l2 join att on s = node), l4 as (select distinct start, t as node from l3 join att on s = node), l5 as (select distinct start, t as node from l4 join att on s = node),
-deep as (select start, node, min(depth) as depth from (select * from l0 union all select start,node,1 from l1 union all select start,node,2 from l2 union all select start,node,3 from l3 union all select start,node,4 from l4 union all select start,node,5 from l5) group by 1,2)""")
-def _(d):
-    """Five-level trace from the first victim account over all complaint transfers."""
-    att = _att(d)
-    known = att.select(F.col("src_account").alias("account_id")).union(att.select("dst_account"))
-    start = (d.complaints.select(F.col("victim_account").alias("account_id")).join(known, "account_id", "left_semi").agg(F.min("account_id").alias("account_id"))
-             .select(F.col("account_id").alias("trace_id"), "account_id"))
-    return graph.trace(start, att).groupBy("trace_id", "depth").agg(F.count(F.lit(1)).alias("accounts"), F.sum("account_id").alias("node_sum"))
+# Traces are asked for: every complaint whose id is divisible by 100, five transfers deep, against all transfers.
+ASKED = 100
+
+
+def _walk_sql(edges: str, starts: str) -> str:
+    """CTEs of a five-level walk over ``edges`` from (id, start) rows, ending in walk(id, node, depth)."""
+    out = f"pairs as (select distinct src_account as s, dst_account as t from {edges}),\nd0 as ({starts})"
+    for i in range(1, 6):
+        out += f",\nd{i} as (select distinct id, t as node from d{i - 1} join pairs on s = node)"
+    levels = " union all ".join(f"select id, node, {i} as depth from d{i}" for i in range(6))
+    return out + f",\nwalk as (select id, node, min(depth) as depth from ({levels}) group by 1, 2)"
+
+
+ORIGINS = f"select distinct complaint_id as id, src_account as node from ledger where complaint_id % {ASKED} = 0 and hop_depth = 1"
+
+
+def _asked(d):
+    return d.complaints.filter(F.col("ticket_id") % ASKED == 0).select(F.col("ticket_id").alias("complaint_id"))
+
+
+@query("trace_asked_complaints", "ledger", "select id as complaint_id, node as account_id, depth from walk", _walk_sql("ledger", ORIGINS))
+def _(d):
+    """Every account within five transfers of the asked complaints' first sources, over the whole graph."""
+    return graph.trace_complaints(d.ledger, _asked(d)).select("complaint_id", "account_id", "depth")
+
+
+@query("trace_all_complaints", "ledger", "select id as complaint_id, count(*) as reached, max(depth) as deepest, sum(node)::bigint as node_sum from walk group by 1", _walk_sql("ledger", ORIGINS))
+def _(d):
+    """Reach of each asked complaint as one row."""
+    walks = graph.trace_complaints(d.ledger, _asked(d))
+    return walks.groupBy("complaint_id").agg(F.count(F.lit(1)).alias("reached"), F.max("depth").alias("deepest"), F.sum("account_id").alias("node_sum"))
+
+
+@query("trace_victims_case_graph", "complaints ledger", "select id as trace_id, depth, count(*) as accounts, sum(node)::bigint as node_sum from walk group by 1, 2", _walk_sql(
+    "(select * from ledger where complaint_id is not null)",
+    f"select distinct victim_account as id, victim_account as node from complaints where ticket_id % {ASKED} = 0 and (victim_account in (select src_account from ledger where complaint_id is not null) or victim_account in (select dst_account from ledger where complaint_id is not null))"))
+def _(d):
+    """Five-level trace from the asked victims' own accounts over all complaint transfers."""
+    start = d.complaints.filter(F.col("ticket_id") % ASKED == 0).select(F.col("victim_account").alias("trace_id"), F.col("victim_account").alias("account_id"))
+    return graph.trace(start, _att(d)).groupBy("trace_id", "depth").agg(F.count(F.lit(1)).alias("accounts"), F.sum("account_id").alias("node_sum"))
 
 
 @query("trace_terminals", "ledger", """
-select count(*) as n, sum(start)::bigint as start_sum, sum(dst_account)::bigint as account_sum from (select distinct start, dst_account from walk join ledger on src_account = node where depth < 2 and is_terminal = 1)""", WALK)
+select id as trace_id, count(*) as terminals, sum(dst_account)::bigint as account_sum from (select distinct id, dst_account from walk join ledger on src_account = node where depth < 5 and is_terminal = 1) group by 1""", _walk_sql("ledger", ORIGINS))
 def _(d):
-    starts = graph.complaint_origins(d.ledger).select(F.col("account_id").alias("trace_id"), "account_id").distinct()
-    found = graph.trace_terminals(graph.trace(starts, d.ledger, 2), d.ledger, 2)
-    return found.agg(F.count(F.lit(1)).alias("n"), F.sum("trace_id").alias("start_sum"), F.sum("account_id").alias("account_sum"))
+    reached = graph.trace_complaints(d.ledger, _asked(d)).withColumnRenamed("complaint_id", "trace_id")
+    found = graph.trace_terminals(reached, d.ledger)
+    return found.groupBy("trace_id").agg(F.count(F.lit(1)).alias("terminals"), F.sum("account_id").alias("account_sum"))
 
 
 @query("case_graph_nodes", "ledger complaints accounts", """
@@ -167,31 +170,6 @@ def _(d):
     return tidy(graph.neighbour_mean(f, d.ledger, ["f1", "f2"]), 6)
 
 
-def _layers(width, out=64):
-    """A fixed two-layer weight set (stands in for a trained checkpoint)."""
-    def layer(n_in):
-        w = lambda k: [[((i * 7 + j * 3 + k) % 11 - 5) / 20.0 for j in range(n_in)] for i in range(out)]
-        return {"self": w(1), "near": w(4), "bias": [((i % 5) - 2) / 10.0 for i in range(out)], "scale": [1.0 + (i % 3) / 10.0 for i in range(out)], "shift": [((i % 4) - 1) / 10.0 for i in range(out)]}
-
-    return [layer(width), layer(out)]
-
-
-def _vectors(d):
-    x = F.array(F.col("is_mule_label").cast("double"), F.col("account_age_days") / 3000.0, F.col("lat") / 40.0, F.col("lon") / 100.0)
-    return d.accounts.select("account_id", x.alias("x"))
-
-
-@query("sage_embeddings")
-def _(d):
-    return graph.sage_embed(_vectors(d), d.ledger, _layers(4)).select("account_id", F.transform("x", lambda v: F.round(v, 6)).alias("embedding"))
-
-
-@query("sage_embeddings_of_cases")
-def _(d):
-    picked = d.complaints.filter(F.col("fraud_type") == "1-URGENT").select(F.col("ticket_id").alias("complaint_id"))
-    return graph.embed_subset(_vectors(d), d.ledger, picked, _layers(4)).select("account_id", F.transform("x", lambda v: F.round(v, 6)).alias("embedding"))
-
-
 @query("components", "ledger", "select account_id, min(label) as component from lab group by 1", """
 e as (select src_account as u, dst_account as v from ledger union select dst_account, src_account from ledger),
 lab(account_id, label) as (select u, u from e union select e.v, lab.label from lab join e on e.u = lab.account_id and lab.label < e.v)""", recursive=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,17 +66,34 @@ def intake(complaints: DataFrame, states: DataFrame, aliases: DataFrame, local_z
             .drop("canonical_city", "directory_state"))
 
 
-def split_intake(target: str, rejects: str, late: str) -> Callable[[DataFrame, int], None]:
-    """Sink of the intake: accepted rows, refused rows, and rows already past the open window on arrival."""
+def split_intake(target: str, rejects: str, late: str, arrived: str = "received_at") -> Callable[[DataFrame, int], None]:
+    """Sink of the intake: accepted rows, refused rows, and rows already past the open window on arrival.
+
+    A row is late by its own arrival time, where it has one, so batching makes no difference. Rows without one are measured
+    against the newest filing of all earlier epochs, which every epoch writes down; a replayed epoch finds the same mark.
+    """
+    marks = f"{target.rstrip('/')}-marks"
+
+    def high_water(spark, epoch: int) -> datetime | None:
+        try:
+            return spark.read.parquet(marks).filter(F.col("epoch") < epoch).agg(F.max("filed_at")).head()[0]
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return None
+
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
-            newest = batch.filter("accepted").agg(F.max("filed_at")).scalar()
-            stale = F.col("filed_at") < newest - F.expr(f"interval {OPEN_WATERMARK}")
+            spark = batch.sparkSession
+            mark = F.lit(high_water(spark, epoch)).cast("timestamp")
+            seen = F.coalesce(F.col(arrived), mark) if arrived in batch.columns else mark
+            stale = F.col("filed_at") < seen - F.expr(f"interval {OPEN_WATERMARK}")
             good = batch.filter("accepted").withColumn("__late", F.coalesce(stale, F.lit(False)))
             good.filter(~F.col("__late")).drop("__late").write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
             good.filter("__late").drop("__late").write.mode("overwrite").parquet(f"{late}/epoch={epoch}")
             batch.filter(~F.col("accepted")).write.mode("overwrite").parquet(f"{rejects}/epoch={epoch}")
+            good.agg(F.max("filed_at").alias("filed_at")).write.mode("overwrite").parquet(f"{marks}/epoch={epoch}")
         finally:
             batch.unpersist()
 
@@ -99,7 +117,7 @@ def alert_sink(posterior: Callable[[], tuple[DataFrame, DataFrame]], cells: Data
                as_of: Callable[[DataFrame], Column | int], failures: list | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: pass over the posterior table, append what is new.
 
-    A failed pass is recorded and the query goes on; the next tick sees the same open cases.
+    A failed pass is recorded and raised again: the epoch is not committed and runs anew when the query restarts.
     """
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -113,9 +131,9 @@ def alert_sink(posterior: Callable[[], tuple[DataFrame, DataFrame]], cells: Data
                 earlier = None
             alert_pass(rows, probs, cells, prior, as_of(batch), earlier).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
         except Exception as error:
-            if failures is None:
-                raise
-            failures.append((epoch, str(error)[:500]))
+            if failures is not None:
+                failures.append((epoch, str(error)[:500]))
+            raise
 
     return sink
 
