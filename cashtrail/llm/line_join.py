@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .tables import Scratch, as_text
+from .tables import Scratch, as_text, low_labels
 
 EDITS = 2                   # lines this many edits apart, or fewer, are one
 LEAST_CHARS = 24            # shorter lines are not looked at
@@ -113,8 +113,7 @@ def line_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
         tried = tried_now if tried is None else tried.union(tried_now)
         found = _verified(tried_now, lines, scratch, f"star{turn}")
         links = found if links is None else links.union(found)
-        groups = components(links.select(F.col("a").alias("src_account"), F.col("b").alias("dst_account")))
-        posts = scratch.keep(rows.join(groups.select(F.col("account_id").alias("lid"), F.col("component").alias("comp")), "lid", "left")
+        posts = scratch.keep(rows.join(low_labels(links).withColumnRenamed("node", "lid"), "lid", "left")
                              .withColumn("comp", F.coalesce("comp", "lid")), f"posts{turn}")
     counts = posts.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = counts.groupBy("k").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")

@@ -51,3 +51,17 @@ def ranked(df: DataFrame, order: list[Column], out: str, scratch: Scratch, name:
 
 def as_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def low_labels(links: DataFrame, rounds: int = 2) -> DataFrame:
+    """(node, comp) of every end of the links (a, b): the smallest node within ``rounds`` links.
+
+    Nodes of one label are connected; connected nodes may still differ. That is enough to leave pairs of one label out, and
+    takes a fixed number of shuffles where full components take as many as the longest chain asks for.
+    """
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+    label = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("comp"))
+    for _ in range(rounds - 1):
+        around = both.join(label.select(F.col("node").alias("other"), "comp"), "other").groupBy("node").agg(F.min("comp").alias("near"))
+        label = label.join(around, "node").select("node", F.least("comp", "near").alias("comp"))
+    return label
