@@ -13,17 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .tables import Scratch
+from .tables import Scratch, low_labels
 from .words import GOLD, mix64, row_shingles
 
 SHINGLE = 3
 NUM, DEN = 9, 10                # link when DEN * intersection >= NUM * union
 SLOTS = 1 << 18                 # counters of the frequency order; bounds what is sent to the tasks (1 MB)
-LONG_LIST = 100                 # lists over this length are left out of merging where the threshold allows it
+LONG_LIST = 32                  # lists over this length are left out of merging where the threshold allows it
 SPARE = 20                      # one list in so many is merged beyond the shortest prefix
 BLOCK = 512                     # documents of one inverted block
 PER_PART = 2000                 # candidates of one query that one task takes
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 MU = 0.0085                     # weight of probing against merging when the long lists are chosen
 
 
@@ -62,7 +62,7 @@ def _count(slots: np.ndarray, grams: np.ndarray) -> None:
 
 
 def _short_lists(size: int, frequency):
-    """Rows (gram, cls, n): the first n - T + spare grams of every set in order of frequency, once per set and task."""
+    """Rows (gram, cls, n, i): the first n - T + spare grams of every set in order of frequency, once per set and task; i counts from 1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = frequency.value, set()
         for batch in batches:
@@ -80,7 +80,8 @@ def _short_lists(size: int, frequency):
             if out:
                 lengths = [len(g) for g, _, _ in out]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g for g, _, _ in out])), pa.array(np.repeat([k for _, k, _ in out], lengths)),
-                                                  pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), lengths))], ["gram", "cls", "n"])
+                                                  pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), lengths)),
+                                                  pa.array(np.concatenate([np.arange(1, k + 1, dtype=np.int32) for k in lengths]))], ["gram", "cls", "n", "i"])
 
     return run
 
@@ -197,22 +198,25 @@ class Join:
         self.classes = self.scratch.keep(self.members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").cast("int").alias("n")), "classes")
 
     def index(self) -> None:
-        """Inverted lists of at least two sets: (gram, cls, n, cut, needy); long ones only hold the sets that need them.
+        """Inverted lists of at least two sets: (gram, cls, n, i, cut, own, needy); long ones only hold the sets that need them.
 
-        ``cut`` counts a set's long lists. Two sets of the required overlap meet in as many lists as the smaller one's spare, less
-        the long ones both leave out. Sizes of partners differ by a tenth at most, so a set whose ``cut`` stays under
-        nine tenths of its spare meets every partner in short lists; the others (``needy``) stay in the long lists.
+        ``cut`` counts a set's long lists and ``own`` those that hold no other set. Two sets of the required overlap meet in as
+        many lists as the smaller one's spare, less the long ones both leave out. Sizes of partners differ by a tenth at most, so a
+        set whose ``cut`` stays under nine tenths of its spare meets every partner in short lists; the others
+        (``needy``) stay in the long lists.
         """
-        raw = self.scratch.keep(self.docs.select("text").mapInArrow(_short_lists(self.size, self.frequency), "gram long, cls long, n int"), "short")
+        raw = self.scratch.keep(self.docs.select("text").mapInArrow(_short_lists(self.size, self.frequency), "gram long, cls long, n int, i int"), "short")
         lists = self.scratch.keep(raw.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high"), "lists")
         shared = raw.join(lists.select("gram", (F.col("m") > LONG_LIST).alias("long")), "gram").distinct()
         shared = self.scratch.keep(shared, "shared")
         self.scratch.drop("short", "lists")
-        cut = self.scratch.keep(shared.filter("long").groupBy("cls").agg(F.count(F.lit(1)).cast("int").alias("cut")), "cut")
-        posts = shared.join(cut, "cls", "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
-        posts = posts.withColumn("needy", F.col("cut") >= F.floor(_spare("n") * 0.9))
-        self.lists = self.scratch.keep(posts.filter("not long or needy").select("gram", "cls", "n", "cut", "needy"), "postings")
-        self.scratch.drop("shared", "cut")
+        need = F.ceil(F.col("n") * NUM / DEN)
+        listed = F.least(F.col("n"), F.col("n") - need + _spare("n"))
+        each = shared.groupBy("cls").agg(F.sum(F.col("long").cast("int")).cast("int").alias("cut"), F.count(F.lit(1)).alias("met"), F.max("n").alias("n"))
+        each = self.scratch.keep(each.select("cls", "cut", (listed - F.col("met")).cast("int").alias("own")), "each")
+        posts = shared.join(each, "cls").withColumn("needy", F.col("cut") >= F.floor(_spare("n") * 0.9))
+        self.lists = self.scratch.keep(posts.filter("not long or needy").drop("long"), "postings")
+        self.scratch.drop("shared", "each")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Links (a, b) among candidate pairs (a, b); a is the query of b's block."""
@@ -232,9 +236,8 @@ class Join:
         return links
 
     def labelled(self, links: DataFrame, turn: int) -> DataFrame:
-        """Postings with the group that each class belongs to so far."""
-        groups = components(links.select(F.col("a").alias("src_account"), F.col("b").alias("dst_account")))
-        posts = self.lists.join(groups.select(F.col("account_id").alias("cls"), F.col("component").alias("comp")), "cls", "left")
+        """Postings with a label that only connected classes share."""
+        posts = self.lists.join(low_labels(links).withColumnRenamed("node", "cls"), "cls", "left")
         return self.scratch.keep(posts.withColumn("comp", F.coalesce("comp", "cls")), f"posts{turn}")
 
 
@@ -255,7 +258,9 @@ def jaccard_links(join: Join) -> DataFrame:
     """
     posts, links, tried = join.lists.withColumn("comp", F.col("cls")), None, None
     for turn in range(STAR_ROUNDS):
-        pick = F.min_by("cls", F.xxhash64(F.lit(turn), "cls"))
+        # first the set with the fewest lists of its own, which is the plainest of a group of copies; later any
+        first = F.shiftleft(F.col("own").cast("long") if turn == 0 else F.lit(0).cast("long"), 40)
+        pick = F.min_by("cls", first + F.pmod(F.xxhash64(F.lit(turn), "cls"), F.lit(1 << 40)))
         heads = posts.groupBy("gram").agg(pick.alias("a"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high")
         heads = heads if turn == 0 else heads.filter(F.col("m") > LONG_LIST)
         sizes = join.classes.select(F.col("cls").alias("a"), F.col("n").alias("an"))
@@ -275,12 +280,17 @@ def jaccard_links(join: Join) -> DataFrame:
     groups = posts.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k"))
     most = groups.groupBy("gram").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
     left = join.scratch.keep(posts.join(most.select("gram", "main"), "gram"), "left")
-    ours = left.filter("comp <> main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "cut", "needy", "comp")])
+    ours = left.filter("comp <> main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "i", "cut", "needy", "comp")])
     met = left.join(ours, "gram").filter((F.col("comp") != F.col("comp2")) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("cls2"))) & _close("n", "n2"))
     lost = F.when(F.col("needy") & F.col("needy2"), 0).otherwise(F.least("cut", "cut2"))
-    needed = F.least(_spare("n"), _spare("n2")) - lost
-    pairs = (met.groupBy(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).agg(F.count(F.lit(1)).alias("occ"), F.max(needed).alias("needed"))
-             .filter("occ >= needed").select("a", "b"))
+    turned = F.col("cls") > F.col("cls2")
+    met = met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"), F.when(turned, F.col("n2")).otherwise(F.col("n")).alias("n"), F.when(turned, F.col("n")).otherwise(F.col("n2")).alias("n2"),
+                     F.when(turned, F.col("i2")).otherwise(F.col("i")).alias("i"), F.when(turned, F.col("i")).otherwise(F.col("i2")).alias("i2"), lost.alias("lost"))
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("occ"), F.max("n").alias("n"), F.max("n2").alias("n2"), F.max("i").alias("i"), F.max("i2").alias("i2"), F.max("lost").alias("lost"))
+    # what both sets have behind the last list they meet in bounds the overlap from above
+    most = F.col("occ") + F.col("lost") + F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
+    enough = (NUM + DEN) * most >= NUM * (F.col("n") + F.col("n2"))
+    pairs = pairs.filter((F.col("occ") >= F.least(_spare("n"), _spare("n2")) - F.col("lost")) & enough).select("a", "b")
     if tried is not None:
         pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     found = join.verify(pairs)
