@@ -12,7 +12,7 @@ from ..operators.distribution import exact_quantiles
 from ..session import cut_lineage
 from ..sources import tables
 from .ledger_queries import HISTORY, TOTALS
-from .place_queries import ALL, CELLS, NEAR, SCORED, SURFACE, TERMINALS, ZONE, Picture, mass_sql
+from .place_queries import ALL, CELLS, CREW, SCORED, SURFACE, TERMINALS, ZONE, Picture, crew_of, mass_sql
 from .registry import hav, query, tidy
 
 # A plain score with a known relation to the label; ties are common on purpose.
@@ -477,20 +477,9 @@ def _(d):
     return tidy(rows.select("txn_id", "complaint_id", "dst_account", "cashout_atm_id", "dist_to_atm_km", "time_to_cashout_min", "velocity", "dist_1", "dist_2", "dist_3", "hotspot_5km", "bearing_1", "node_x", "node_y", "node_z", "is_same_bank", "same_bank_km"))
 
 
-CREW = NEAR + "," + HISTORY + """,
-n1 as (select src_account as a, dst_account as b from ledger union select dst_account, src_account from ledger union select src_account, src_account from ledger union select dst_account, dst_account from ledger),
-n2 as (select distinct x.a, y.b from n1 x join n1 y on x.b = y.a),
-asked as (select account_id as a, atm_id, p.account_id_b as b, n from (select account_id, atm_id from accounts join near using (lat, lon)) c join (select account_id as account_id_b, atm_id, n from past) p using (atm_id)),
-close as (select distinct q.a, q.b from (select distinct a, b from asked) q join n1 on n1.a = q.a join n2 on n2.a = n1.b and n2.b = q.b)"""
-
-
-@query("crew_prior", ALL, "select a as account_id, atm_id, sum(n)::bigint as crew_prior from asked join close using (a, b) group by 1, 2", CREW)
+@query("crew_prior", ALL, "select account_id, atm_id, crew_prior from crew", CREW)
 def _(d):
-    attached = tables.attached_only(d.ledger)
-    directory = cut_lineage(d.cashpoints)
-    _prior, past = candidates.cashout_priors(attached, candidates.history_complaints(d.complaints), directory)
-    cands = candidates.candidate_sets(d.accounts.select("account_id", "bank_id", "lat", "lon"), directory)
-    return candidates.crew_prior(cands, d.ledger, cut_lineage(past))
+    return crew_of(d, d.accounts.select("account_id", "bank_id", "lat", "lon"))[2]
 
 
 @query("choice_weights")
