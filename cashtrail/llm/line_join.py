@@ -11,6 +11,7 @@ from .tables import Scratch, as_text, low_labels
 EDITS = 2                   # lines this many edits apart, or fewer, are one
 LEAST_CHARS = 24            # shorter lines are not looked at
 STAR_ROUNDS = 2
+SAMPLED = 24                # columns looked at before the whole band is run
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -21,35 +22,31 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", "line_no", F.xxhash64("line").alias("lid"), "line")
 
 
-def segment_keys(edits: int = EDITS) -> list[tuple[str, bool]]:
-    """(expression over ``line`` and its length ``n``, whether it is a segment of the line itself) of every index and probe key.
+def segment_keys(edits: int = EDITS) -> list[tuple[int, int, int, bool]]:
+    """(d, i, shift, own) of every index key (own) and probe key of a line.
 
     A line of length l is cut into ``edits`` + 1 even segments. A line of length n asks for segment i of lengths n - d,
-    d = 0..edits, at the starts where the segment can stand if the edits before it and after it are few enough on both sides.
+    d = 0..edits, at the starts (moved by ``shift``) where the segment can stand if the edits before it and after it are few
+    enough on both sides. With d = 0 and no shift that is the line's own segment.
     """
-    parts, keys = edits + 1, []
+    keys = []
     for d in range(edits + 1):
-        size = f"(n - {d})"
-        base, over = f"({size} div {parts})", f"({parts} - {size} % {parts})"
-        for i in range(parts):
-            start = f"{i} * {base} + greatest(0, {i} - {over})"
-            width = f"{base} + if({i} >= {over}, 1, 0)"
-            low, high = max(-i, d - (edits - i)), min(i, d + (edits - i))
-            for shift in range(low, high + 1):
-                own = d == 0 and shift == 0
-                key = f"xxhash64({size}, {i}, substring(line, cast({start} + {shift} + 1 as int), cast({width} as int)))"
-                keys.append((key, own))
+        for i in range(edits + 1):
+            for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
+                keys.append((d, i, shift, d == 0 and shift == 0))
     return keys
 
 
-def _keyed(lines: DataFrame) -> DataFrame:
+def _keyed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(k, lid, own): index keys (own) and probe keys of every line."""
-    keys = segment_keys()
-    own = [k for k, mine in keys if mine]
-    probe = [k for k, mine in keys if not mine]
-    rows = lines.select("lid", "line", F.length("line").alias("n"))
-    rows = rows.select("lid", F.expr(f"array({', '.join(own + probe)})").alias("keys"))
-    return rows.select("lid", F.posexplode("keys").alias("at", "k")).select("k", "lid", (F.col("at") < len(own)).alias("own"))
+    asked = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift"), F.lit(own).alias("own")) for d, i, shift, own in segment_keys(edits)])
+    # four bytes a character, so that a segment is cut out without a walk from the start of the line
+    wide = lines.select("lid", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("u"))
+    rows = wide.select("lid", "n", "u", F.explode(asked).alias("q")).select("lid", "u", "q.*", (F.col("n") - F.col("q.d")).alias("size"))
+    parts = edits + 1
+    over = f"({parts} - size % {parts})"
+    rows = rows.selectExpr("lid", "own", "u", "size", "i", f"i * (size div {parts}) + greatest(0, i - {over}) + shift as start", f"(size div {parts}) + if(i >= {over}, 1, 0) as width")
+    return rows.selectExpr("xxhash64(size, i, substring(u, cast(4 * start + 1 as int), cast(4 * width as int))) as k", "lid", "own")
 
 
 def within_edits(a: str, b: str, edits: int = EDITS) -> Column:
@@ -72,22 +69,18 @@ def within_edits(a: str, b: str, edits: int = EDITS) -> Column:
              f"'dist', s.dist + if(j <= size(q.p) - {edits}, {rim}, {along}))")
     step = f"transform(array({diagonal}), d0 -> {after})[0]"
     run = f"aggregate(sequence(1, size(q.t)), named_struct('vp', {first}L, 'vn', 0L, 'dist', {edits}), (s, j) -> {step}, s -> s.dist)"
+    # a character without an equal one in its column's band costs an edit: a few columns tell most pairs apart
+    sample = f"size(filter(sequence(1, size(q.t), greatest(1, size(q.t) div {SAMPLED})), j -> {window} = 0L)) <= {edits}"
     # q holds the characters of both; binding it once keeps them from being split again in every step
-    run = f"transform(array(struct(split({a}, '') as p, split({b}, '') as t)), q -> {run})[0]"
-    return F.expr(f"abs(length({a}) - length({b})) <= {edits}") & (F.expr(run) <= edits)
+    run = f"transform(array(struct(split({a}, '') as p, split({b}, '') as t)), q -> if({sample}, {run}, {edits + 1}))[0]"
+    return F.expr(f"if(abs(length({a}) - length({b})) <= {edits}, {run} <= {edits}, false)")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Links (a, b) among candidate pairs of line ids."""
-    pairs = scratch.keep(pairs, f"{name}-pairs")
-    ids = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-    texts = lines.select("lid", "line").join(ids.hint("shuffle_hash"), F.col("lid") == F.col("id")).groupBy("lid").agg(F.min("line").alias("line"))
-    texts = scratch.keep(texts, f"{name}-texts")
     both = (pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a")
             .join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b"))
-    links = scratch.keep(both.filter(within_edits("x", "y")).select("a", "b"), f"{name}-links")
-    scratch.drop(f"{name}-ids", f"{name}-texts")
-    return links
+    return scratch.keep(both.filter(within_edits("x", "y")).select("a", "b"), f"{name}-links")
 
 
 def line_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -102,6 +95,9 @@ def line_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
     shared = scratch.keep(shared, "keys")
     rows = scratch.keep(keyed.join(shared, "k").distinct(), "rows")
     scratch.drop("keyed", "keys")
+    ids = scratch.keep(rows.select(F.col("lid").alias("id")).distinct(), "ids")
+    texts = lines.select("lid", "line").join(ids.hint("shuffle_hash"), F.col("lid") == F.col("id")).groupBy("lid").agg(F.min("line").alias("line"))
+    texts = scratch.keep(texts, "texts")
     posts, links, tried = rows.withColumn("comp", F.col("lid")), None, None
     for turn in range(STAR_ROUNDS):
         lead = F.min_by(F.when(F.col("own"), F.col("lid")), F.when(F.col("own"), F.xxhash64(F.lit(turn), "lid")))
@@ -111,7 +107,7 @@ def line_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         tried_now = scratch.keep(pairs, f"tried{turn}")
         tried = tried_now if tried is None else tried.union(tried_now)
-        found = _verified(tried_now, lines, scratch, f"star{turn}")
+        found = _verified(tried_now, texts, scratch, f"star{turn}")
         links = found if links is None else links.union(found)
         posts = scratch.keep(rows.join(low_labels(links).withColumnRenamed("node", "lid"), "lid", "left")
                              .withColumn("comp", F.coalesce("comp", "lid")), f"posts{turn}")
@@ -122,7 +118,7 @@ def line_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
     met = left.join(ours, "k").filter("comp <> comp2 and (own or own2) and (comp = main or lid < lid2)")
     pairs = met.select(F.least("lid", "lid2").alias("a"), F.greatest("lid", "lid2").alias("b")).distinct()
     pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    found = _verified(pairs, lines, scratch, "rest")
+    found = _verified(scratch.keep(pairs, "pairs"), texts, scratch, "rest")
     scratch.drop("rows", "left", *[f"posts{t}" for t in range(STAR_ROUNDS)])
     return links.union(found)
 
