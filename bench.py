@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINES = ("recurring_cashpoints", "account_features", "chain_timing", "collapsed_edges", "velocity_by_case", "case_detections",
-             "nearest_machines", "machine_cells", "case_forecasts", "forward_surface", "alerts", "replay_hits", "custody_chain", "money_trail", "components", "choice_weights", "stream_complaint_intake")
+             "nearest_machines", "machine_cells", "case_forecasts", "forward_surface", "alerts", "replay_hits", "custody_chain", "money_trail", "components", "trace_all_complaints", "stream_complaint_intake")
 
 
 def main() -> None:

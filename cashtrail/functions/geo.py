@@ -37,10 +37,7 @@ def grid_index(coord, size) -> Column:
 
 
 def box_half_degrees(lat, km) -> tuple[Column, Column]:
-    """Half height and half width, in degrees, of a box that holds every point within ``km``.
-
-    Boxes do not wrap over the 180th meridian.
-    """
+    """Half height and half width, in degrees, of a box that holds every point within ``km``."""
     lat, km = _col(lat), _col(km)
     half_lat = km / KM_PER_DEGREE
     ratio = F.sin(F.least(km / EARTH_KM, F.lit(1.5707963))) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-6))
@@ -51,9 +48,18 @@ def box_half_degrees(lat, km) -> tuple[Column, Column]:
 
 
 def covering_cells(lat, lon, km, size) -> Column:
-    """Array of ``struct(gx, gy)`` grid cells that together cover a circle."""
+    """Array of ``struct(gx, gy)`` grid cells that together cover a circle.
+
+    A box that reaches over the 180th meridian goes on from the other side: its range is taken as it is and moved by
+    a full turn either way, cut to the map, each cell once.
+    """
     lat, lon, size = _col(lat), _col(lon), _col(size)
     half_lat, half_lon = box_half_degrees(lat, km)
     xs = F.sequence(grid_index(lat - half_lat, size), grid_index(lat + half_lat, size))
-    ys = F.sequence(grid_index(lon - half_lon, size), grid_index(lon + half_lon, size))
+
+    def turn(by: float) -> Column:
+        low, high = F.greatest(lon - half_lon + by, F.lit(-180.0)), F.least(lon + half_lon + by, F.lit(180.0))
+        return F.when(low <= high, F.sequence(grid_index(low, size), grid_index(high, size))).otherwise(F.array().cast("array<int>"))
+
+    ys = F.array_distinct(F.concat(turn(0.0), turn(360.0), turn(-360.0)))
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("gx"), y.alias("gy")))))

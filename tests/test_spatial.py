@@ -93,3 +93,38 @@ def test_ranking_contract(spark):
         assert [r[0] for r in v] == list(range(1, len(v) + 1))
         assert all(a[1] >= b[1] for a, b in zip(v, v[1:]))
         assert abs(sum(r[2] for r in v) - 1) < 1e-9
+
+
+def test_over_the_180th_meridian(spark):
+    """Nearest, counts, circles and cells agree with all pairs for places on both sides, at a pole and across the equator."""
+    import math
+    import random
+
+    def km(a, b):
+        p, q = math.radians(a[0]), math.radians(b[0])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h)))
+
+    rng = random.Random(8)
+    spot = lambda: (rng.uniform(-1, 1), rng.choice([1, -1]) * rng.uniform(179.6, 180.0))
+    points = [spot() for _ in range(150)] + [(rng.uniform(88, 90), rng.uniform(-180, 180)) for _ in range(20)]
+    asks = [spot() for _ in range(20)] + [(89.5, 10.0), (0.0, 179.99)]
+    machines = spark.createDataFrame([(i, *p, float(i % 7), 1) for i, p in enumerate(points)], "atm_id long, lat double, lon double, fraud_count double, risk int")
+    places = spark.createDataFrame(asks, "lat double, lon double")
+    near = {}
+    for r in spatial.nearest_k(places, machines, 5).collect():
+        near.setdefault((r.lat, r.lon), []).append((round(r.dist_km, 6), r.atm_id))
+    counts = {(r.lat, r.lon): r.m for r in spatial.count_within(places, machines, 30.0, "m").collect()}
+    circles = spark.createDataFrame([(*a, 10.0 + i * 3) for i, a in enumerate(asks)], "lat double, lon double, km double")
+    circle = {(r.lat, r.lon): (r.km, r.m) for r in spatial.count_in_circles(circles, machines, "m").collect()}
+    for a in asks:
+        order = sorted((round(km(a, p), 6), i) for i, p in enumerate(points))
+        assert [d for d, _ in sorted(near[a])] == [d for d, _ in order[:5]]
+        assert counts[a] == sum(d <= 30.0 for d, _ in order)
+        assert circle[a][1] == sum(d <= circle[a][0] for d, _ in order)
+    leads, member = [], {}
+    for i in sorted(range(len(points)), key=lambda i: (-float(i % 7), i)):
+        home = next((j for j in leads if km(points[i], points[j]) <= 12.0), None)
+        member[i] = i if home is None else home
+        leads += [i] if home is None else []
+    assert {r.atm_id: r.leader_id for r in spatial.build_cells(machines).collect()} == member
