@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,8 @@ QUERIES: dict[str, Callable[[Domain], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, views: str = "", sql: str | None = None, ctes: str = "", recursive: bool = False):
-    """Register a query; ``views`` are the domain views its SQL starts from, ``ctes`` shared steps."""
+def query(name: str, views: str = "", sql: str | None = None, ctes: str = "", recursive: bool = False, steps_once: bool = False):
+    """Register a query; ``views`` are the domain views its SQL starts from, ``ctes`` shared steps, each computed once if asked."""
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
@@ -24,7 +25,10 @@ def query(name: str, views: str = "", sql: str | None = None, ctes: str = "", re
         if sql is not None:
             heads = [p for p in (duckdb_ctes(*views.split()) if views else "", ctes) if p]
             word = "with recursive " if recursive else "with "
-            ORACLES[name] = (word + ", ".join(heads) + " " if heads else "") + sql.strip()
+            steps = ", ".join(heads)
+            if steps_once:
+                steps = re.sub(r"(^|,)(\s*\w+) as \((?=\s*select)", r"\1\2 as materialized (", steps)
+            ORACLES[name] = (word + steps + " " if heads else "") + sql.strip()
         return fn
 
     return add

@@ -503,7 +503,7 @@ def _(d):
 
 @query("case_forecasts", ALL, """
 select complaint_id, t.account_id, atm_id as best_atm, round(s.p,4) as confidence, round(22.0+1.9*dist_km,4) as minutes, round(zone_lat,4) as zone_lat, round(zone_lon,4) as zone_lon, round(zone_radius_km,4) as zone_radius_km, candidates_covered
-from terminal t join accounts a using (account_id) join scored s on s.lat=a.lat and s.lon=a.lon and s.bank_id=a.bank_id and s.choice_rank=1 join zone z on z.lat=a.lat and z.lon=a.lon and z.bank_id=a.bank_id""", TERMINALS + "," + ZONE)
+from terminal t join accounts a using (account_id) join scored s on s.lat=a.lat and s.lon=a.lon and s.bank_id=a.bank_id and s.choice_rank=1 join zone z on z.lat=a.lat and z.lon=a.lon and z.bank_id=a.bank_id""", TERMINALS + "," + ZONE, steps_once=True)
 def _(d):
     """Every case in one plan: terminal, best machine, zone and countdown."""
     scored = cut_lineage(choice.fixed_scores(d.accounts, cut_lineage(d.cashpoints)))
