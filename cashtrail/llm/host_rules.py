@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .tables import WORD, Scratch, as_text
 
 SYMBOLS = "#*$%&|<>"
-HOST_LIMIT = 0.5
+HOST_LIMIT = 0.75
 #: rule -> (Spark and DuckDB condition over the base columns)
 RULES = {
     "short": "n_words < 50",
