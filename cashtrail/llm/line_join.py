@@ -11,7 +11,9 @@ from .tables import Scratch, as_text, low_labels
 EDITS = 2                   # lines this many edits apart, or fewer, are one
 LEAST_CHARS = 24            # shorter lines are not looked at
 STAR_ROUNDS = 2
-SAMPLED = 24                # columns looked at before the whole band is run
+BROADCAST_IDS = 500_000     # ids of eight bytes that every executor may hold
+BLOCKS = 8                  # of a line's signatures, which leave two of them out
+SAMPLED = 12                # columns looked at before the whole band is run
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -70,10 +72,11 @@ def within_edits(a: str, b: str, edits: int = EDITS) -> Column:
     step = f"transform(array({diagonal}), d0 -> {after})[0]"
     run = f"aggregate(sequence(1, size(q.t)), named_struct('vp', {first}L, 'vn', 0L, 'dist', {edits}), (s, j) -> {step}, s -> s.dist)"
     # a character without an equal one in its column's band costs an edit: a few columns tell most pairs apart
-    sample = f"size(filter(sequence(1, size(q.t), greatest(1, size(q.t) div {SAMPLED})), j -> {window} = 0L)) <= {edits}"
+    near = f"substring({a}, greatest(1, j - {edits}), j + {edits + 1} - greatest(1, j - {edits}))"
+    sample = f"size(filter(sequence(1, length({b}), greatest(1, length({b}) div {SAMPLED})), j -> instr({near}, substring({b}, j, 1)) = 0)) <= {edits}"
     # q holds the characters of both; binding it once keeps them from being split again in every step
-    run = f"transform(array(struct(split({a}, '') as p, split({b}, '') as t)), q -> if({sample}, {run}, {edits + 1}))[0]"
-    return F.expr(f"if(abs(length({a}) - length({b})) <= {edits}, {run} <= {edits}, false)")
+    run = f"transform(array(struct(split({a}, '') as p, split({b}, '') as t)), q -> {run})[0]"
+    return F.expr(f"if(abs(length({a}) - length({b})) <= {edits}, if({sample}, {run} <= {edits}, false), false)")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -83,31 +86,65 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -
     return scratch.keep(both.filter(within_edits("x", "y")).select("a", "b"), f"{name}-links")
 
 
+def _signatures(texts: DataFrame) -> DataFrame:
+    """(k, lid, own): hashes of a line without two of its BLOCKS even blocks, own ones and those of shorter or equal partners.
+
+    Two edits touch at most two blocks of the shorter line; the blocks before the first stand where they stood, those after the second
+    are moved by the difference in length, those between by what the first edit moved them. So lines two edits apart
+    share a signature, and lines that share one agree everywhere but in two blocks.
+    """
+    wide = texts.select("lid", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("u"))
+    rows = wide.select("lid", "n", "u", F.explode(F.array(*[F.lit(d) for d in range(EDITS + 1)])).alias("d")).withColumn("size", F.col("n") - F.col("d"))
+    full = f"({BLOCKS} - size % {BLOCKS})"
+    cut = (f"xxhash64(i, substring(u, cast(4 * (i * (size div {BLOCKS}) + greatest(0, i - {full}) + m) + 1 as int), "
+           f"cast(4 * ((size div {BLOCKS}) + if(i >= {full}, 1, 0)) as int)))")
+    # for every move m from -1 to EDITS the exclusive-or of the first j block hashes, j = 0..BLOCKS
+    sums = (f"transform(sequence(-1, {EDITS}), m -> aggregate(sequence(0, {BLOCKS - 1}), array(0L), (a, i) -> concat(a, array(a[size(a) - 1] ^ {cut}))))")
+    moves = {0: (-1, 0, 1), 1: (0, 1), 2: (0, 1, 2)}
+    picks = [F.struct(F.lit(d).alias("pd"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(m).alias("m"))
+             for d, ms in moves.items() for x in range(BLOCKS) for y in range(x + 1, BLOCKS) for m in ms]
+    rows = rows.select("lid", "d", "size", F.expr(sums.replace("size(a)", "cardinality(a)")).alias("p"))
+    chosen = F.explode(F.filter(F.array(*picks), lambda q: q["pd"] == F.col("d"))).alias("q")
+    rows = rows.select("lid", "d", "size", "p", chosen).select("lid", "d", "size", "p", "q.x", "q.y", "q.m")
+    key = f"xxhash64(size, x, y, p[1][x], p[m + 1][y] ^ p[m + 1][x + 1], p[d + 1][{BLOCKS}] ^ p[d + 1][y + 1])"
+    return rows.select(F.expr(key).alias("k"), "lid", ((F.col("d") == 0) & (F.col("m") == 0)).alias("own"))
+
+
+def _shared(keyed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows of the keys under which a line's own entry meets another line."""
+    shared = (keyed.groupBy("k").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.max("own").alias("indexed"))
+              .filter("low <> high and indexed").select("k"))
+    return keyed.join(scratch.keep(shared, f"{name}-keys"), "k").distinct()
+
+
 def line_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) of line ids whose groups are those of all pairs within EDITS.
 
-    Only keys under which a segment meets another line matter. Star rounds tie the lines of a key to one of its owners and
-    fold groups of near copies; then each key pairs the lines outside its largest group with the others.
+    Only lines that meet another one under a segment go on. Where many lines share a segment and differ elsewhere, pairs by
+    segment would grow with the square of their number, so the lines that are left meet again under signatures, which only lines
+    alike but for two blocks share. Star rounds tie the lines of a signature to one of its owners and fold groups of near
+    copies; then each signature pairs the lines outside its largest group with the others.
     """
     keyed = scratch.keep(_keyed(lines), "keyed")
-    shared = (keyed.groupBy("k").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.max("own").alias("indexed"))
-              .filter("low <> high and indexed").select("k"))
-    shared = scratch.keep(shared, "keys")
-    rows = scratch.keep(keyed.join(shared, "k").distinct(), "rows")
-    scratch.drop("keyed", "keys")
-    ids = scratch.keep(rows.select(F.col("lid").alias("id")).distinct(), "ids")
-    texts = lines.select("lid", "line").join(ids.hint("shuffle_hash"), F.col("lid") == F.col("id")).groupBy("lid").agg(F.min("line").alias("line"))
+    ids = scratch.keep(_shared(keyed, scratch, "segment").select(F.col("lid").alias("id")).distinct(), "ids")
+    scratch.drop("keyed", "segment-keys")
+    # the lines' texts stay where they are while the ids are few; beyond that both sides are dealt out
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    texts = lines.select("lid", "line").join(wanted, F.col("lid") == F.col("id")).groupBy("lid").agg(F.min("line").alias("line"))
     texts = scratch.keep(texts, "texts")
+    signed = scratch.keep(_signatures(texts), "signed")
+    rows = scratch.keep(_shared(signed, scratch, "signature"), "rows")
+    scratch.drop("signed", "signature-keys")
     posts, links, tried = rows.withColumn("comp", F.col("lid")), None, None
     for turn in range(STAR_ROUNDS):
         lead = F.min_by(F.when(F.col("own"), F.col("lid")), F.when(F.col("own"), F.xxhash64(F.lit(turn), "lid")))
         heads = posts.groupBy("k").agg(lead.alias("a"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("k", "a")
-        pairs = posts.join(heads, "k").filter("lid <> a").select("a", F.col("lid").alias("b")).distinct()
+        pairs = posts.join(heads, "k").filter("lid <> a").select(F.least("lid", "a").alias("a"), F.greatest("lid", "a").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tried_now = scratch.keep(pairs, f"tried{turn}")
-        tried = tried_now if tried is None else tried.union(tried_now)
-        found = _verified(tried_now, texts, scratch, f"star{turn}")
+        now = scratch.keep(pairs, f"tried{turn}")
+        tried = now if tried is None else tried.union(now)
+        found = _verified(now, texts, scratch, f"star{turn}")
         links = found if links is None else links.union(found)
         posts = scratch.keep(rows.join(low_labels(links).withColumnRenamed("node", "lid"), "lid", "left")
                              .withColumn("comp", F.coalesce("comp", "lid")), f"posts{turn}")
@@ -116,8 +153,7 @@ def line_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
     left = scratch.keep(posts.join(main.select("k", "main"), "k"), "left")
     ours = left.filter("comp <> main").select("k", F.col("lid").alias("lid2"), F.col("own").alias("own2"), F.col("comp").alias("comp2"))
     met = left.join(ours, "k").filter("comp <> comp2 and (own or own2) and (comp = main or lid < lid2)")
-    pairs = met.select(F.least("lid", "lid2").alias("a"), F.greatest("lid", "lid2").alias("b")).distinct()
-    pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+    pairs = met.select(F.least("lid", "lid2").alias("a"), F.greatest("lid", "lid2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     found = _verified(scratch.keep(pairs, "pairs"), texts, scratch, "rest")
     scratch.drop("rows", "left", *[f"posts{t}" for t in range(STAR_ROUNDS)])
     return links.union(found)
