@@ -431,7 +431,7 @@ def _(d):
 
 
 def _risk_rows(d):
-    rows, names = learning.graph_features(_features(d), d.ledger, ["passthrough_ratio", "account_age_days", "median_dwell_seconds", "night_txn_ratio", "burst_out_5min"])
+    rows, names = learning.graph_features(_features(d), d.ledger, COLUMNS)
     return cut_lineage(learning.stratified_split(rows)), names
 
 
@@ -450,13 +450,13 @@ def _(d):
 @query("risk_baselines")
 def _(d):
     rows = cut_lineage(learning.stratified_split(_features(d)))
-    return tidy(learning.baselines(rows, ["passthrough_ratio", "account_age_days", "median_dwell_seconds", "night_txn_ratio", "burst_out_5min"]))
+    return tidy(learning.baselines(rows, COLUMNS))
 
 
 @query("risk_experiments")
 def _(d):
     rows, names = _risk_rows(d)
-    own = names[:5]
+    own = names[:len(COLUMNS)]
     return tidy(learning.experiment_table(rows, names, [{"name": "own", "columns": own, "kind": "logistic"}, {"name": "own_and_graph", "kind": "logistic"}]))
 
 
