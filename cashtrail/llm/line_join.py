@@ -11,7 +11,8 @@ from .tables import Scratch, as_text, low_labels
 EDITS = 2                   # lines this many edits apart, or fewer, are one
 LEAST_CHARS = 24            # shorter lines are not looked at
 STAR_ROUNDS = 2
-BROADCAST_IDS = 500_000     # ids of eight bytes that every executor may hold
+BROADCAST_ROWS = 500_000    # numbers of eight bytes that every executor may hold
+LETTERS = "aeiounrtshdl"    # counted per line to tell pairs apart before they are formed; any characters would do
 BLOCKS = 8                  # of a line's signatures, which leave two of them out
 SAMPLED = 12                # columns looked at before the whole band is run
 
@@ -114,7 +115,18 @@ def _shared(keyed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Rows of the keys under which a line's own entry meets another line."""
     shared = (keyed.groupBy("k").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.max("own").alias("indexed"))
               .filter("low <> high and indexed").select("k"))
-    return keyed.join(scratch.keep(shared, f"{name}-keys"), "k").distinct()
+    return keyed.join(_few(scratch.keep(shared, f"{name}-keys")), "k").distinct()
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A written table of numbers, sent to every executor while it has at most BROADCAST_ROWS rows; beyond that both sides of a join are dealt out."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
+
+
+def _letters(texts: DataFrame) -> DataFrame:
+    """(lid, f): how often each of LETTERS stands in a line. An edit changes these counts by two in all at most."""
+    count = lambda c: F.length("line") - F.length(F.translate("line", c, ""))
+    return texts.select("lid", F.array(*[count(c) for c in LETTERS]).alias("f"))
 
 
 def line_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -128,9 +140,7 @@ def line_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
     keyed = scratch.keep(_keyed(lines), "keyed")
     ids = scratch.keep(_shared(keyed, scratch, "segment").select(F.col("lid").alias("id")).distinct(), "ids")
     scratch.drop("keyed", "segment-keys")
-    # the lines' texts stay where they are while the ids are few; beyond that both sides are dealt out
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    texts = lines.select("lid", "line").join(wanted, F.col("lid") == F.col("id")).groupBy("lid").agg(F.min("line").alias("line"))
+    texts = lines.select("lid", "line").join(_few(ids), F.col("lid") == F.col("id")).groupBy("lid").agg(F.min("line").alias("line"))
     texts = scratch.keep(texts, "texts")
     signed = scratch.keep(_signatures(texts), "signed")
     rows = scratch.keep(_shared(signed, scratch, "signature"), "rows")
@@ -150,9 +160,10 @@ def line_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
                              .withColumn("comp", F.coalesce("comp", "lid")), f"posts{turn}")
     counts = posts.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = counts.groupBy("k").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    left = scratch.keep(posts.join(main.select("k", "main"), "k"), "left")
-    ours = left.filter("comp <> main").select("k", F.col("lid").alias("lid2"), F.col("own").alias("own2"), F.col("comp").alias("comp2"))
-    met = left.join(ours, "k").filter("comp <> comp2 and (own or own2) and (comp = main or lid < lid2)")
+    left = scratch.keep(posts.join(main.select("k", "main"), "k").join(_letters(texts), "lid"), "left")
+    ours = left.filter("comp <> main").select("k", *[F.col(c).alias(f"{c}2") for c in ("lid", "own", "comp", "f")])
+    apart = f"aggregate(zip_with(f, f2, (x, y) -> abs(x - y)), 0, (a, x) -> a + x) <= {2 * EDITS}"
+    met = left.join(ours, "k").filter(f"comp <> comp2 and (own or own2) and (comp = main or lid < lid2) and {apart}")
     pairs = met.select(F.least("lid", "lid2").alias("a"), F.greatest("lid", "lid2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     found = _verified(scratch.keep(pairs, "pairs"), texts, scratch, "rest")
     scratch.drop("rows", "left", *[f"posts{t}" for t in range(STAR_ROUNDS)])
