@@ -14,7 +14,7 @@ from .tables import Scratch
 from .words import GOLD, SPACE, mix64, pieces, shingles, word_hashes, word_spans
 
 SEED_WORDS = 3
-RARE_SHARE = 0.0005         # a seed in at most this share of the documents is rare
+RARE_SHARE = 0.0005         # a seed in at most this share of the documents is rare; what frequent seeds find is bounded before it is aligned
 CONTAMINATED = 0.5          # of the score of an exact copy
 MATCH, MISMATCH, GAP = 2, -1, 1
 SLACK = 0.3                 # words around a seed's expected place, as a share of the item
@@ -33,7 +33,7 @@ class Items:
     words: list[np.ndarray]
     seeds: np.ndarray       # distinct, sorted
     at: np.ndarray          # seed place, item, position
-    keep: np.ndarray | None = None      # of the distinct seeds, those that are rare
+    rare: np.ndarray | None = None      # of the distinct seeds, those in few documents
 
 
 def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[Items]:
@@ -104,18 +104,35 @@ def _seed_documents(items: Items):
     return run
 
 
-def rare_seeds(items: Items, frequency: np.ndarray, documents: int) -> np.ndarray:
-    """Seeds in few documents, and of every item the rarer half in any case, so an item that is everywhere stays findable."""
-    keep = frequency <= max(1.0, RARE_SHARE * documents)
-    place, item, _ = items.at
-    order = np.lexsort((frequency[place], item))
-    ends = np.cumsum(np.bincount(item, minlength=len(items.ids)))
-    begin = 0
-    for end in ends:
-        own = place[order[begin:end]]
-        keep[own[: -(-len(own) // 2)]] = True
-        begin = end
-    return keep
+def rare_seeds(frequency: np.ndarray, documents: int) -> np.ndarray:
+    """Seeds in few documents. They only spare the bound of ``promising``: every seed is searched, whatever its frequency."""
+    return frequency <= max(1.0, RARE_SHARE * documents)
+
+
+def promising(item: np.ndarray, windows: np.ndarray, least: float) -> list[list[tuple[int, int]]]:
+    """Of each window (rows, padded with 0) the ranges outside which no alignment scores ``least``.
+
+    A word of an alignment adds ``MATCH`` if the item holds it and costs at least one if not, so the best sum of a run of words bounds
+    the score of every alignment that ends with it. M matches leave 2 M - least for other words, so a run has 3 n - least words at most.
+    """
+    own = np.unique(item)
+    held = own[np.minimum(np.searchsorted(own, windows), len(own) - 1)] == windows
+    sums = np.zeros((len(windows), windows.shape[1] + 1), np.int32)
+    np.cumsum(np.where(held, MATCH, -1), axis=1, out=sums[:, 1:])
+    span = max(1, min((MATCH + 1) * len(item) - int(np.ceil(least)), windows.shape[1]))
+    low, width = sums[:, :-1].copy(), 1
+    while width < span:
+        step = min(width, span - width)
+        low[:, step:] = np.minimum(low[:, step:], low[:, :-step])
+        width += step
+    good = held & (sums[:, 1:] - low >= least)
+    out: list[list[tuple[int, int]]] = [[] for _ in windows]
+    for x, end in zip(*np.nonzero(good)):
+        a, b = max(0, int(end) + 1 - span), int(end) + 1
+        if out[x] and a <= out[x][-1][1]:
+            a = out[x].pop()[0]
+        out[x].append((a, b))
+    return out
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,57 +156,67 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, where
 
 
-def _windows(positions: np.ndarray, places: np.ndarray, size: int, words: int) -> list[tuple[int, int]]:
-    """Merged word ranges of a row in which the item is expected from its seeds' positions."""
+def _windows(positions: np.ndarray, places: np.ndarray, rare: np.ndarray, size: int, words: int) -> list[tuple[int, int, bool]]:
+    """Merged word ranges of a row in which the item is expected from its seeds' positions, and whether all those seeds are rare."""
     slack = int(SLACK * size) + SEED_WORDS
     begin = np.maximum(0, positions - places - slack)
     end = np.minimum(words, positions - places + size + slack)
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(zip(begin.tolist(), end.tolist())):
+    merged: list[tuple[int, int, bool]] = []
+    for a, b, plain in sorted(zip(begin.tolist(), end.tolist(), rare.tolist())):
         if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]), plain and merged[-1][2])
         else:
-            merged.append((a, b))
+            merged.append((a, b, plain))
     return merged
 
 
+def _table(spans: list[tuple], hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    table = np.zeros((len(spans), max(s[2] - s[1] for s in spans)), np.uint64)
+    for x, (r, a, b, *_) in enumerate(spans):
+        table[x, :b - a] = hashes[at[r] + a:at[r] + b]
+    return table
+
+
+def _narrowed(item: np.ndarray, spans: list[tuple], hashes: np.ndarray, at: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """Spans (row, begin, end) to align: those of rare seeds as they are, of the others what is promising."""
+    out, wide = [s[:3] for s in spans if s[3]], sorted((s for s in spans if not s[3]), key=lambda s: s[2] - s[1])
+    for k in range(0, len(wide), WINDOWS):
+        part = wide[k:k + WINDOWS]
+        for (r, a, _, _), ranges in zip(part, promising(item, _table(part, hashes, at), least)):
+            out += [(r, a + x, a + y) for x, y in ranges]
+    return out
+
+
 def _align_documents(items: Items, least: float):
     """(doc_id, item_id, score, first_word, last_word): the best passage of every document for every item, from ``least`` on."""
-    kept = np.flatnonzero(items.keep)
-    seeds = items.seeds[kept]
-    slots = np.searchsorted(kept, items.at[0])
-    mine = items.keep[items.at[0]]
-    place, item, position = slots[mine], items.at[1][mine], items.at[2][mine]
-    bounds = np.searchsorted(place, np.arange(len(kept) + 1))
+    place, item, position = items.at
+    bounds = np.searchsorted(place, np.arange(len(items.seeds) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found, scores, firsts, lasts = [], [], [], [], []
             for first, data, offsets in pieces(batch.column(1)):
-                hits, hashes, at = _hits(data, offsets, seeds)
+                hits, hashes, at = _hits(data, offsets, items.seeds)
                 many = bounds[hits[2] + 1] - bounds[hits[2]]
                 each = np.repeat(np.arange(hits.shape[1]), many)
                 which = np.concatenate([np.arange(bounds[s], bounds[s + 1]) for s in hits[2]]) if len(each) else np.zeros(0, np.int64)
-                row, spot, one, inside = hits[0][each], hits[1][each], item[which], position[which]
+                row, spot, one, inside, rare = hits[0][each], hits[1][each], item[which], position[which], items.rare[hits[2][each]]
                 order = np.lexsort((row, one))
-                jobs: dict[int, list[tuple[int, int, int]]] = {}
+                jobs: dict[int, list[tuple[int, int, int, bool]]] = {}
                 ends = np.flatnonzero(np.diff(one[order] * len(offsets) + row[order], append=-1)) + 1
                 begin = 0
                 for end in ends:
                     part = order[begin:end]
                     begin = end
                     r, i = int(row[part[0]]), int(one[part[0]])
-                    jobs.setdefault(i, []).extend((r, a, b) for a, b in _windows(spot[part], inside[part], len(items.words[i]), int(at[r + 1] - at[r])))
+                    jobs.setdefault(i, []).extend((r, *w) for w in _windows(spot[part], inside[part], rare[part], len(items.words[i]), int(at[r + 1] - at[r])))
                 best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for i, spans in jobs.items():
-                    spans.sort(key=lambda s: s[2] - s[1])
+                for i, wide in jobs.items():
                     full = MATCH * len(items.words[i])
+                    spans = sorted(_narrowed(items.words[i], wide, hashes, at, least * full), key=lambda s: s[2] - s[1])
                     for k in range(0, len(spans), WINDOWS):
                         part = spans[k:k + WINDOWS]
-                        table = np.zeros((len(part), max(b - a for _, a, b in part)), np.uint64)
-                        for x, (r, a, b) in enumerate(part):
-                            table[x, :b - a] = hashes[at[r] + a:at[r] + b]
-                        score, where = align(items.words[i], table)
+                        score, where = align(items.words[i], _table(part, hashes, at))
                         for x in np.flatnonzero(score >= least * full):
                             r, a, b = part[x]
                             new = (float(score[x]) / full, a, a + int(where[x]))
@@ -212,6 +239,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = CONTAMIN
 
     ``score`` is the Smith-Waterman score of words over that of an exact copy. Items go to the tasks in blocks of bounded size, each
     against all documents; seed frequencies are counted over all documents. Nothing is shuffled but one count per seed and task.
+    Every seed is searched: around rare ones the passage is aligned at once, around frequent ones where a bound on its score allows it,
+    so an edited copy that stands in many documents is found in each of them.
 
     Defined results: null or empty texts and items match nothing; an item of fewer than three words only matches a
     document of just these words; repeated rows match each; null doc_id and item_id are passed on; of equally good passages
@@ -226,7 +255,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = CONTAMIN
         counted = rows.select("text").mapInArrow(_seed_documents(items), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
         frequency = np.zeros(len(items.seeds), np.int64)
         frequency[counted["seed"].to_numpy()] = counted["n"].to_numpy()
-        items.keep = rare_seeds(items, frequency, total)
+        items.rare = rare_seeds(frequency, total)
         out = out.unionByName(rows.mapInArrow(_align_documents(items, least), schema))
     return out
 

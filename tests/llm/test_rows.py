@@ -318,3 +318,35 @@ def test_planted_copies_are_found_and_clean_ones_left(spark, odd, empty):
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
     assert decontaminate.contamination(odd, bench).count() == 0 and decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).count() == 0 and decontaminate.clean(odd, bench).count() == odd.count()
+
+
+@pytest.mark.parametrize("documents", [1_000, 8_000])
+def test_one_edited_copy_in_many_documents(spark, documents):
+    """A whole item with every fifth word replaced and the first half of another, each over the rare share of a small and a larger table."""
+    rng = random.Random(documents)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [[f"item{i}x{k}" for k in range(30)] for i in range(3)]
+    edited = [w if k % 5 != 2 else f"new{k}" for k, w in enumerate(items[0])]
+    half = items[1][:16]
+    share = max(2, int(0.002 * documents))
+    rows = [(d, text(20) + (edited if d < share else half if d < 2 * share else []) + text(20)) for d in range(documents)]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {(d, 0): 42 / 60 for d in range(share)} | {(d, 1): 32 / 60 for d in range(share, 2 * share)}
+
+
+def test_bound_loses_no_alignment():
+    rng = np.random.default_rng(9)
+    found = 0
+    for _ in range(60):
+        item, windows = rng.integers(1, 40, 14).astype(np.uint64), rng.integers(1, 40, (4, 70)).astype(np.uint64)
+        for x in range(3):
+            at = rng.integers(0, 50)
+            windows[x, at:at + 14] = np.where(rng.random(14) < 0.15 * x, 99, item)
+        for window, ranges in zip(windows, decontaminate.promising(item, windows, 14.0)):
+            best = plain_alignment(item.tolist(), window.tolist())
+            inside = [plain_alignment(item.tolist(), window[a:b].tolist()) for a, b in ranges]
+            assert max(inside, default=0) == best if best >= 14 else all(s < 14 for s in inside)
+            found += best >= 14
+    assert 100 < found < 240
