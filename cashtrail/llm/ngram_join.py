@@ -17,10 +17,10 @@ from .tables import Scratch, low_labels
 from .words import GOLD, mix64, row_shingles
 
 SHINGLE = 3
-NUM, DEN = 9, 10                # link when DEN * intersection >= NUM * union
+NUM, DEN = 9, 10                # of op1: link when DEN * intersection >= NUM * union
 SLOTS = 1 << 18                 # counters of the frequency order; bounds what is sent to the tasks (1 MB)
 LONG_LIST = 32                  # lists over this length are left out of merging where the threshold allows it
-SPARE = 20                      # one list in so many is merged beyond the shortest prefix
+SPARE = 20                      # one list in so many is merged beyond the shortest prefix, for thresholds over 1 / SPARE
 BLOCK = 512                     # documents of one inverted block
 PER_PART = 2000                 # candidates of one query that one task takes
 STAR_ROUNDS = 2
@@ -61,7 +61,7 @@ def _count(slots: np.ndarray, grams: np.ndarray) -> None:
     slots[at[ends]] += np.diff(ends, prepend=-1)
 
 
-def _short_lists(size: int, frequency):
+def _short_lists(size: int, num: int, den: int, frequency):
     """Rows (gram, cls, n, i): the first n - T + spare grams of every set in order of frequency, once per set and task; i counts from 1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = frequency.value, set()
@@ -73,7 +73,7 @@ def _short_lists(size: int, frequency):
                 if not n or key in seen:
                     continue
                 seen.add(key)
-                need = -(-NUM * n // DEN)
+                need = -(-num * n // den)
                 take = min(n, n - need + max(1, n // SPARE))
                 order = np.lexsort((grams, counts[(grams >> np.uint64(46)).astype(np.int64)]))[:take]
                 out.append((grams[order].astype(np.int64), key, n))
@@ -110,14 +110,14 @@ def _set_rows(keys, sets) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["cls", "grams"])
 
 
-def divide_skip(query: np.ndarray, block: list[np.ndarray]) -> list[int]:
-    """Places in ``block`` of the sets whose overlap with ``query`` reaches T = NUM (|q| + |d|) / (NUM + DEN).
+def divide_skip(query: np.ndarray, block: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[int]:
+    """Places in ``block`` of the sets whose overlap with ``query`` reaches T = num (|q| + |d|) / (num + den).
 
     The query's inverted lists over the block are divided: the L longest are skipped, the others merged by a
     heap, and a set seen at least T - L times in the merge is probed in the long lists by binary search.
     """
     sizes = np.array([len(s) for s in block])
-    need = -(-NUM * (len(query) + sizes) // (NUM + DEN))
+    need = -(-num * (len(query) + sizes) // (num + den))
     grams = np.concatenate(block)
     owner = np.repeat(np.arange(len(block)), sizes)
     at = np.minimum(np.searchsorted(query, grams), len(query) - 1)
@@ -149,41 +149,45 @@ def divide_skip(query: np.ndarray, block: list[np.ndarray]) -> list[int]:
     return found
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(num: int, den: int):
     """Rows arrive sorted by (query, salt) with the query's own set first; links (a, b) leave."""
-    state: dict = {"key": None, "query": None, "cls": [], "sets": []}
-
-    def flush() -> pa.RecordBatch:
-        hits = divide_skip(state["query"], state["sets"]) if state["query"] is not None and state["sets"] else []
-        rows = pa.RecordBatch.from_arrays([pa.array([state["key"][0]] * len(hits), pa.int64()), pa.array([state["cls"][i] for i in hits], pa.int64())], ["a", "b"])
-        state["cls"], state["sets"] = [], []
-        return rows
-
-    for batch in batches:
-        query, salt, cls = (batch.column(i).to_pylist() for i in range(3))
-        grams = batch.column(3)
-        values, ends = grams.values.to_numpy().view(np.uint64), grams.offsets.to_numpy()
-        for i in range(batch.num_rows):
-            key, one = (query[i], salt[i]), values[ends[i]:ends[i + 1]].copy()
-            if key != state["key"]:
-                if state["sets"]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {"key": None, "query": None, "cls": [], "sets": []}
+
+        def flush() -> pa.RecordBatch:
+            hits = divide_skip(state["query"], state["sets"], num, den) if state["query"] is not None and state["sets"] else []
+            rows = pa.RecordBatch.from_arrays([pa.array([state["key"][0]] * len(hits), pa.int64()), pa.array([state["cls"][i] for i in hits], pa.int64())], ["a", "b"])
+            state["cls"], state["sets"] = [], []
+            return rows
+
+        for batch in batches:
+            query, salt, cls = (batch.column(i).to_pylist() for i in range(3))
+            grams = batch.column(3)
+            values, ends = grams.values.to_numpy().view(np.uint64), grams.offsets.to_numpy()
+            for i in range(batch.num_rows):
+                key, one = (query[i], salt[i]), values[ends[i]:ends[i + 1]].copy()
+                if key != state["key"]:
+                    if state["sets"]:
+                        yield flush()
+                    state["key"], state["query"] = key, None
+                if cls[i] == query[i]:
+                    state["query"] = one
+                    continue
+                state["cls"].append(cls[i])
+                state["sets"].append(one)
+                if len(state["sets"]) == BLOCK:
                     yield flush()
-                state["key"], state["query"] = key, None
-            if cls[i] == query[i]:
-                state["query"] = one
-                continue
-            state["cls"].append(cls[i])
-            state["sets"].append(one)
-            if len(state["sets"]) == BLOCK:
-                yield flush()
-    if state["sets"]:
-        yield flush()
+        if state["sets"]:
+            yield flush()
+
+    return run
 
 
 class Join:
-    """The steps of one join over ``docs`` (doc_id, text); every step is a written table."""
+    """The steps of one join over ``docs`` (doc_id, text) at Jaccard ``num`` / ``den``; every step is a written table."""
 
-    def __init__(self, docs: DataFrame, size: int = SHINGLE):
+    def __init__(self, docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN):
+        self.num, self.den = num, den
         self.spark, self.size, self.scratch, self.turn = docs.sparkSession, size, Scratch(docs.sparkSession), 0
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -201,20 +205,20 @@ class Join:
         """Inverted lists of at least two sets: (gram, cls, n, i, cut, own, needy); long ones only hold the sets that need them.
 
         ``cut`` counts a set's long lists and ``own`` those that hold no other set. Two sets of the required overlap meet in as
-        many lists as the smaller one's spare, less the long ones both leave out. Sizes of partners differ by a tenth at most, so a
-        set whose ``cut`` stays under nine tenths of its spare meets every partner in short lists; the others
+        many lists as the smaller one's spare, less the long ones both leave out. A partner has the threshold's share of a set's
+        size at least, so a set whose ``cut`` stays under that share of its spare meets every partner in short lists; the others
         (``needy``) stay in the long lists.
         """
-        raw = self.scratch.keep(self.docs.select("text").mapInArrow(_short_lists(self.size, self.frequency), "gram long, cls long, n int, i int"), "short")
+        raw = self.scratch.keep(self.docs.select("text").mapInArrow(_short_lists(self.size, self.num, self.den, self.frequency), "gram long, cls long, n int, i int"), "short")
         lists = self.scratch.keep(raw.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high"), "lists")
         shared = raw.join(lists.select("gram", (F.col("m") > LONG_LIST).alias("long")), "gram").distinct()
         shared = self.scratch.keep(shared, "shared")
         self.scratch.drop("short", "lists")
-        need = F.ceil(F.col("n") * NUM / DEN)
+        need = F.ceil(F.col("n") * self.num / self.den)
         listed = F.least(F.col("n"), F.col("n") - need + _spare("n"))
         each = shared.groupBy("cls").agg(F.sum(F.col("long").cast("int")).cast("int").alias("cut"), F.count(F.lit(1)).alias("met"), F.max("n").alias("n"))
         each = self.scratch.keep(each.select("cls", "cut", (listed - F.col("met")).cast("int").alias("own")), "each")
-        posts = shared.join(each, "cls").withColumn("needy", F.col("cut") >= F.floor(_spare("n") * 0.9))
+        posts = shared.join(each, "cls").withColumn("needy", F.col("cut") >= F.floor(_spare("n") * self.num / self.den))
         self.lists = self.scratch.keep(posts.filter("not long or needy").drop("long"), "postings")
         self.scratch.drop("shared", "each")
 
@@ -231,7 +235,7 @@ class Join:
         heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).withColumn("cls", F.col("a"))
         rows = salted.union(heads).join(sets, "cls").select("a", "salt", "cls", "grams")
         rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("cls") != F.col("a"))
-        links = self.scratch.keep(rows.mapInArrow(_search, "a long, b long").distinct(), f"{name}-links")
+        links = self.scratch.keep(rows.mapInArrow(_search(self.num, self.den), "a long, b long").distinct(), f"{name}-links")
         self.scratch.drop(f"{name}-pairs", f"{name}-sets")
         return links
 
@@ -240,15 +244,14 @@ class Join:
         posts = self.lists.join(low_labels(links).withColumnRenamed("node", "cls"), "cls", "left")
         return self.scratch.keep(posts.withColumn("comp", F.coalesce("comp", "cls")), f"posts{turn}")
 
+    def close(self, a: str, b: str):
+        return self.den * F.least(a, b) >= self.num * F.greatest(a, b)
+
 
 def _spare(n: str):
     return F.greatest(F.lit(1), F.floor(F.col(n) / SPARE))
 
 
-def _close(a: str, b: str):
-    return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
-
-
 def jaccard_links(join: Join) -> DataFrame:
     """Links whose groups are those of all links: (a, b) between classes of equal sets.
 
@@ -266,7 +269,7 @@ def jaccard_links(join: Join) -> DataFrame:
         sizes = join.classes.select(F.col("cls").alias("a"), F.col("n").alias("an"))
         met = posts.join(heads.select("gram", "a"), "gram").filter("a <> cls").groupBy("a", "cls").agg(F.count(F.lit(1)).alias("occ"), F.max("n").alias("n"))
         # a star need not be complete: the promising half is tried, the rest is left to the last step
-        met = met.join(sizes, "a").filter(_close("n", "an") & (2 * F.col("occ") >= F.least(_spare("n"), _spare("an"))))
+        met = met.join(sizes, "a").filter(join.close("n", "an") & (2 * F.col("occ") >= F.least(_spare("n"), _spare("an"))))
         pairs = met.select("a", F.col("cls").alias("b"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -281,7 +284,7 @@ def jaccard_links(join: Join) -> DataFrame:
     most = groups.groupBy("gram").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
     left = join.scratch.keep(posts.join(most.select("gram", "main"), "gram"), "left")
     ours = left.filter("comp <> main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "i", "cut", "needy", "comp")])
-    met = left.join(ours, "gram").filter((F.col("comp") != F.col("comp2")) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("cls2"))) & _close("n", "n2"))
+    met = left.join(ours, "gram").filter((F.col("comp") != F.col("comp2")) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("cls2"))) & join.close("n", "n2"))
     lost = F.when(F.col("needy") & F.col("needy2"), 0).otherwise(F.least("cut", "cut2"))
     turned = F.col("cls") > F.col("cls2")
     met = met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"), F.when(turned, F.col("n2")).otherwise(F.col("n")).alias("n"), F.when(turned, F.col("n")).otherwise(F.col("n2")).alias("n2"),
@@ -289,7 +292,7 @@ def jaccard_links(join: Join) -> DataFrame:
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("occ"), F.max("n").alias("n"), F.max("n2").alias("n2"), F.max("i").alias("i"), F.max("i2").alias("i2"), F.max("lost").alias("lost"))
     # what both sets have behind the last list they meet in bounds the overlap from above
     most = F.col("occ") + F.col("lost") + F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
-    enough = (NUM + DEN) * most >= NUM * (F.col("n") + F.col("n2"))
+    enough = (join.num + join.den) * most >= join.num * (F.col("n") + F.col("n2"))
     pairs = pairs.filter((F.col("occ") >= F.least(_spare("n"), _spare("n2")) - F.col("lost")) & enough).select("a", "b")
     if tried is not None:
         pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
@@ -297,15 +300,15 @@ def jaccard_links(join: Join) -> DataFrame:
     return found if links is None else links.union(found)
 
 
-def ngram_join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id): groups of documents linked by Jaccard similarity of their word n-grams.
+def ngram_join(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(doc_id, n_shingles, component_id): groups of documents linked by Jaccard similarity ``num`` / ``den`` of their word n-grams.
 
     Documents with equal sets are one class from the start. Defined results: null or empty text and text
     without a word has an empty set and is linked with nothing; fewer words than ``size`` are one n-gram; repeated rows
     are rows of one class; rows without doc_id are linked like others but name no group (their component is null only
     where the whole group has no id); an empty table gives an empty result; columns other than doc_id and text are not read.
     """
-    join = Join(docs, size)
+    join = Join(docs, size, num, den)
     join.describe()
     join.index()
     links = join.scratch.keep(jaccard_links(join).distinct(), "links")

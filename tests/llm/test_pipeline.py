@@ -1,11 +1,13 @@
 """Every stage of the pipeline against a plain version, on its own input."""
 
+import random
+
 import duckdb
 import pytest
-from test_joins import expected_join, expected_removed
+from test_joins import WORD, expected_join, expected_removed, groups
 
 import corpus_pipeline
-from cashtrail.llm import decontaminate, mixing, rule_quality
+from cashtrail.llm import decontaminate, mixing, ngram_join, rule_quality
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -78,3 +80,35 @@ def test_near_copies_without_id_and_repeated_rows(spark):
     rows = [(1, base), (1, base), (2, base), (3, base + " more"), (None, "alone"), (None, "alone"), (4, ""), (5, None)]
     df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, SMALL).collect()), key=str) == sorted([(1, base), (None, "alone"), (4, ""), (5, None)], key=str)
+
+
+def plain_survivors(rows):
+    """doc_ids left when each group linked by a Jaccard similarity of 0.8 of five-word runs keeps its smallest."""
+    own = []
+    for _, t in rows:
+        words = WORD.findall(t.lower())
+        own.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if own[i] and own[j] and 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j])]
+    low = {}
+    for (d, _), r in zip(rows, groups(len(rows), near)):
+        low[r] = min(low.get(r, d), d)
+    return sorted(low.values())
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark, monkeypatch):
+    """Two scattered words of 100 make near copies; borderline pairs, a group over a list's length and a shared passage."""
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 8)
+    rng = random.Random(8)
+    word = lambda: "w%d" % rng.randrange(5000)
+    base, passage = [word() for _ in range(100)], [word() for _ in range(70)]
+    edited = lambda text, places: [word() + "x" if i in places else w for i, w in enumerate(text)]
+    rows = [base, edited(base, {30, 70})]
+    for k in range(60):
+        other = [word() for _ in range(rng.choice([12, 40, 90]))]
+        rows += [other, edited(other, set(rng.sample(range(len(other)), rng.choice([1, 2, 3]))))]
+    rows += [edited(base, set(rng.sample(range(100), rng.randrange(0, 6)))) for _ in range(40)]
+    rows += [passage + [word() for _ in range(rng.choice([2, 8, 16, 24, 40]))] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, SMALL).collect())
+    assert got == plain_survivors(rows) and 1 not in got and 60 < len(got) < len(rows) - 30
