@@ -14,8 +14,13 @@ COPY_WORDS, COPY_NUM, COPY_DEN = 5, 4, 5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble, learned from the labelled ones, rejects go."""
+    """Documents that the rule ensemble, learned from the labelled ones, rejects go.
+
+    An ensemble without a rule has learned nothing (no label, none that meets a document, or one class only): all documents stay.
+    """
     ensemble = rule_quality.learn(docs, table(spark, sf_dir, "labels"))
+    if not ensemble.weights:
+        return docs
     names = docs.columns
     scored = rule_quality.with_statistics(docs.select("*", F.col("text").cast("string").alias("__text")), "__text")
     return scored.filter(ensemble.score() >= rule_quality.CUT).select(*names)

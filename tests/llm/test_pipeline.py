@@ -112,3 +112,12 @@ def test_near_copies_by_five_words_and_four_fifths(spark, monkeypatch):
     df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, SMALL).collect())
     assert got == plain_survivors(rows) and 1 not in got and 60 < len(got) < len(rows) - 30
+
+
+@pytest.mark.parametrize("marks", [[], [(-1, 1), (-2, 0)], [(d, 0) for d in range(12)]])
+def test_quality_without_a_rule_keeps_all(spark, tmp_path, marks):
+    """No label, labels of other documents, labels of one class."""
+    spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(d, f"text number {d}") for d in range(12)] + [(None, None)], "doc_id long, text string")
+    kept = corpus_pipeline.keep_quality(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(kept.collect(), key=str) == sorted(docs.collect(), key=str)
