@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_pairs, decontaminate, host_rules, language, line_join, mixing, ngram_join, rule_quality, secrets, warc_zip
+from . import chat_pairs, decontaminate, host_rules, language, line_join, mixing, ngram_join, packing, rule_quality, secrets, token_align, warc_zip, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,10 @@ def queries() -> dict[str, Query]:
         "op8_secret_scan": lambda s, d: secrets.scan(table(s, d, "documents")),
         "op9_language": lambda s, d: language.identify(table(s, d, "documents")),
         "op10_line_dedup": lambda s, d: line_join.line_report(table(s, d, "documents")),
+        "op11_token_alignment": lambda s, d: token_align.token_alignment(table(s, d, "documents")),
+        # the contract's column is a long: null where a long cannot hold the sum
+        "op12_whitening": lambda s, d: whitening.whiten(table(s, d, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)")),
+        "op13_packing": lambda s, d: packing.pack(table(s, d, "documents")),
     }
 
 

@@ -22,8 +22,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        df.write.parquet(self.path(name), **options)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
