@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import Scratch, as_text
-from .vocab import BYTE_FILE, PIECE_FILE, byte_tokens, piece_tokens, vocabulary
+from .vocab import BYTE_FILE, PIECE_FILE, byte_tokens, piece_tokens, units_of, vocabulary
 
 #: texts aligned at once in a task; links of a group written out one by one; most pairs that are looked up by broadcast (16 bytes each)
 BLOCK_BYTES, SMALL_GROUP, FREQUENT = 1 << 20, 256, 1 << 18
@@ -97,9 +97,9 @@ class Aligner:
         """Ids of both sides, None where they do not spell the text with a space before it."""
         if not text:
             return None
-        spaced = " " + text
-        a, b = self.a.ids(spaced), self.b.ids(spaced)
-        return (a, b) if self.a.spells(spaced, a) and self.b.spells(spaced, b) else None
+        units = units_of(text)
+        (a, a_spells), (b, b_spells) = self.a.spaced(text, units), self.b.spaced(text, units)
+        return (a, b) if a_spells and b_spells else None
 
     def block(self, found: list[tuple[bytes, bytes]]) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Counts per document, hashes, and the documents' distinct linked pairs: offsets, keys (A id times size of B, plus B id), times."""

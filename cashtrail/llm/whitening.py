@@ -84,7 +84,7 @@ def plane_words(y: np.ndarray, bits: np.ndarray) -> np.ndarray:
     padded = np.zeros((-(-len(y) // 64) * 64, y.shape[1]), y.dtype)
     padded[:len(y)] = y
     planes = [np.packbits((padded[:, i] >> np.asarray(b, y.dtype)) & np.asarray(1, y.dtype)) for i, n in enumerate(bits) for b in range(n)]
-    return np.array(planes, np.uint8).reshape(len(planes), -1).view(np.uint64)
+    return np.array(planes, np.uint8).reshape(len(planes), len(padded) // 8).view(np.uint64)
 
 
 def cross_products(y: np.ndarray, bits: np.ndarray, shifts: np.ndarray, owners: np.ndarray, total: dict[tuple[int, int], int]) -> None:
