@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -11,6 +13,8 @@ from .distribution import forward_counts
 VELOCITY_S, VELOCITY_MORE_THAN = 300, 2
 SPLIT_MIN, SPLIT_TOLERANCE = 3, 0.30
 TRACE_DEPTH, CREW_HOPS = 5, 3
+#: 64-bit words of walks that a trace carries in one row
+TRACE_WORDS = 16
 
 
 def collapse_edges(ledger: DataFrame, keep: str = "last") -> DataFrame:
@@ -62,27 +66,65 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .withColumn("velocity_anomalies", n(velocity_flags(edges))).withColumn("fund_splitting_nodes", n(split_flags(edges))))
 
 
-def trace(starts: DataFrame, edges: DataFrame, max_depth: int = TRACE_DEPTH) -> DataFrame:
-    """Breadth-first depth of every account reachable from each start: (trace_id, account_id, depth).
+WORD_COLUMNS = [f"w{i}" for i in range(TRACE_WORDS)]
+WALK_BITS = 64 * TRACE_WORDS
+
 
-    All starts advance together, one join per level; an account leaves the frontier of a
-    trace once seen. Starts that are on no edge give nothing.
+def _any_bit(names: list[str]) -> Column:
+    return reduce(lambda x, y: x | y, [F.col(n) != 0 for n in names])
+
+
+def bit_levels(starts: DataFrame, edges: DataFrame, max_depth: int = TRACE_DEPTH) -> list[DataFrame]:
+    """Breadth-first levels of many walks at once: per depth (account_id, block, w0, w1, ...) of the walks that get there first.
+
+    ``starts`` holds (walk, account_id) with whole numbers from 0 on, consecutive for the most part; bit ``walk % WALK_BITS`` of
+    block ``walk div WALK_BITS`` stands for a walk, so a transfer pair carries that many walks in one row. A level is one join
+    and one ``bit_or`` that combines before the shuffle; what was seen before is taken off word by word. Starts on no edge give nothing.
     """
-    pairs = edges.select("src_account", "dst_account").distinct()
+    pairs = cut_lineage(edges.select("src_account", "dst_account").distinct())
     known = pairs.select(F.col("src_account").alias("account_id")).union(pairs.select("dst_account")).distinct()
-    frontier = cut_lineage(starts.select("trace_id", "account_id").distinct().join(known, "account_id", "left_semi")
-                           .select("trace_id", "account_id", F.lit(0).alias("depth")))
-    seen = frontier
-    pairs = cut_lineage(pairs)
-    for depth in range(1, max_depth + 1):
-        step = (frontier.join(pairs, frontier.account_id == pairs.src_account)
-                .select("trace_id", F.col("dst_account").alias("account_id")).distinct()
-                .join(seen, ["trace_id", "account_id"], "left_anti").withColumn("depth", F.lit(depth)))
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
+    bit = (F.col("walk") % WALK_BITS).cast("int")
+    own = [F.when(F.floor(bit / 64) == i, F.expr(f"shiftleft(1L, cast(walk % {WALK_BITS} as int) % 64)")).otherwise(F.lit(0).cast("long")).alias(n)
+           for i, n in enumerate(WORD_COLUMNS)]
+    gather = [F.bit_or(n).alias(n) for n in WORD_COLUMNS]
+    here = (starts.join(known, "account_id", "left_semi").select("account_id", F.expr(f"walk div {WALK_BITS}").alias("block"), *own)
+            .groupBy("account_id", "block").agg(*gather))
+    seen_names = [f"seen_{n}" for n in WORD_COLUMNS]
+    state = cut_lineage(here.select("*", *[F.col(n).alias(s) for n, s in zip(WORD_COLUMNS, seen_names)]))
+    levels = []
+    for depth in range(max_depth + 1):
+        level = state.filter(_any_bit(WORD_COLUMNS)).select("account_id", "block", *WORD_COLUMNS)
+        if level.isEmpty():
+            break
+        levels.append(level)
+        if depth == max_depth:
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        reached = (level.join(pairs, F.col("account_id") == F.col("src_account")).groupBy(F.col("dst_account").alias("account_id"), "block").agg(*gather))
+        zero = F.lit(0).cast("long")
+        both = state.select("account_id", "block", *seen_names).join(reached, ["account_id", "block"], "full_outer")
+        state = cut_lineage(both.select("account_id", "block", *[F.coalesce(F.col(n).bitwiseAND(F.bitwise_not(F.coalesce(s, zero))), zero).alias(n) for n, s in zip(WORD_COLUMNS, seen_names)],
+                                        *[F.coalesce(s, zero).bitwiseOR(F.coalesce(n, zero)).alias(s) for n, s in zip(WORD_COLUMNS, seen_names)]))
+    return levels
+
+
+def walk_rows(levels: list[DataFrame], starts: DataFrame) -> DataFrame:
+    """(walk, account_id, depth), one row per bit that is set in the levels."""
+    if not levels:
+        return starts.select("walk", "account_id", F.lit(0).alias("depth")).limit(0)
+    rows = reduce(DataFrame.unionByName, [level.withColumn("depth", F.lit(d)) for d, level in enumerate(levels)])
+    words = rows.select("account_id", "depth", "block", F.posexplode(F.array(*WORD_COLUMNS)).alias("word", "bits")).filter("bits <> 0")
+    return (words.withColumn("bit", F.explode(F.array(*[F.lit(i) for i in range(64)]))).filter("(shiftright(bits, bit) & 1) = 1")
+            .select(F.expr(f"block * {WALK_BITS} + word * 64 + bit").alias("walk"), "account_id", "depth"))
+
+
+def trace(starts: DataFrame, edges: DataFrame, max_depth: int = TRACE_DEPTH) -> DataFrame:
+    """Breadth-first depth of every account reachable from each start: (trace_id, account_id, depth).
+
+    All starts advance together, one bit each; several accounts of one trace_id start it together and the smaller depth counts.
+    """
+    ids = cut_lineage(starts.select("trace_id").distinct().withColumn("walk", F.monotonically_increasing_id()))
+    numbered = starts.select("trace_id", "account_id").distinct().join(ids, "trace_id").select("walk", "account_id")
+    return walk_rows(bit_levels(numbered, edges, max_depth), numbered).join(ids, "walk").select("trace_id", "account_id", "depth")
 
 
 def trace_edges(reached: DataFrame, edges: DataFrame, max_depth: int = TRACE_DEPTH) -> DataFrame:
@@ -100,21 +142,41 @@ def complaint_origins(edges: DataFrame) -> DataFrame:
             .select(F.col("complaint_id").alias("trace_id"), F.col("src_account").alias("account_id")).distinct())
 
 
+def complaint_walks(edges: DataFrame, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(complaint_id, walk) and (walk, account_id): complaints with one and the same origin share a walk, one with several has its own."""
+    origins = complaint_origins(edges)
+    if asked is not None:
+        origins = origins.join(asked.select(F.col("complaint_id").alias("trace_id")).distinct(), "trace_id", "left_semi")
+    origins = cut_lineage(origins)
+    heads = origins.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.min("account_id").alias("only"))
+    heads = cut_lineage(heads.select("trace_id", F.when(F.col("n") == 1, F.col("only")).alias("only"), F.when(F.col("n") > 1, F.col("trace_id")).alias("own")))
+    walks = cut_lineage(heads.select("only", "own").distinct().withColumn("walk", F.monotonically_increasing_id()))
+    alone, many = walks.filter("own is null").select("only", "walk"), walks.filter("own is not null").select(F.col("own").alias("trace_id"), "walk")
+    of = heads.filter("own is null").join(alone, "only").select("trace_id", "walk").unionByName(many)
+    starts = alone.select("walk", F.col("only").alias("account_id")).unionByName(origins.join(many, "trace_id").select("walk", "account_id"))
+    return of.select(F.col("trace_id").alias("complaint_id"), "walk"), starts
+
+
 def trace_complaints(edges: DataFrame, asked: DataFrame | None = None, max_depth: int = TRACE_DEPTH) -> DataFrame:
     """(complaint_id, account_id, depth) from the first-hop sources of the asked complaints, over the whole graph.
 
     ``asked`` holds the complaint ids somebody wants traced; without it every complaint is, and the result is as large as
-    all their reach. The walk is done once per distinct origin account and handed to its complaints afterwards. Where
-    two origins of a complaint reach one account, the smaller depth is kept.
+    all their reach (``complaint_reach`` sums it up without writing it out). Where two origins of a complaint reach one
+    account, the smaller depth is kept.
     """
-    origins = complaint_origins(edges)
-    if asked is not None:
-        origins = origins.join(asked.select(F.col("complaint_id").alias("trace_id")).distinct(), "trace_id", "left_semi")
-    origins = cut_lineage(origins)
-    walks = trace(origins.select(F.col("account_id").alias("trace_id"), "account_id").distinct(), edges, max_depth)
-    return (origins.select(F.col("trace_id").alias("complaint_id"), F.col("account_id").alias("origin"))
-            .join(walks, F.col("origin") == walks.trace_id)
-            .groupBy("complaint_id", walks.account_id).agg(F.min("depth").alias("depth")))
+    of, starts = complaint_walks(edges, asked)
+    return of.join(walk_rows(bit_levels(starts, edges, max_depth), starts), "walk").select("complaint_id", "account_id", "depth")
+
+
+def complaint_reach(edges: DataFrame, weight: Column | None = None, max_depth: int = TRACE_DEPTH) -> DataFrame:
+    """How far every complaint reaches: (complaint_id, reached, deepest, weight_sum), the last over a number of the account.
+
+    Bits are counted per walk before anything is joined with complaints, so the reach itself is never written out.
+    """
+    of, starts = complaint_walks(edges)
+    rows = walk_rows(bit_levels(starts, edges, max_depth), starts)
+    sums = rows.groupBy("walk").agg(F.count(F.lit(1)).alias("reached"), F.max("depth").alias("deepest"), F.sum(F.lit(0) if weight is None else weight).alias("weight_sum"))
+    return of.join(sums, "walk").drop("walk")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

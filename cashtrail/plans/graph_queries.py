@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import accounts as acct
 from ..operators import graph
+from ..session import cut_lineage
 from ..sources import tables
 from .registry import query, tidy
 
@@ -107,11 +108,12 @@ def _(d):
     return graph.trace_complaints(d.ledger, _asked(d)).select("complaint_id", "account_id", "depth")
 
 
-@query("trace_all_complaints", "ledger", "select id as complaint_id, count(*) as reached, max(depth) as deepest, sum(node)::bigint as node_sum from walk group by 1", _walk_sql("ledger", ORIGINS))
+@query("trace_all_complaints", "ledger", "select c.id as complaint_id, count(*) as reached, max(depth) as deepest, sum(w.node)::bigint as node_sum from c join walk w on w.id = c.node group by 1", _walk_sql(
+    "ledger", "select distinct src_account as id, src_account as node from ledger where complaint_id is not null and hop_depth = 1") + ",\nc as (select distinct complaint_id as id, src_account as node from ledger where complaint_id is not null and hop_depth = 1)")
 def _(d):
-    """Reach of each asked complaint as one row."""
-    walks = graph.trace_complaints(d.ledger, _asked(d))
-    return walks.groupBy("complaint_id").agg(F.count(F.lit(1)).alias("reached"), F.max("depth").alias("deepest"), F.sum("account_id").alias("node_sum"))
+    """Reach of every complaint as one row."""
+    written = cut_lineage(d.ledger.select("complaint_id", "hop_depth", "src_account", "dst_account"))
+    return graph.complaint_reach(written, F.col("account_id")).withColumnRenamed("weight_sum", "node_sum")
 
 
 @query("trace_victims_case_graph", "complaints ledger", "select id as trace_id, depth, count(*) as accounts, sum(node)::bigint as node_sum from walk group by 1, 2", _walk_sql(

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from cashtrail.operators import candidates, graph
 
 EDGE = "txn_id long, complaint_id string, src_account string, dst_account string, amount double, ts_s long, hop_depth int, is_terminal int"
@@ -40,6 +42,42 @@ def test_trace(spark):
     assert ("d", "T") in by_case and ("c", "X") not in by_case
 
 
+def test_bit_traces_of_many_complaints(spark, monkeypatch):
+    """More walks than a row holds, complaints with several origins, shared origins, circles and a hub, against plain search."""
+    rnd = random.Random(11)
+    monkeypatch.setattr(graph, "TRACE_WORDS", 2)
+    monkeypatch.setattr(graph, "WORD_COLUMNS", ["w0", "w1"])
+    monkeypatch.setattr(graph, "WALK_BITS", 128)
+    names = [f"n{i}" for i in range(300)]
+    pairs = [tuple(rnd.sample(names, 2)) for _ in range(360)] + [("n0", n) for n in names[1:60]] + [("n5", "n5")]
+    rows = [(None, s, t, 1, 0, 2, 0) for s, t in pairs]
+    origins = {f"c{i}": set(rnd.sample(names, rnd.choice((1, 1, 1, 2, 3)))) for i in range(420)} | {"twin1": {"n7"}, "twin2": {"n7"}}
+    out = {n: [t for s, t in pairs if s == n] for n in names}
+    ends = {c: {o: rnd.choice(names) for o in found} for c, found in origins.items()}
+    for c, found in origins.items():
+        for o in found:
+            rows.append((c, o, ends[c][o], 1, 0, 1, 0))
+            out[o].append(ends[c][o])
+    want = {}
+    for c, found in origins.items():
+        seen = {o: 0 for o in found}
+        frontier = set(found)
+        for depth in range(1, 6):
+            frontier = {t for s in frontier for t in out[s]} - set(seen)
+            seen |= {t: depth for t in frontier}
+        want[c] = seen
+    e = edges(spark, rows)
+    got = {}
+    for r in graph.trace_complaints(e).collect():
+        assert got.setdefault(r.complaint_id, {}).setdefault(r.account_id, r.depth) == r.depth
+    assert got == want
+    reach = {r.complaint_id: (r.reached, r.deepest, r.weight_sum) for r in graph.complaint_reach(e, F.length("account_id")).collect()}
+    assert reach == {c: (len(x), max(x.values()), sum(map(len, x))) for c, x in want.items()}
+    asked = spark.createDataFrame([("c3",), ("twin2",), ("nobody",)], "complaint_id string")
+    assert {r.complaint_id for r in graph.trace_complaints(e, asked).collect()} == {"c3", "twin2"}
+    assert graph.trace_complaints(e.limit(0)).count() == 0 and graph.complaint_reach(e.limit(0)).count() == 0
+
+
 def test_components(spark):
     rows = [("c", f"n{i}", f"n{i + 1}", 1, 0, 1, 0) for i in range(40)] + [("c", "p", "q", 1, 0, 1, 0), ("c", "s", "s", 1, 0, 1, 0)]
     got = {r.account_id: r.component for r in graph.components(edges(spark, rows)).collect()}
