@@ -78,6 +78,11 @@ def _masses(rows: DataFrame, cell_probs: DataFrame, as_of_s, windows) -> DataFra
     return timed.join(cell_probs, keys).withColumn("mass", F.col("p") * F.col("window_mass")).filter(F.col("mass") > 0)
 
 
+def case_cells(rows: DataFrame, cell_probs: DataFrame, as_of_s: Column | int, windows=timing.WINDOWS) -> DataFrame:
+    """Distinct (cell, complaint_id) of the cases that count in a cell."""
+    return _masses(rows, cell_probs, as_of_s, windows).filter(F.col("mass") > EPS_CASE).select("cell", "complaint_id").distinct()
+
+
 def forward_surface(rows: DataFrame, cell_probs: DataFrame, cells: DataFrame, prior: DataFrame, as_of_s: Column | int,
                     windows=timing.WINDOWS, prior_weight: float = PRIOR_WEIGHT) -> DataFrame:
     """One row per (cell, window): live rupees, capped prior rupees, case count.

@@ -14,7 +14,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions import timing
 from ..operators import alerts, cases, surface
 from ..operators.rules import DEFAULT_RULES
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
+from .posterior import PosteriorStore
 
 TICK = "60 seconds"
 OPEN_WATERMARK = "120 minutes"
@@ -113,27 +114,43 @@ def alert_pass(rows: DataFrame, cell_probs: DataFrame, cells: DataFrame, prior:
     return alerts.dedupe_alerts(raised, existing)
 
 
-def alert_sink(posterior: Callable[[], tuple[DataFrame, DataFrame]], cells: DataFrame, prior: DataFrame, target: str,
-               as_of: Callable[[DataFrame], Column | int], failures: list | None = None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: pass over the posterior table, append what is new.
+def alert_sink(store: PosteriorStore, transfers: Callable[[], DataFrame], accounts: DataFrame, prior: Callable[[int], DataFrame], target: str,
+               as_of: Callable[[DataFrame], int | None], registry: DataFrame | None = None, failures: list | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink of the national tick: the batch's complaints go into the store, then the rules pass over the cases open now.
 
-    A failed pass is recorded and raised again: the epoch is not committed and runs anew when the query restarts.
+    ``as_of`` reads the instant off the batch (live: the clock; a tick without an instant raises nothing), ``prior`` gives the cells'
+    shares at an instant, ``transfers`` the attached transfers known by now. With a ``registry`` of marked accounts the hits in the
+    open cases' chains count. What was raised in an earlier epoch is not raised again. A failed pass is recorded and raised again:
+    the epoch is not committed and runs anew when the query restarts, over the same epoch folders.
     """
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        batch.persist()
         try:
-            rows, probs = posterior()
+            attached = transfers()
+            store.append(batch, epoch, attached, accounts)
+            now = as_of(batch)
+            if now is None:
+                return
+            age = (F.lit(now) - F.col("filed_s")) / 60.0
+            rows, probs = cut_lineage(store.rows().filter((age >= 0) & (age <= surface.OPEN_MINUTES))), store.probs()
+            hits = None
+            if registry is not None:
+                chains = attached.join(rows.select("complaint_id"), "complaint_id", "left_semi")
+                hits = alerts.registry_hits(chains, registry, surface.case_cells(rows, probs, now))
             try:
-                earlier = spark.read.parquet(target).filter(F.col("epoch") != epoch)
+                earlier = spark.read.parquet(target).filter(F.col("epoch") < epoch)
             except Exception as error:
                 if "PATH_NOT_FOUND" not in str(error):
                     raise
                 earlier = None
-            alert_pass(rows, probs, cells, prior, as_of(batch), earlier).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+            alert_pass(rows, probs, store.cells, prior(now), now, earlier, hits).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
         except Exception as error:
             if failures is not None:
                 failures.append((epoch, str(error)[:500]))
             raise
+        finally:
+            batch.unpersist()
 
     return sink
 
@@ -160,11 +177,3 @@ def change_feed(rows: DataFrame, kind: str, key: str, at: str) -> DataFrame:
     """Typed change rows (kind, key, at, body) for a file or message sink."""
     return rows.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(at).alias("at"), F.to_json(F.struct(*rows.columns)).alias("body"))
 
-
-def retry_sink(deliveries: Callable[[], DataFrame], attempt: Callable[[DataFrame], DataFrame], target: str, now: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
-    """Each tick: deliveries that are due are attempted (by an outside job) and their new state is appended."""
-    def sink(batch: DataFrame, epoch: int) -> None:
-        due = alerts.deliveries_due(deliveries(), now())
-        alerts.advance_deliveries(due, attempt(due), now()).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
-
-    return sink

@@ -1,4 +1,5 @@
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,14 +110,15 @@ def test_stream_pass_equals_batch_pass(spark, tmp_path):
     posts.write.parquet(str(tmp_path / "in"))
     target = str(tmp_path / "alerts")
     stream = jobs.file_stream(spark, str(tmp_path / "in"), posts.schema)
-    sink = jobs.alert_sink(lambda: (posts, probs), cells, prior, target, lambda batch: 6000)
+    store = SimpleNamespace(append=lambda *a: None, rows=lambda: posts, probs=lambda: probs, cells=cells)
+    sink = jobs.alert_sink(store, lambda: None, None, lambda now: prior, target, lambda batch: 6000)
     jobs.start(stream, sink, str(tmp_path / "ck"), once=True).awaitTermination()
     batch = jobs.alert_pass(posts, probs, cells, prior, 6000)
     keys = ["rule_id", "cell_id", "window_start_min", "dedupe_bucket"]
     assert sorted(map(tuple, spark.read.parquet(target).select(*keys).collect())) == sorted(map(tuple, batch.select(*keys).collect())) != []
     failures = []
     with pytest.raises(ZeroDivisionError):
-        jobs.alert_sink(lambda: 1 / 0, cells, prior, target, lambda b: 0, failures)(posts, 7)
+        jobs.alert_sink(store, lambda: 1 / 0, None, lambda now: prior, target, lambda b: 0, failures=failures)(posts, 7)
     assert failures and failures[0][0] == 7
 
 
