@@ -21,6 +21,7 @@ NUM, DEN = 9, 10                # of op1: link when DEN * intersection >= NUM *
 SLOTS = 1 << 18                 # counters of the frequency order; bounds what is sent to the tasks (1 MB)
 LONG_LIST = 32                  # lists over this length are left out of merging where the threshold allows it
 SPARE = 20                      # one list in so many is merged beyond the shortest prefix, for thresholds over 1 / SPARE
+PAIRED = 4 * SPARE              # smaller sets meet under two listed grams at once: one spare list is no evidence among texts of one template
 BLOCK = 512                     # documents of one inverted block
 PER_PART = 2000                 # candidates of one query that one task takes
 STAR_ROUNDS = 2
@@ -61,12 +62,29 @@ def _count(slots: np.ndarray, grams: np.ndarray) -> None:
     slots[at[ends]] += np.diff(ends, prepend=-1)
 
 
+def _paired_below(num: int, den: int) -> int:
+    """Sets under this size are listed under pairs of grams too, since a partner may be smaller than PAIRED."""
+    return (PAIRED - 1) * den // num + 1
+
+
 def _short_lists(size: int, num: int, den: int, frequency):
-    """Rows (gram, cls, n, i): the first n - T + spare grams of every set in order of frequency, once per set and task; i counts from 1."""
+    """Rows (gram, cls, n, i, paired): the first grams of every set in order of frequency, once per set and task; i counts from 1.
+
+    A set of PAIRED grams or more is listed under its first n - T + spare grams. Smaller ones, and those that may have a smaller
+    partner, are listed under every two of their first n - T + 2 grams, of which partners share two; i is the place of the later one.
+    """
+    names = ["gram", "cls", "n", "i", "paired"]
+
+    def rows(found, paired: bool) -> pa.RecordBatch:
+        lengths = [len(g) for g, _, _, _ in found]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g for g, _, _, _ in found]).astype(np.int64)), pa.array(np.repeat([k for _, _, k, _ in found], lengths)),
+                                           pa.array(np.repeat(np.array([n for _, _, _, n in found], np.int32), lengths)), pa.array(np.concatenate([i for _, i, _, _ in found]).astype(np.int32)),
+                                           pa.array(np.full(sum(lengths), paired))], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = frequency.value, set()
         for batch in batches:
-            out = []
+            single, double = [], []
             for _, grams in row_shingles(batch.column(0), size):
                 grams = np.unique(grams)
                 key, n = _set_key(grams)
@@ -74,14 +92,16 @@ def _short_lists(size: int, num: int, den: int, frequency):
                     continue
                 seen.add(key)
                 need = -(-num * n // den)
-                take = min(n, n - need + max(1, n // SPARE))
-                order = np.lexsort((grams, counts[(grams >> np.uint64(46)).astype(np.int64)]))[:take]
-                out.append((grams[order].astype(np.int64), key, n))
-            if out:
-                lengths = [len(g) for g, _, _ in out]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g for g, _, _ in out])), pa.array(np.repeat([k for _, k, _ in out], lengths)),
-                                                  pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), lengths)),
-                                                  pa.array(np.concatenate([np.arange(1, k + 1, dtype=np.int32) for k in lengths]))], ["gram", "cls", "n", "i"])
+                order = np.lexsort((grams, counts[(grams >> np.uint64(46)).astype(np.int64)]))
+                if n >= PAIRED:
+                    take = min(n, n - need + max(1, n // SPARE))
+                    single.append((grams[order[:take]], np.arange(1, take + 1), key, n))
+                if n < _paired_below(num, den):
+                    first, later = np.triu_indices(min(n, n - need + 2), 1)
+                    double.append((mix64(grams[order[first]] * GOLD + mix64(grams[order[later]])), later + 1, key, n))
+            for found, paired in ((single, False), (double, True)):
+                if found:
+                    yield rows(found, paired)
 
     return run
 
@@ -202,24 +222,26 @@ class Join:
         self.classes = self.scratch.keep(self.members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").cast("int").alias("n")), "classes")
 
     def index(self) -> None:
-        """Inverted lists of at least two sets: (gram, cls, n, i, cut, own, needy); long ones only hold the sets that need them.
+        """Inverted lists of at least two sets: (gram, cls, n, i, paired, cut, own, needy); long ones only hold the sets that need them.
 
         ``cut`` counts a set's long lists and ``own`` those that hold no other set. Two sets of the required overlap meet in as
         many lists as the smaller one's spare, less the long ones both leave out. A partner has the threshold's share of a set's
         size at least, so a set whose ``cut`` stays under that share of its spare meets every partner in short lists; the others
-        (``needy``) stay in the long lists.
+        (``needy``) stay in the long lists. Lists of paired grams are never cut.
         """
-        raw = self.scratch.keep(self.docs.select("text").mapInArrow(_short_lists(self.size, self.num, self.den, self.frequency), "gram long, cls long, n int, i int"), "short")
+        raw = self.scratch.keep(self.docs.select("text").mapInArrow(_short_lists(self.size, self.num, self.den, self.frequency), "gram long, cls long, n int, i int, paired boolean"), "short")
         lists = self.scratch.keep(raw.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high"), "lists")
         shared = raw.join(lists.select("gram", (F.col("m") > LONG_LIST).alias("long")), "gram").distinct()
         shared = self.scratch.keep(shared, "shared")
         self.scratch.drop("short", "lists")
         need = F.ceil(F.col("n") * self.num / self.den)
-        listed = F.least(F.col("n"), F.col("n") - need + _spare("n"))
-        each = shared.groupBy("cls").agg(F.sum(F.col("long").cast("int")).cast("int").alias("cut"), F.count(F.lit(1)).alias("met"), F.max("n").alias("n"))
+        two = F.least(F.col("n"), F.col("n") - need + 2)
+        listed = (F.when(F.col("n") >= PAIRED, F.least(F.col("n"), F.col("n") - need + _spare("n"))).otherwise(0)
+                  + F.when(F.col("n") < _paired_below(self.num, self.den), two * (two - 1) / 2).otherwise(0))
+        each = shared.groupBy("cls").agg(F.sum((F.col("long") & ~F.col("paired")).cast("int")).cast("int").alias("cut"), F.count(F.lit(1)).alias("met"), F.max("n").alias("n"))
         each = self.scratch.keep(each.select("cls", "cut", (listed - F.col("met")).cast("int").alias("own")), "each")
         posts = shared.join(each, "cls").withColumn("needy", F.col("cut") >= F.floor(_spare("n") * self.num / self.den))
-        self.lists = self.scratch.keep(posts.filter("not long or needy").drop("long"), "postings")
+        self.lists = self.scratch.keep(posts.filter("not long or needy or paired").drop("long"), "postings")
         self.scratch.drop("shared", "each")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -284,16 +306,17 @@ def jaccard_links(join: Join) -> DataFrame:
     most = groups.groupBy("gram").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
     left = join.scratch.keep(posts.join(most.select("gram", "main"), "gram"), "left")
     ours = left.filter("comp <> main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "i", "cut", "needy", "comp")])
-    met = left.join(ours, "gram").filter((F.col("comp") != F.col("comp2")) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("cls2"))) & join.close("n", "n2"))
-    lost = F.when(F.col("needy") & F.col("needy2"), 0).otherwise(F.least("cut", "cut2"))
+    # sets that both have lists of single grams meet in those
+    met = left.join(ours, "gram").filter((F.col("comp") != F.col("comp2")) & (~F.col("paired") | (F.least("n", "n2") < PAIRED)) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("cls2"))) & join.close("n", "n2"))
+    lost = F.when(F.col("paired") | (F.col("needy") & F.col("needy2")), 0).otherwise(F.least("cut", "cut2"))
     turned = F.col("cls") > F.col("cls2")
     met = met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"), F.when(turned, F.col("n2")).otherwise(F.col("n")).alias("n"), F.when(turned, F.col("n")).otherwise(F.col("n2")).alias("n2"),
-                     F.when(turned, F.col("i2")).otherwise(F.col("i")).alias("i"), F.when(turned, F.col("i")).otherwise(F.col("i2")).alias("i2"), lost.alias("lost"))
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("occ"), F.max("n").alias("n"), F.max("n2").alias("n2"), F.max("i").alias("i"), F.max("i2").alias("i2"), F.max("lost").alias("lost"))
-    # what both sets have behind the last list they meet in bounds the overlap from above
-    most = F.col("occ") + F.col("lost") + F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
+                     F.when(turned, F.col("i2")).otherwise(F.col("i")).alias("i"), F.when(turned, F.col("i")).otherwise(F.col("i2")).alias("i2"), lost.alias("lost"), "paired")
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("occ"), F.max("n").alias("n"), F.max("n2").alias("n2"), F.max("i").alias("i"), F.max("i2").alias("i2"), F.max("lost").alias("lost"), F.max("paired").alias("paired"))
+    # what both sets have behind the last list they meet in bounds the overlap from above; k common grams make k - 1 or more pairs
+    most = F.col("occ") + F.col("paired").cast("int") + F.col("lost") + F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
     enough = (join.num + join.den) * most >= join.num * (F.col("n") + F.col("n2"))
-    pairs = pairs.filter((F.col("occ") >= F.least(_spare("n"), _spare("n2")) - F.col("lost")) & enough).select("a", "b")
+    pairs = pairs.filter((F.col("paired") | (F.col("occ") >= F.least(_spare("n"), _spare("n2")) - F.col("lost"))) & enough).select("a", "b")
     if tried is not None:
         pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     found = join.verify(pairs)

@@ -76,6 +76,39 @@ def test_join_of_hot_groups(spark, monkeypatch):
     assert len({c for _, _, c in got}) < 90
 
 
+def test_join_of_short_texts(spark):
+    """Sizes on both sides of the one where lists change from pairs of grams to single ones."""
+    rng, texts = random.Random(4), []
+    for n in (8, 20, 34, 38, 42, 60, 75, 79, 80, 82, 86, 90, 120):
+        base = [f"w{rng.randrange(60)}" for _ in range(n)]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rng.choice((0, 0, 1, 1, 2))):
+                kind = rng.randrange(3)
+                if kind == 0:
+                    own[rng.choice((0, -1, rng.randrange(len(own))))] = f"v{rng.randrange(9)}"
+                else:
+                    own = own + [f"x{rng.randrange(3)}"] if kind == 1 else own[1:]
+            texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == expected_join(rows)
+
+
+def test_templates_form_no_pairs_by_the_square(spark, monkeypatch):
+    """5,000 short texts of one template with a number each: what is verified does not exceed the rows."""
+    formed, verify = [], ngram_join.Join.verify
+
+    def counted(self, pairs):
+        formed.append(pairs.count())
+        return verify(self, pairs)
+
+    monkeypatch.setattr(ngram_join.Join, "verify", counted)
+    text = "dear customer your reference number is {} and it stays valid until further notice so please keep it at hand when you call {} us"
+    docs = spark.createDataFrame([(i, text.format(i, i % 7)) for i in range(5000)], "doc_id long, text string").repartition(4)
+    assert ngram_join.ngram_join(docs).select("component_id").distinct().count() == 5000
+    assert sum(formed) <= 5000
+
+
 def test_divide_skip_finds_the_sets_that_overlap_enough():
     rng = np.random.default_rng(3)
     query = np.unique(rng.integers(0, 2 ** 63, 200).astype(np.uint64))
