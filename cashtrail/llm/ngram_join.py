@@ -62,15 +62,15 @@ def _count(slots: np.ndarray, grams: np.ndarray) -> None:
     slots[at[ends]] += np.diff(ends, prepend=-1)
 
 
-def _paired_below(num: int, den: int) -> int:
-    """Sets under this size are listed under pairs of grams too, since a partner may be smaller than PAIRED."""
-    return (PAIRED - 1) * den // num + 1
+def _paired_below(num: int, den: int, paired: int) -> int:
+    """Sets under this size are listed under pairs of grams too, since a partner may be smaller than ``paired``."""
+    return (paired - 1) * den // num + 1
 
 
-def _short_lists(size: int, num: int, den: int, frequency):
+def _short_lists(size: int, num: int, den: int, paired_to: int, frequency):
     """Rows (gram, cls, n, i, paired): the first grams of every set in order of frequency, once per set and task; i counts from 1.
 
-    A set of PAIRED grams or more is listed under its first n - T + spare grams. Smaller ones, and those that may have a smaller
+    A set of ``paired_to`` grams or more is listed under its first n - T + spare grams. Smaller ones, and those that may have a smaller
     partner, are listed under every two of their first n - T + 2 grams, of which partners share two; i is the place of the later one.
     """
     names = ["gram", "cls", "n", "i", "paired"]
@@ -93,10 +93,10 @@ def _short_lists(size: int, num: int, den: int, frequency):
                 seen.add(key)
                 need = -(-num * n // den)
                 order = np.lexsort((grams, counts[(grams >> np.uint64(46)).astype(np.int64)]))
-                if n >= PAIRED:
+                if n >= paired_to:
                     take = min(n, n - need + max(1, n // SPARE))
                     single.append((grams[order[:take]], np.arange(1, take + 1), key, n))
-                if n < _paired_below(num, den):
+                if n < _paired_below(num, den, paired_to):
                     first, later = np.triu_indices(min(n, n - need + 2), 1)
                     double.append((mix64(grams[order[first]] * GOLD + mix64(grams[order[later]])), later + 1, key, n))
             for found, paired in ((single, False), (double, True)):
@@ -206,8 +206,8 @@ def _search(num: int, den: int):
 class Join:
     """The steps of one join over ``docs`` (doc_id, text) at Jaccard ``num`` / ``den``; every step is a written table."""
 
-    def __init__(self, docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN):
-        self.num, self.den = num, den
+    def __init__(self, docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN, paired: int = PAIRED):
+        self.num, self.den, self.paired = num, den, paired
         self.spark, self.size, self.scratch, self.turn = docs.sparkSession, size, Scratch(docs.sparkSession), 0
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -229,15 +229,15 @@ class Join:
         size at least, so a set whose ``cut`` stays under that share of its spare meets every partner in short lists; the others
         (``needy``) stay in the long lists. Lists of paired grams are never cut.
         """
-        raw = self.scratch.keep(self.docs.select("text").mapInArrow(_short_lists(self.size, self.num, self.den, self.frequency), "gram long, cls long, n int, i int, paired boolean"), "short")
+        raw = self.scratch.keep(self.docs.select("text").mapInArrow(_short_lists(self.size, self.num, self.den, self.paired, self.frequency), "gram long, cls long, n int, i int, paired boolean"), "short")
         lists = self.scratch.keep(raw.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high"), "lists")
         shared = raw.join(lists.select("gram", (F.col("m") > LONG_LIST).alias("long")), "gram").distinct()
         shared = self.scratch.keep(shared, "shared")
         self.scratch.drop("short", "lists")
         need = F.ceil(F.col("n") * self.num / self.den)
         two = F.least(F.col("n"), F.col("n") - need + 2)
-        listed = (F.when(F.col("n") >= PAIRED, F.least(F.col("n"), F.col("n") - need + _spare("n"))).otherwise(0)
-                  + F.when(F.col("n") < _paired_below(self.num, self.den), two * (two - 1) / 2).otherwise(0))
+        listed = (F.when(F.col("n") >= self.paired, F.least(F.col("n"), F.col("n") - need + _spare("n"))).otherwise(0)
+                  + F.when(F.col("n") < _paired_below(self.num, self.den, self.paired), two * (two - 1) / 2).otherwise(0))
         each = shared.groupBy("cls").agg(F.sum((F.col("long") & ~F.col("paired")).cast("int")).cast("int").alias("cut"), F.count(F.lit(1)).alias("met"), F.max("n").alias("n"))
         each = self.scratch.keep(each.select("cls", "cut", (listed - F.col("met")).cast("int").alias("own")), "each")
         posts = shared.join(each, "cls").withColumn("needy", F.col("cut") >= F.floor(_spare("n") * self.num / self.den))
@@ -307,7 +307,7 @@ def jaccard_links(join: Join) -> DataFrame:
     left = join.scratch.keep(posts.join(most.select("gram", "main"), "gram"), "left")
     ours = left.filter("comp <> main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "i", "cut", "needy", "comp")])
     # sets that both have lists of single grams meet in those
-    met = left.join(ours, "gram").filter((F.col("comp") != F.col("comp2")) & (~F.col("paired") | (F.least("n", "n2") < PAIRED)) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("cls2"))) & join.close("n", "n2"))
+    met = left.join(ours, "gram").filter((F.col("comp") != F.col("comp2")) & (~F.col("paired") | (F.least("n", "n2") < join.paired)) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("cls2"))) & join.close("n", "n2"))
     lost = F.when(F.col("paired") | (F.col("needy") & F.col("needy2")), 0).otherwise(F.least("cut", "cut2"))
     turned = F.col("cls") > F.col("cls2")
     met = met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"), F.when(turned, F.col("n2")).otherwise(F.col("n")).alias("n"), F.when(turned, F.col("n")).otherwise(F.col("n2")).alias("n2"),
@@ -323,15 +323,17 @@ def jaccard_links(join: Join) -> DataFrame:
     return found if links is None else links.union(found)
 
 
-def ngram_join(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+def ngram_join(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN, paired: int = PAIRED) -> DataFrame:
     """(doc_id, n_shingles, component_id): groups of documents linked by Jaccard similarity ``num`` / ``den`` of their word n-grams.
 
+    Sets of fewer than ``paired`` grams are listed under pairs of grams (0: none is); the result is the same, the candidates differ.
+
     Documents with equal sets are one class from the start. Defined results: null or empty text and text
     without a word has an empty set and is linked with nothing; fewer words than ``size`` are one n-gram; repeated rows
     are rows of one class; rows without doc_id are linked like others but name no group (their component is null only
     where the whole group has no id); an empty table gives an empty result; columns other than doc_id and text are not read.
     """
-    join = Join(docs, size, num, den)
+    join = Join(docs, size, num, den, paired)
     join.describe()
     join.index()
     links = join.scratch.keep(jaccard_links(join).distinct(), "links")

@@ -91,7 +91,9 @@ def test_join_of_short_texts(spark):
                     own = own + [f"x{rng.randrange(3)}"] if kind == 1 else own[1:]
             texts.append(" ".join(own))
     rows = list(enumerate(texts))
-    assert joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == expected_join(rows)
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), expected_join(rows)
+    for paired in (ngram_join.PAIRED, 0):
+        assert sorted((tuple(r) for r in ngram_join.ngram_join(docs, paired=paired).collect()), key=str) == want
 
 
 def test_templates_form_no_pairs_by_the_square(spark, monkeypatch):
