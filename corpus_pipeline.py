@@ -35,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays, once; of rows without doc_id one for each text."""
-    groups = ngram_join.ngram_join(docs, COPY_WORDS, COPY_NUM, COPY_DEN)
+    groups = ngram_join.ngram_join(docs, COPY_WORDS, COPY_NUM, COPY_DEN, paired=0)
     first = F.col("doc_id") == F.col("component_id")
     stays = groups.filter(first).select("doc_id").distinct()
     key = F.xxhash64(F.coalesce("text", F.lit("")))
