@@ -201,3 +201,9 @@ def format_checks(ledger: DataFrame) -> DataFrame:
                       bad(F.col("is_terminal").isin(0, 1)).alias("bad_flag"), bad(F.col("src_account") != F.col("dst_account")).alias("self_transfers"),
                       bad(F.col("src_account").isNotNull() & F.col("dst_account").isNotNull()).alias("null_accounts"),
                       bad((F.col("is_terminal") == 0) | F.col("cashout_atm_id").isNotNull()).alias("unlabelled_terminals"))
+
+
+def newest_per_case(audit: DataFrame, limit: int = 100) -> DataFrame:
+    """The last ``limit`` audit entries of every case, newest first as ``place``; rows beyond the limit are cut before the shuffle."""
+    order = Window.partitionBy("case_id").orderBy(F.desc("at_s"), F.desc("audit_no"))
+    return audit.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)

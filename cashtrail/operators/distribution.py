@@ -167,6 +167,17 @@ def number_rows(df: DataFrame, order: str, out: str, start: Column | int = 1) ->
     return df.join(numbers, order)
 
 
+def number_sorted(df: DataFrame, order: list[Column], out: str, start: int = 1) -> DataFrame:
+    """Consecutive numbers in an order that may be over any columns, ties included: rows are range-sorted and written, and only the sizes
+    of the sorted partitions are put in sequence."""
+    place = F.monotonically_increasing_id()
+    rows = cut_lineage(df.orderBy(*order).withColumn("__part", F.shiftright(place, 33)).withColumn("__in", place.bitwiseAND((1 << 33) - 1)))
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row per sorted partition
+    return rows.join(F.broadcast(sizes.select("__part", before.alias("__b"))), "__part").withColumn(out, F.col("__b") + F.col("__in") + start).drop("__part", "__in", "__b")
+
+
 def first_rows(df: DataFrame, keys: list[str], by: Column | str, keep: list[str], order: str = "min") -> DataFrame:
     """One row per key: the ``keep`` columns of the row with the smallest (or largest) ``by``. Combines map-side."""
     pick = F.min_by if order == "min" else F.max_by

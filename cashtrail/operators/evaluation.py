@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, timing
 from ..session import cut_lineage
-from .distribution import cumulative, exact_quantiles
+from .distribution import cumulative, exact_quantiles, number_sorted
 
 K_GRID = (1, 3, 5, 10)
 OPEN_MINUTES = 120
@@ -308,7 +308,7 @@ def coverage_table(hits: DataFrame) -> DataFrame:
 
 def static_rank(truth: DataFrame, order: DataFrame) -> DataFrame:
     """Rank of every true cell in one fixed cell order (decayed prior or plain counts); ties by cell."""
-    ranked = order.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("share"), "cell")))
+    ranked = number_sorted(order.select("cell", "share"), [F.desc("share"), F.col("cell")], "rank")
     return truth.join(ranked.select("cell", "rank"), truth.truth_cell == ranked.cell).select("event_id", "rank")
 
 

@@ -119,6 +119,12 @@ def _(d):
     return d.audit.orderBy(F.desc("at_s"), F.desc("audit_no")).limit(100).select("audit_no", "at_s", "case_id", "action")
 
 
+@query("audit_newest_per_case", "audit", "select * from (select audit_no, at_s, case_id, action, row_number() over (partition by case_id order by at_s desc, audit_no desc) as place from audit) where place <= 10")
+def _(d):
+    """The ten newest entries of every case."""
+    return cases.newest_per_case(d.audit, 10).select("audit_no", "at_s", "case_id", "action", "place")
+
+
 @query("case_notes", "notes", "select case_id, turn, author, 'NOTE-' || case_id || '-' || lpad(cast(row_number() over (partition by case_id order by turn, author, text) as varchar), 3, '0') as note_id from notes")
 def _(d):
     return cases.case_notes(d.notes).select("case_id", "turn", "author", "note_id")

@@ -96,6 +96,14 @@ def _(d):
     return tidy(audits.calibration_bands(_scores(d)).withColumn("mean_score", F.col("mean_score") + 1e-9))
 
 
+@query("calibration_breaks", "accounts", """
+select band, true_rate, before from (select band, round(true_rate,4) as true_rate, round(lag(true_rate) over (order by band),4) as before, true_rate < lag(true_rate) over (order by band) as falls
+ from (select least(20, floor(score*20)+1)::int as band, avg(label) as true_rate from scores group by 1)) where falls""", SCORES)
+def _(d):
+    """Of twenty bands those with a lower true rate than the band before."""
+    return tidy(audits.calibration_breaks(audits.calibration_bands(_scores(d), bands=20)).select("band", "true_rate", "before"))
+
+
 @query("class_weight", "accounts", "select count(*) filter (is_mule_label=0) as n_clean, count(*) filter (is_mule_label=1) as n_mule, round(count(*) filter (is_mule_label=0)/greatest(1,count(*) filter (is_mule_label=1)),4) as pos_weight from accounts")
 def _(d):
     return tidy(learning.class_weight(_scores(d)))

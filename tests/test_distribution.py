@@ -76,3 +76,11 @@ def test_time_scans(spark):
     for r in D.next_event(marks, ["k"], "ts", "hit", "nxt").collect():
         later = [t for k, t in rows if k == r.k and t >= r.ts and t % 5 == 0]
         assert r.nxt == (min(later) if later else None)
+
+
+def test_numbers_in_any_order_with_ties(spark, limit):
+    rows = [(float(i % 4), f"c{i:03}") for i in range(300)]
+    got = D.number_sorted(spark.createDataFrame(rows, "share double, cell string").repartition(7), [F.desc("share"), F.col("cell")], "rank").collect()
+    assert [(r.share, r.cell) for r in sorted(got, key=lambda r: r["rank"])] == sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert sorted(r["rank"] for r in got) == list(range(1, 301))
+    assert D.number_sorted(spark.createDataFrame([], "share double, cell string"), [F.desc("share")], "rank").count() == 0
