@@ -154,3 +154,21 @@ def test_rows_without_arrival_are_late_against_earlier_epochs(spark, tmp_path):
     sink(late, 1)   # a replayed epoch gives the same
     assert sorted(r.ticket_id for r in spark.read.parquet(out["good"]).collect()) == ["1", "3"]
     assert [r.ticket_id for r in spark.read.parquet(out["late"]).collect()] == ["2"]
+
+
+def test_registry_hits_in_the_tick(spark, tmp_path):
+    """A registered account in an open case's chain raises the registry rule; a tick without an instant raises nothing."""
+    posts = spark.createDataFrame([("c1", 2e6, 5700, 40.0, 20.0, 80.0)], CASES)
+    probs = spark.createDataFrame([("c1", "A", 1.0)], "complaint_id string, cell string, p double")
+    cells = spark.createDataFrame([("A", "CELL-001", "d", "s", 1.0, 2.0, 3)], "cell string, cell_id string, district string, state string, lat double, lon double, atm_count int")
+    prior = spark.createDataFrame([("A", 1.0)], "cell string, share double")
+    chain = spark.createDataFrame([("c1", "m1", "m2"), ("other", "m9", "m8")], "complaint_id string, src_account string, dst_account string")
+    store = SimpleNamespace(append=lambda *a: None, rows=lambda: posts, probs=lambda: probs, cells=cells)
+    raised = {}
+    for name, marked in (("hit", "m2"), ("miss", "m8")):
+        registry = spark.createDataFrame([(marked,)], "account_id string")
+        jobs.alert_sink(store, lambda: chain, None, lambda now: prior, str(tmp_path / name), lambda batch: 6000, registry)(posts, 0)
+        raised[name] = {r.rule_id for r in spark.read.parquet(str(tmp_path / name)).collect()}
+    assert raised["hit"] - raised["miss"] == {"R-HIGH-REGISTRY"}
+    jobs.alert_sink(store, lambda: chain, None, lambda now: prior, str(tmp_path / "none"), lambda batch: None)(posts, 0)
+    assert not (tmp_path / "none").exists()
