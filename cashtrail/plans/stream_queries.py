@@ -122,6 +122,8 @@ def _(d):
     for deliver in deliveries:
         deliver()
         jobs.start(retry.retry_stream(stream(), replay=True), sink, f"{base}/checkpoint", "update", once=True).awaitTermination()
+    # the other streams of the session keep their own store
+    d.spark.conf.unset(retry.PROVIDER)
     return d.spark.read.schema(retry.CHANGE).parquet(f"{base}/rows").filter("kind = 'attempted'").select("delivery_id", "attempts", "state", "last_error", "next_retry_s", "at_s")
 
 
