@@ -269,6 +269,18 @@ class Join:
     def close(self, a: str, b: str):
         return self.den * F.least(a, b) >= self.num * F.greatest(a, b)
 
+    def early(self):
+        """Whether a meeting at places i and i2 counts for sets of n and n2 grams that need T in common.
+
+        Of a pair with T common grams the first s, in the order of frequency, stand within n - T + s and n2 - T + s, as T - s others
+        follow; s is 2 where grams are paired and else the smaller spare. Common grams come in one order in both sets, so no more than
+        min(i, i2) reach up to this one and min(n - i, n2 - i2) follow. The lists are made for the smallest partner; here both sizes are known.
+        """
+        n, n2, i, i2 = (F.col(c) for c in ("n", "n2", "i", "i2"))
+        need = F.ceil(self.num * (n + n2) / (self.num + self.den))
+        first = F.when(F.col("paired"), 2).otherwise(F.least(_spare("n"), _spare("n2")))
+        return (i <= n - need + first) & (i2 <= n2 - need + first) & (F.least(i, i2) + F.least(n - i, n2 - i2) >= need)
+
 
 def _spare(n: str):
     return F.greatest(F.lit(1), F.floor(F.col(n) / SPARE))
@@ -307,7 +319,8 @@ def jaccard_links(join: Join) -> DataFrame:
     left = join.scratch.keep(posts.join(most.select("gram", "main"), "gram"), "left")
     ours = left.filter("comp <> main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "i", "cut", "needy", "comp")])
     # sets that both have lists of single grams meet in those
-    met = left.join(ours, "gram").filter((F.col("comp") != F.col("comp2")) & (~F.col("paired") | (F.least("n", "n2") < join.paired)) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("cls2"))) & join.close("n", "n2"))
+    met = left.join(ours, "gram").filter((F.col("comp") != F.col("comp2")) & (~F.col("paired") | (F.least("n", "n2") < join.paired)) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("cls2"))) & join.close("n", "n2")
+                                         & join.early())
     lost = F.when(F.col("paired") | (F.col("needy") & F.col("needy2")), 0).otherwise(F.least("cut", "cut2"))
     turned = F.col("cls") > F.col("cls2")
     met = met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"), F.when(turned, F.col("n2")).otherwise(F.col("n")).alias("n"), F.when(turned, F.col("n")).otherwise(F.col("n2")).alias("n2"),
