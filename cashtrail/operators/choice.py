@@ -100,44 +100,123 @@ def unknown_candidates(ranked: DataFrame, directory: DataFrame) -> DataFrame:
     return ranked.join(directory.select("atm_id"), "atm_id", "left_anti").groupBy("atm_id").agg(F.count(F.lit(1)).alias("ranked"))
 
 
-def fit_logit(rows: DataFrame, group: str = "txn_id", solver: str = "newton", steps: int | None = None, rate: float = 0.5,
-              columns=TERMS, keep_unreachable: bool = True) -> list[float]:
-    """Conditional logit weights. Each step is one pass: a softmax per candidate set and one aggregate.
+def fold_sets(rows: DataFrame, group: str = "txn_id", columns=TERMS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per candidate set: ``label`` as an array and ``x`` as an array of term arrays, in the same order.
 
-    Only sums over the terms (6, or 6 + 21) reach the driver. ``gd`` repeats plain gradient
-    steps; ``newton`` needs about eight. Sets whose true machine is not among the candidates
-    still pull on the weights unless ``keep_unreachable`` is off.
+    A set has K rows, so a group folds into one short array. ``keep`` names columns that are constant in a set.
+    """
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    sets = rows.groupBy(group).agg(*[F.first(c).alias(c) for c in keep], F.collect_list(F.struct(F.col("label").cast("double").alias("label"), x.alias("x"))).alias("m"))
+    return sets.select(group, *keep, F.col("m.label").alias("label"), F.col("m.x").alias("x"))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return _sum(F.zip_with(a, b, lambda u, v: u * v))
+
+
+def _term(i: int) -> Column:
+    return F.transform("x", lambda row: row[i])
+
+
+def _spread(i: int, j: int) -> Column:
+    """Covariance of two terms under the choice probabilities of a set, whose means are the columns m0, m1 and so on."""
+    return _dot(F.col("p"), F.zip_with(_term(i), _term(j), lambda a, b: (a - F.col(f"m{i}")) * (b - F.col(f"m{j}"))))
+
+
+def with_choice_p(sets: DataFrame, weights: Column, out: str = "p") -> DataFrame:
+    """Choice probabilities of folded sets under the array column ``weights``; uniform when degenerate, as in ``softmax_within``."""
+    u = sets.withColumn("__u", F.transform("x", lambda row: _dot(row, weights)))
+    e = u.withColumn("__e", F.transform("__u", lambda v: F.exp(v - F.array_max("__u")))).withColumn("__t", _sum(F.col("__e")))
+    p = F.transform("__e", lambda v: F.when(F.col("__t") > 0, v / F.col("__t")).otherwise(1.0 / F.size("__e")))
+    return e.withColumn(out, p).drop("__u", "__e", "__t")
+
+
+def fit_logits(sets: DataFrame, runs: list, solver: str = "newton", steps: int | None = None, rate: float = 0.5) -> dict:
+    """Conditional logit weights of several runs at once: {run: weights}.
+
+    ``sets``: a written table of folded sets with the array column ``runs``, the runs that learn from the set. A step reads the sets
+    once for all runs that have not come to rest and adds up k, or k + k (k + 1) / 2, numbers a run, combined before the shuffle;
+    only those reach the driver. A run without a set keeps zero weights.
     """
     import numpy as np
 
-    if not keep_unreachable:
-        rows = rows.filter(F.col("truth_in_candidates") == 1)
-    k = len(columns)
-    data = rows.select(group, "label", *columns).repartition(group).persist()
-    try:
-        w_group = Window.partitionBy(group)
-        n = data.select(group).distinct().count()
-        weights = np.zeros(k)
-        for _ in range(steps or (400 if solver == "gd" else 12)):
-            u = sum((F.col(c) * float(v) for c, v in zip(columns, weights)), F.lit(0.0))
-            p = softmax_within(data.withColumn("u", u), [group], "u", "p")
-            gradient = [F.sum((F.col("label") - F.col("p")) * F.col(c)).alias(f"g{i}") for i, c in enumerate(columns)]
+    k = sets.select(F.size(F.col("x")[0]).alias("k")).limit(1).collect()
+    if not k:
+        return {run: [] for run in runs}
+    k = k[0].k
+    corners = [(i, j) for i in range(k) for j in range(i, k)]
+    weights, going = {run: np.zeros(k) for run in runs}, list(runs)
+    for _ in range(steps or (400 if solver == "gd" else 12)):
+        table = F.create_map(*[v for run in going for v in (F.lit(run), F.array(*[F.lit(float(w)) for w in weights[run]]))])
+        asked = F.array_intersect("runs", F.array(*[F.lit(run) for run in going]))
+        p = with_choice_p(sets.select(F.explode(asked).alias("run"), "label", "x"), F.element_at(table, F.col("run")))
+        sums = [F.sum(_dot(F.zip_with("label", "p", lambda y, q: y - q), _term(i))).alias(f"g{i}") for i in range(k)]
+        if solver != "gd":
+            for i in range(k):
+                p = p.withColumn(f"m{i}", _dot(F.col("p"), _term(i)))
+            sums += [F.sum(_spread(i, j)).alias(f"h{i}_{j}") for i, j in corners]
+        found = {row.run: row for row in p.groupBy("run").agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
+        still = []
+        for run in [r for r in going if r in found]:
+            row = found[run]
+            g = np.array([row[f"g{i}"] for i in range(k)])
             if solver == "gd":
-                row = p.agg(*gradient).head()
-                weights = weights + rate * np.array([row[f"g{i}"] for i in range(k)]) / n
+                weights[run] = weights[run] + rate * g / row.n
+                still.append(run)
                 continue
-            means = p
-            for i, c in enumerate(columns):
-                means = means.withColumn(f"m{i}", F.sum(F.col("p") * F.col(c)).over(w_group))
-            hessian = [F.sum(F.col("p") * (F.col(columns[i]) - F.col(f"m{i}")) * (F.col(columns[j]) - F.col(f"m{j}"))).alias(f"h{i}_{j}")
-                       for i in range(k) for j in range(i, k)]
-            row = means.agg(*gradient, *hessian).head()
-            g = np.array([row[f"g{i}"] for i in range(k)])
             h = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-            step = np.linalg.solve(h + 1e-6 * n * np.eye(k), g)
-            weights = weights + step
-            if float(np.abs(step).max()) < 1e-8:
-                break
-        return [float(v) for v in weights]
-    finally:
-        data.unpersist()
+            step = np.linalg.solve(h + 1e-6 * row.n * np.eye(k), g)
+            weights[run] = weights[run] + step
+            if float(np.abs(step).max()) >= 1e-8:
+                still.append(run)
+        going = still
+        if not going:
+            break
+    return {run: [float(v) for v in w] for run, w in weights.items()}
+
+
+def fit_logit(rows: DataFrame, group: str = "txn_id", solver: str = "newton", steps: int | None = None, rate: float = 0.5,
+              columns=TERMS, keep_unreachable: bool = True) -> list[float]:
+    """Conditional logit weights of one run over all ``rows``: ``gd`` repeats plain gradient steps, ``newton`` needs about eight.
+
+    Sets whose true machine is not among the candidates still pull on the weights unless ``keep_unreachable`` is off.
+    """
+    if not keep_unreachable:
+        rows = rows.filter(F.col("truth_in_candidates") == 1)
+    sets = cut_lineage(fold_sets(rows, group, columns).withColumn("runs", F.array(F.lit(0))))
+    return fit_logits(sets, [0], solver, steps, rate)[0] or [0.0] * len(columns)
+
+
+def seed_runs(rows: DataFrame, seeds: list[int], group: str = "txn_id", columns=TERMS, test_share: float = 0.20) -> DataFrame:
+    """(run, metric, value): a split by complaint, a fit and its report for every seed, all seeds in the same passes.
+
+    Metrics are of the test sets: share with the true machine first, among five, and the mean probability given to it; ``top1_lift``
+    is the gain of the first share over the nearest machine (the largest first term). A set without its true machine is a miss.
+    """
+    from .learning import split_by_seeds
+
+    sets = cut_lineage(fold_sets(rows, group, columns, ("complaint_id",)))
+    runs = split_by_seeds(sets, seeds, test_share).groupBy("complaint_id").agg(*[F.collect_list(F.when(F.col("part") == part, F.col("run"))).alias(f"{part}_runs") for part in ("train", "test")])
+    parts = cut_lineage(sets.join(runs, "complaint_id"))
+    fitted = fit_logits(parts.withColumn("runs", F.col("train_runs")), seeds)
+    table = F.create_map(*[v for run in seeds for v in (F.lit(run), F.array(*[F.lit(w) for w in fitted[run] or [0.0] * len(columns)]))])
+    scored = with_choice_p(parts.select(F.explode("test_runs").alias("run"), "label", "x"), F.element_at(table, F.col("run")))
+    truth = F.array_position("label", 1.0)
+
+    def better(values: Column) -> Column:
+        mine = F.get(values, (truth - 1).cast("int"))
+        return F.when(truth == 0, F.lit(None)).otherwise(F.size(F.filter(values, lambda v: v > mine)))
+
+    near = better(F.transform("x", lambda row: row[0]))
+    ranked = scored.select("run", better(F.col("p")).alias("ahead"), near.alias("nearer"), F.when(truth > 0, F.get("p", (truth - 1).cast("int"))).otherwise(0.0).alias("mass"))
+
+    def share(condition: Column) -> Column:
+        return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
+
+    first, nearest = share(F.col("ahead") == 0), share(F.col("nearer") == 0)
+    report = ranked.groupBy("run").agg(first.alias("top1"), share(F.col("ahead") < 5).alias("top5"), F.avg("mass").alias("mass"), (first - nearest).alias("top1_lift"))
+    return report.unpivot("run", ["top1", "top5", "mass", "top1_lift"], "metric", "value")

@@ -17,9 +17,10 @@ from .distribution import exact_quantiles
 from .evaluation import average_precision, best_threshold, confusion, roc_auc, union_all
 
 
-def _unit(key: Column, seed: int) -> Column:
+def _unit(key: Column, seed: int | Column) -> Column:
     """A repeatable number in [0, 1) per key: the first twelve hex digits of md5('seed|key')."""
-    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 12)
+    seed = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    digits = F.substring(F.md5(F.concat_ws("|", seed, key.cast("string"))), 1, 12)
     return F.conv(digits, 16, 10).cast("long") / float(1 << 48)
 
 
@@ -50,6 +51,17 @@ def split_by_complaint(df: DataFrame, test_share: float = 0.20, seed: int = 42,
     return df.join(marked, key)
 
 
+def split_by_seeds(df: DataFrame, seeds: list[int], test_share: float = 0.20, key: str = "complaint_id") -> DataFrame:
+    """(key, run, part) for every seed, each as ``split_by_complaint`` with that seed, in one pass over the distinct keys."""
+    runs = F.array(*[F.lit(s) for s in seeds])
+    ids = df.select(key).distinct().select(key, F.explode(runs).alias("run"))
+    ids = ids.withColumn("__u", _unit(F.col(key), F.col("run")))
+    cuts = exact_quantiles(ids, ["run"], "__u", [test_share], pick="index")
+    # one row per seed
+    marked = ids.join(F.broadcast(cuts), "run")
+    return marked.select(key, "run", F.when(F.col("__u") < F.col("q")[0], "test").otherwise("train").alias("part"))
+
+
 def class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     clean, mule = F.sum((F.col(label) == 0).cast("long")), F.sum((F.col(label) == 1).cast("long"))
     return df.agg(clean.alias("n_clean"), mule.alias("n_mule"), (clean / F.greatest(F.lit(1), mule)).alias("pos_weight"))

@@ -497,6 +497,13 @@ def _(d):
     return tidy(d.spark.createDataFrame(list(zip(choice.TERMS, weights)), "term string, weight double"))
 
 
+@query("seed_stability")
+def _(d):
+    """The choice model learned ten times, each seed with a split of its own: how far its held-out figures move."""
+    rows = choice.utility_terms(_ranking(d)).select("txn_id", "complaint_id", "label", *choice.TERMS)
+    return tidy(evaluation.seed_stability(choice.seed_runs(rows, list(range(10)))))
+
+
 @query("countdown_forecast")
 def _(d):
     rows = _ranking(d).filter("label = 1")

@@ -1,7 +1,11 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cashtrail.operators import learning
+from cashtrail.operators import choice, learning
+from cashtrail.session import cut_lineage
 from cashtrail.sources import tables
 
 LEDGER = """txn_id,complaint_id,src_account,dst_account,bank_name,ifsc_code,city,district,state,lat,long,amount,timestamp,hop_depth,is_terminal,is_fraud,txn_purpose,cashout_atm_id,time_to_cashout_min
@@ -105,10 +109,6 @@ def test_mcnemar(spark):
 
 
 def test_logit_solvers_agree(spark):
-    import numpy as np
-
-    from cashtrail.operators import choice
-
     rng = np.random.default_rng(0)
     true = np.array([1.0, -0.5])
     rows = []
@@ -122,3 +122,56 @@ def test_logit_solvers_agree(spark):
     assert np.allclose(newton, true, atol=0.3)
     descent = choice.fit_logit(df, columns=("a", "b"), solver="gd", steps=25)
     assert np.allclose(newton, descent, atol=0.02)
+
+
+def candidate_sets(spark, n=160, k=6):
+    import random
+
+    draw, rows = random.Random(5), []
+    for t in range(n):
+        terms = [(draw.gauss(0, 1), draw.gauss(0, 1)) for _ in range(k)]
+        pull = [math.exp(1.2 * a - 0.6 * b) for a, b in terms]
+        # every ninth set does not hold its true machine
+        true = draw.choices(range(k), pull)[0] if t % 9 else -1
+        rows += [(t, t // 2, int(j == true), a, b) for j, (a, b) in enumerate(terms)]
+    return rows, spark.createDataFrame(rows, "txn_id long, complaint_id long, label int, a double, b double")
+
+
+def test_runs_fitted_together_equal_runs_fitted_alone(spark):
+    rows, df = candidate_sets(spark)
+    seeds = [3, 4, 5]
+    parts = learning.split_by_seeds(df, seeds)
+    for seed in seeds:
+        alone = {(r.complaint_id, r.part) for r in learning.split_by_complaint(df, seed=seed).select("complaint_id", "part").distinct().collect()}
+        assert alone == {(r.complaint_id, r.part) for r in parts.filter(F.col("run") == seed).collect()}
+    train = parts.filter("part = 'train'").groupBy("complaint_id").agg(F.collect_list("run").alias("runs"))
+    sets = cut_lineage(choice.fold_sets(df, columns=("a", "b"), keep=("complaint_id",)).join(train, "complaint_id"))
+    together = choice.fit_logits(sets, [*seeds, 99])
+    assert together[99] == [0.0, 0.0]
+
+    x = np.array([r[3:] for r in rows]).reshape(-1, 6, 2)
+    y = np.array([r[2] for r in rows]).reshape(-1, 6)
+    report = {(r.run, r.metric): r.value for r in choice.seed_runs(df, seeds, columns=("a", "b")).collect()}
+    for seed in seeds:
+        learns = {r.complaint_id for r in parts.filter((F.col("run") == seed) & (F.col("part") == "train")).collect()}
+        mine = np.array([t // 2 in learns for t in range(len(x))])
+        w = np.zeros(2)
+        for _ in range(4000):
+            u = x[mine] @ w
+            p = np.exp(u - u.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            w += 0.5 * np.einsum("sk,skc->c", y[mine] - p, x[mine]) / mine.sum()
+        assert np.allclose(together[seed], w, atol=1e-4)
+        u, held = x[~mine] @ together[seed], y[~mine]
+        p = np.exp(u - u.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        top1 = np.mean(held[np.arange(len(u)), u.argmax(1)])
+        near = np.mean(held[np.arange(len(u)), x[~mine][:, :, 0].argmax(1)])
+        assert math.isclose(report[seed, "top1"], top1) and math.isclose(report[seed, "mass"], (p * held).sum(1).mean(), rel_tol=1e-9)
+        assert math.isclose(report[seed, "top1_lift"], top1 - near, abs_tol=1e-12)
+
+
+def test_fit_without_sets(spark):
+    df = spark.createDataFrame([], "txn_id long, complaint_id long, label int, a double, b double")
+    assert choice.fit_logit(df, columns=("a", "b")) == [0.0, 0.0]
+    assert choice.seed_runs(df, [1, 2], columns=("a", "b")).count() == 0
