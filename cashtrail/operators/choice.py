@@ -191,18 +191,21 @@ def fit_logit(rows: DataFrame, group: str = "txn_id", solver: str = "newton", st
     return fit_logits(sets, [0], solver, steps, rate)[0] or [0.0] * len(columns)
 
 
-def seed_runs(rows: DataFrame, seeds: list[int], group: str = "txn_id", columns=TERMS, test_share: float = 0.20) -> DataFrame:
+def seed_runs(rows: DataFrame, seeds: list[int], group: str = "txn_id", columns=TERMS, test_share: float = 0.20,
+              keep_unreachable: bool = False) -> DataFrame:
     """(run, metric, value): a split by complaint, a fit and its report for every seed, all seeds in the same passes.
 
     Metrics are of the test sets: share with the true machine first, among five, and the mean probability given to it; ``top1_lift``
-    is the gain of the first share over the nearest machine (the largest first term). A set without its true machine is a miss.
+    is the gain of the first share over the nearest machine (the largest first term). A test set without its true machine is a miss;
+    a training set without it is left out unless ``keep_unreachable``, since where most sets lack it no finite weights are best.
     """
     from .learning import split_by_seeds
 
     sets = cut_lineage(fold_sets(rows, group, columns, ("complaint_id",)))
     runs = split_by_seeds(sets, seeds, test_share).groupBy("complaint_id").agg(*[F.collect_list(F.when(F.col("part") == part, F.col("run"))).alias(f"{part}_runs") for part in ("train", "test")])
     parts = cut_lineage(sets.join(runs, "complaint_id"))
-    fitted = fit_logits(parts.withColumn("runs", F.col("train_runs")), seeds)
+    learns = parts if keep_unreachable else parts.filter(F.array_contains("label", 1.0))
+    fitted = fit_logits(learns.withColumn("runs", F.col("train_runs")), seeds)
     table = F.create_map(*[v for run in seeds for v in (F.lit(run), F.array(*[F.lit(w) for w in fitted[run] or [0.0] * len(columns)]))])
     scored = with_choice_p(parts.select(F.explode("test_runs").alias("run"), "label", "x"), F.element_at(table, F.col("run")))
     truth = F.array_position("label", 1.0)

@@ -151,7 +151,7 @@ def test_runs_fitted_together_equal_runs_fitted_alone(spark):
 
     x = np.array([r[3:] for r in rows]).reshape(-1, 6, 2)
     y = np.array([r[2] for r in rows]).reshape(-1, 6)
-    report = {(r.run, r.metric): r.value for r in choice.seed_runs(df, seeds, columns=("a", "b")).collect()}
+    report = {(r.run, r.metric): r.value for r in choice.seed_runs(df, seeds, columns=("a", "b"), keep_unreachable=True).collect()}
     for seed in seeds:
         learns = {r.complaint_id for r in parts.filter((F.col("run") == seed) & (F.col("part") == "train")).collect()}
         mine = np.array([t // 2 in learns for t in range(len(x))])
