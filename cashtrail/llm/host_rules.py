@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import WORD, Scratch, as_text
 
 SYMBOLS = "#*$%&|<>"
-HOST_LIMIT = 0.75
+TIMES = 2.0            # a refused host's odds of failing a rule, as a multiple of the average host's
+LEAST_RATE = 0.25      # no host goes for a rule that fewer of its documents fail
+CERTAIN = 1.645        # standard deviations below the mean: the lower 5 % bound of a normal posterior
 #: rule -> (Spark and DuckDB condition over the base columns)
 RULES = {
     "short": "n_words < 50",
@@ -43,14 +48,17 @@ def _statistics(docs: DataFrame, carry: list[Column]) -> DataFrame:
 
 
 def host_rates(stats: DataFrame) -> DataFrame:
-    """One row per host: documents and, per rule, the failure rate shrunk with an empirical beta prior.
+    """One row per host: documents and, per rule, the mean of the hosts' rates (``m_``), the failure rate shrunk
+    with an empirical beta prior (``rate_``) and the lower 5 % bound of its posterior (``low_``).
 
-    The prior of a rule has the mean of all documents; its strength comes from the spread of the host
-    rates beyond what sampling explains (method of moments), held between 2 and 1,000,000.
+    The prior of a rule has the mean of the hosts' rates, every host counted once, so that a host with most of the rows is no
+    norm for itself; its strength comes from the spread of the host rates beyond what sampling explains (method of
+    moments), held between 2 and 1,000,000. The bound is
+    that of the normal distribution with the posterior's mean and deviation.
     """
     fails = [F.sum(F.expr(f"if({rule}, 1L, 0L)")).alias(f"k_{name}") for name, rule in RULES.items()]
     hosts = stats.groupBy("__host").agg(F.count(F.lit(1)).alias("n"), *fails)
-    means = hosts.agg(*[(F.sum(f"k_{r}") / F.sum("n")).alias(f"m_{r}") for r in RULES], F.avg(1 / F.col("n")).alias("inv"))
+    means = hosts.agg(*[F.avg(F.col(f"k_{r}") / F.col("n")).alias(f"m_{r}") for r in RULES], F.avg(1 / F.col("n")).alias("inv"))
     joined = hosts.join(F.broadcast(means))  # one row
     spread = joined.agg(*[F.avg(F.pow(F.col(f"k_{r}") / F.col("n") - F.col(f"m_{r}"), 2)).alias(f"v_{r}") for r in RULES])
     joined = joined.join(F.broadcast(spread))  # one row
@@ -58,22 +66,26 @@ def host_rates(stats: DataFrame) -> DataFrame:
         m = F.col(f"m_{r}")
         excess = F.greatest(F.col(f"v_{r}") - m * (1 - m) * F.col("inv"), F.lit(1e-12))
         strength = F.least(F.greatest(m * (1 - m) / excess - 1, F.lit(2.0)), F.lit(1e6))
-        joined = joined.withColumn(f"rate_{r}", (F.col(f"k_{r}") + m * strength) / (F.col("n") + strength))
-    return joined.select("__host", "n", *[f"rate_{r}" for r in RULES])
+        joined = joined.withColumn("__s", strength).withColumn(f"rate_{r}", (F.col(f"k_{r}") + m * F.col("__s")) / (F.col("n") + F.col("__s")))
+        deviation = F.sqrt(F.col(f"rate_{r}") * (1 - F.col(f"rate_{r}")) / (F.col("n") + F.col("__s") + 1))
+        joined = joined.withColumn(f"low_{r}", F.col(f"rate_{r}") - F.lit(CERTAIN) * deviation)
+    return joined.select("__host", "n", *[f"{kind}_{r}" for r in RULES for kind in ("m", "rate", "low")])
 
 
-def host_rules(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def host_rules(docs: DataFrame, host: str = "source", times: float = TIMES, least: float = LEAST_RATE) -> DataFrame:
     """Base statistics of every document, its own verdict and its host's: (doc_id, ..., base_failed, kept).
 
-    A host is refused when the shrunk failure rate of any rule is over ``limit``. Failures are counted
-    per host with map-side sums, so a host with a third of all rows costs no more than any other.
+    Rule by rule a host is judged by its posterior against the prior: it is refused when the lower 5 % bound of its
+    failure rate is over ``least`` and the odds of that bound are over ``times`` those of the prior mean. Where most hosts
+    fail a rule alike (a script without spaces, say) that rule refuses none. Failures are counted per host with map-side sums, so a host
+    with a third of all rows costs no more than any other.
 
     Defined results: null or empty text has no words and fails; a null host is a host of its own; null and
     repeated doc_id are kept row by row; an empty table gives an empty result; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
     stats = scratch.keep(_statistics(docs, [F.col("doc_id"), F.col(host).cast("string").alias("__host")]), "stats")
-    bad = F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > limit
+    bad = reduce(or_, [F.col(f"low_{r}") > F.greatest(times * F.col(f"m_{r}") / (1 + (times - 1) * F.col(f"m_{r}")), F.lit(least)) for r in RULES])
     verdicts = host_rates(stats).select(F.col("__host").alias("__h"), bad.alias("refused"))
     base = F.expr(f"({RULES['short']}) or ({RULES['repeats']})")
     return (stats.join(verdicts, F.col("__host").eqNullSafe(F.col("__h")))
@@ -81,17 +93,18 @@ def host_rules(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT)
                     base.alias("base_failed"), (~base & ~F.col("refused")).alias("kept")))
 
 
-def host_rules_sql(limit: float = HOST_LIMIT) -> str:
+def host_rules_sql(times: float = TIMES, least: float = LEAST_RATE) -> str:
     fails = ", ".join(f"sum(case when {rule} then 1 else 0 end)::double as k_{name}" for name, rule in RULES.items())
     rates = []
     for r in RULES:
-        m = f"(sum(k_{r}) over () / sum(n) over ())"
+        m = f"avg(k_{r} / n) over ()"
         rates.append(f"k_{r} / n as r_{r}, {m} as m_{r}")
     spread = ", ".join(f"avg(pow(r_{r} - m_{r}, 2)) over () as v_{r}" for r in RULES)
-    def shrunk(r: str) -> str:
-        strength = f"least(greatest(m_{r} * (1 - m_{r}) / greatest(v_{r} - m_{r} * (1 - m_{r}) * inv, 1e-12) - 1, 2.0), 1e6)"
-        return f"(k_{r} + m_{r} * {strength}) / (n + {strength})"
-    worst = "greatest(" + ", ".join(shrunk(r) for r in RULES) + ")"
+    def strength(r: str) -> str:
+        return f"least(greatest(m_{r} * (1 - m_{r}) / greatest(v_{r} - m_{r} * (1 - m_{r}) * inv, 1e-12) - 1, 2.0), 1e6) as s_{r}"
+    strengths = ", ".join(strength(r) for r in RULES)
+    rates2 = ", ".join(f"(k_{r} + m_{r} * s_{r}) / (n + s_{r}) as p_{r}" for r in RULES)
+    bad = " or ".join(f"p_{r} - {CERTAIN} * sqrt(p_{r} * (1 - p_{r}) / (n + s_{r} + 1)) > greatest({times} * m_{r} / (1 + ({times} - 1) * m_{r}), {least})" for r in RULES)
     base = f"(({RULES['short']}) or ({RULES['repeats']}))"
     return rf"""
 with d as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}') as words,
@@ -107,6 +120,8 @@ s as (select doc_id, source, len(words)::bigint as n_words, length(regexp_replac
 h as (select source, count(*)::double as n, {fails} from s group by source),
 a as (select *, avg(1 / n) over () as inv, {", ".join(rates)} from h),
 b as (select *, {spread} from a),
-v as (select source, {worst} > {limit} as refused from b)
+t as (select *, {strengths} from b),
+u as (select *, {rates2} from t),
+v as (select source, ({bad}) as refused from u)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {base} as base_failed, not {base} and not refused as kept
 from s join v on s.source is not distinct from v.source"""
