@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ MAX_REPEAT = 3
 BLOCK_TOKENS = 32
 SHARDS = 8
 SEED = "mix-1"
-MOST_BLOCKS = 1_000_000_000     # keeps block * multiplier below 2^63
-PRIME = (1 << 61) - 1           # coprime to every smaller block count
+#: primes of which the seed picks one per source as step of the block order; each is coprime to every smaller block count
+PRIMES = tuple((1 << n) - d for n, d in ((61, 1), (60, 93), (59, 55), (58, 27), (57, 13), (56, 5), (55, 55), (54, 33)))
 
 
 def token_count(text: str = "text") -> Column:
@@ -66,13 +68,21 @@ def shard_seats(targets: DataFrame, total: int, block_tokens: int, shards: int =
     return rows.join(taken, ["src", "shard"], "left").select("src", "shard", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("seats"))
 
 
+def block_order(seed: str) -> tuple[int, int]:
+    """(first prime, offset) of a seed's block permutations, both from its CRC-32."""
+    drawn = zlib.crc32(seed.encode())
+    return drawn % len(PRIMES), drawn // len(PRIMES)
+
+
 def mix(docs: DataFrame, seed: str = SEED, block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """How many words of every document a seeded mix of ``sources`` by weights 1, 2, 3, 1, ... takes.
+    """How many words of every document each shard of a mix of ``sources`` by weights 1, 2, 3, 1, ... takes.
 
-    A source's documents stand in seeded hash order and are cut into blocks of ``block_tokens`` words;
-    its seats pick blocks in a seeded permutation, whole passes first. Running totals are taken per
-    (source, hash bucket) and stitched with one row per bucket, so a source with a third of all
-    rows is spread over 4096 windows.
+    A source's documents stand in seeded hash order and are cut into blocks of ``block_tokens`` words. Its seats in shard 1,
+    in shard 2 and so on go through the blocks in a seeded permutation ((step * block + offset) modulo the number of blocks)
+    and begin again when every block was taken, so a shard's integer quota picks blocks that the shards before it left, and
+    a block is in the mix floor or ceil of seats / blocks times. ``shard_words`` holds the words per shard, ``taken`` their
+    sum. Running totals are taken per (source, hash bucket) and stitched with one row per bucket, so a source with a
+    third of all rows is spread over 4096 windows.
 
     Defined results: null text has size 0; a null source is a source of its own, last in order; null
     doc_id is kept as null; repeated rows are rows of their own; a document of size 0 has taken 0; an
@@ -83,12 +93,16 @@ def mix(docs: DataFrame, seed: str = SEED, block_tokens: int = BLOCK_TOKENS, sha
     sized = scratch.keep(docs.select("doc_id", F.col("source").cast("string").alias("source"), token_count().alias("size"), key.alias("h")), "sized")
     targets = scratch.keep(source_targets(sized, scratch, max_repeat), "targets")
     total = int(targets.agg(F.sum("source_size")).head()[0] or 0)
-    block = max(block_tokens, -(-total // MOST_BLOCKS))
-    seats = shard_seats(targets, total, block, shards).filter(F.col("shard") == shards).select("src", "seats")
-    plan = (targets.join(seats, "src").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).cast("long"))
-            .withColumn("seats", F.least("seats", F.col("blocks") * max_repeat))
+    first, offset = block_order(seed)
+    steps = F.array(*[F.lit(p) for p in PRIMES])
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_tokens)).cast("long")
+    # seats of shards 1..shard together, one entry per shard, of a source; a house never takes a seat back
+    quotas = (shard_seats(targets, total, block_tokens, shards).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("shard", "seats"))).alias("q"))
+              .select("src", F.col("q.seats").alias("seats")))
+    plan = (targets.withColumn("blocks", blocks).join(quotas, "src")
             .select(F.col("source").alias("__source"), "src", "source_size", "target", "blocks",
-                    F.expr("seats div blocks").alias("passes"), F.expr("seats % blocks").alias("extra"), (F.lit(PRIME) % F.col("blocks")).alias("step")))
+                    F.transform("seats", lambda s: F.least(s, F.col("blocks") * max_repeat)).alias("seats"),
+                    (F.get(steps, ((F.col("src") + first) % len(PRIMES)).cast("int")) % F.col("blocks")).alias("step")))
     plan = scratch.keep(plan, "plan")
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("__source"))).withColumn("bucket", F.substring("h", 1, 3))
     sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
@@ -97,14 +111,21 @@ def mix(docs: DataFrame, seed: str = SEED, block_tokens: int = BLOCK_TOKENS, sha
     inside = Window.partitionBy("src", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = (rows.withColumn("end", F.sum("size").over(inside)).join(starts, ["src", "bucket"])
           .withColumn("end", F.col("end") + F.col("start")).withColumn("begin", F.col("end") - F.col("size")))
-    overlap = f"(least(end, (b + 1) * {block}) - greatest(begin, b * {block}))"
-    part = f"aggregate(sequence(begin div {block}, (end - 1) div {block}), 0L, (a, b) -> a + if((step * b + 7) % blocks < extra, {overlap}, 0L))"
-    taken = F.expr(f"passes * size + if(size = 0 or extra = 0, 0L, {part})")
-    return at.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
-
-
-def mix_sql(seed: str = SEED, block_tokens: int = BLOCK_TOKENS, max_repeat: int = MAX_REPEAT) -> str:
-    """The same for DuckDB: caps found in order of cap / weight, seats by ranking every quotient."""
+    # a block's place in the permutation, in decimals: step * block may pass 2^63
+    place = f"cast((cast(step as decimal(19,0)) * cast(b as decimal(18,0)) + {offset}) % blocks as bigint)"
+    overlap = f"least(end, (b + 1) * {block_tokens}) - greatest(begin, b * {block_tokens})"
+    parts = F.expr(f"if(size = 0, cast(array() as array<struct<r: bigint, o: bigint>>), "
+                   f"transform(sequence(begin div {block_tokens}, (end - 1) div {block_tokens}), b -> struct({place} as r, {overlap} as o)))")
+    # of the first s seats, those on a block of place r are (s - r + blocks - 1) div blocks
+    upto = F.expr("transform(seats, s -> aggregate(parts, 0L, (a, x) -> a + x.o * ((s - x.r + blocks - 1) div blocks)))")
+    each = F.expr("transform(upto, (x, i) -> x - if(i = 0, 0L, get(upto, i - 1)))")
+    return (at.withColumn("parts", parts).withColumn("upto", upto)
+            .select("doc_id", "size", "source_size", "target", F.element_at("upto", -1).alias("taken"), each.alias("shard_words")))
+
+
+def mix_sql(seed: str = SEED, block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, max_repeat: int = MAX_REPEAT) -> str:
+    """The same for DuckDB, shards joined by commas: caps found in order of cap / weight, seats by ranking every quotient."""
+    first, offset = block_order(seed)
     return rf"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size,
@@ -116,15 +137,19 @@ r as (select *, ((select sum(source_size) from s) - coalesce(sum(cap) over o, 0)
       from w window o as (order by cap / weight, src rows between unbounded preceding and 1 preceding)),
 l as (select coalesce(arg_min(lvl, cap / weight) filter (where cap >= weight * lvl), 0) as lvl from r),
 t as (select w.*, least(weight * l.lvl, cap::double) as target from w, l),
-b as (select greatest({block_tokens}, ceil((select sum(source_size) from s) / {MOST_BLOCKS}.0))::bigint as block),
 q as (select src, row_number() over (order by target / (2 * n + 1) desc, src) as place
-      from (select src, target, unnest(range(0, (target / (select block from b))::bigint + 3)) as n from t)),
-won as (select src, count(*) filter (where place <= ((select sum(source_size) from s) // (select block from b))) as seats from q group by src),
-p as (select t.*, greatest(1, ceil(source_size / block::double))::bigint as blocks, block, seats from t join won using (src), b),
-pl as (select *, least(seats, blocks * {max_repeat}) // blocks as passes, least(seats, blocks * {max_repeat}) % blocks as extra, {PRIME} % blocks as step from p),
+      from (select src, target, unnest(range(0, (target / {block_tokens})::bigint + 3)) as n from t)),
+hs as (select shard, ((select sum(source_size) from s) // {block_tokens} * shard // {shards})::bigint as house from range(1, {shards} + 1) x(shard)),
+won as (select t.src, hs.shard, count(q.place) as seats from t cross join hs left join q on q.src = t.src and q.place <= hs.house group by all),
+seats as (select src, list(least(seats, greatest(1, ceil(source_size / {block_tokens}.0))::bigint * {max_repeat})::bigint order by shard) as seats
+          from won join t using (src) group by src),
+p as (select t.*, greatest(1, ceil(source_size / {block_tokens}.0))::bigint as blocks, seats from t join seats using (src)),
+pl as (select *, {list(PRIMES)}[(src + {first}) % {len(PRIMES)} + 1] % blocks as step from p),
 placed as (select z.*, pl.* exclude (source), sum(size) over (partition by src order by h, size rows unbounded preceding)::bigint as fin
-       from sized z join pl on z.source is not distinct from pl.source)
-select doc_id, size, source_size, target, (passes * size + case when size = 0 or extra = 0 then 0 else
-  coalesce(list_sum(list_transform(range((fin - size) // block, (fin - 1) // block + 1),
-    lambda k: case when (step * k + 7) % blocks < extra then least(fin, (k + 1) * block) - greatest(fin - size, k * block) else 0 end)), 0) end)::bigint as taken
-from placed"""
+       from sized z join pl on z.source is not distinct from pl.source),
+cut as (select *, case when size = 0 then [] else list_transform(range((fin - size) // {block_tokens}, (fin - 1) // {block_tokens} + 1),
+    lambda k: {{'r': ((step::hugeint * k + {offset}) % blocks)::bigint, 'o': least(fin, (k + 1) * {block_tokens}) - greatest(fin - size, k * {block_tokens})}}) end as parts from placed),
+sofar as (select *, list_transform(seats, lambda s: coalesce(list_sum(list_transform(parts, lambda x: x.o * ((s - x.r + blocks - 1) // blocks))), 0)::bigint) as upto from cut)
+select doc_id, size, source_size, target, upto[{shards}] as taken,
+  array_to_string(list_transform(range(1, {shards} + 1), lambda i: upto[i] - case when i = 1 then 0 else upto[i - 1] end), ',') as shard_words
+from sofar"""

@@ -24,7 +24,7 @@ def queries() -> dict[str, Query]:
         "op4_preference_pairs": lambda s, d: chat_pairs.preferences(table(s, d, "conversations")),
         "op5_warc_zip": lambda s, d: warc_zip.round_trip(table(s, d, "pages")),
         "op6_host_rules": lambda s, d: host_rules.host_rules(table(s, d, "documents")),
-        "op7_mix_sources": lambda s, d: mixing.mix(table(s, d, "documents")),
+        "op7_mix_sources": lambda s, d: mixing.mix(table(s, d, "documents")).withColumn("shard_words", F.array_join(F.expr("transform(shard_words, x -> cast(x as string))"), ",")),
         "op8_secret_scan": lambda s, d: secrets.scan(table(s, d, "documents")),
         "op9_language": lambda s, d: language.identify(table(s, d, "documents")),
         "op10_line_dedup": lambda s, d: line_join.line_report(table(s, d, "documents")),

@@ -33,6 +33,7 @@ def test_mix_of_odd_rows(odd, empty):
     assert len(rows) == odd.count() and mixing.mix(empty).count() == 0
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd.repartition(5)).collect()))
     assert all(0 <= r.taken <= 3 * r.size for r in rows)
+    assert all(sum(r.shard_words) == r.taken and len(r.shard_words) == mixing.SHARDS and min(r.shard_words) >= 0 for r in rows)
     total = Counter()
     for r in rows:
         total[r.source_size, r.target] += r.taken
@@ -40,6 +41,32 @@ def test_mix_of_odd_rows(odd, empty):
     assert abs(sum(t for _, t in total) - sum(r.size for r in rows)) < 1e-6 * sum(r.size for r in rows)
 
 
+def test_shards_take_their_own_quota_of_blocks(spark):
+    rows = [(i, "w " * 32, f"s{i % 5}" if i % 2 else "hot") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, other = mixing.mix(df).collect(), mixing.mix(df, seed="another").collect()
+    source = {i: s for i, _, s in rows}
+    quota, targets = Counter(), {}
+    for r in got:
+        targets[source[r.doc_id]] = r.target
+        assert r.size == 32 and all(n % 32 == 0 for n in r.shard_words)  # a text is one block here
+        for shard, n in enumerate(r.shard_words):
+            quota[source[r.doc_id], shard] += n // 32
+    order, house = sorted(targets), 400
+    for shard in range(mixing.SHARDS):
+        won = [Counter(), Counter()]
+        for k in (0, 1):
+            size = house * (shard + k) // mixing.SHARDS
+            ranked = sorted((-targets[s] / (2 * n + 1), s) for s in order for n in range(size))[:size]
+            won[k] = Counter(s for _, s in ranked)
+        assert all(quota[s, shard] == won[1][s] - won[0][s] for s in order)
+    blocks = {s: sum(1 for x in source.values() if x == s) for s in order}
+    for r in got:  # whole passes first
+        seats = sum(quota[source[r.doc_id], k] for k in range(mixing.SHARDS))
+        assert r.taken // 32 in (seats // blocks[source[r.doc_id]], -(-seats // blocks[source[r.doc_id]]))
+    assert {r.doc_id: r.shard_words for r in got} != {r.doc_id: r.shard_words for r in other}
+
+
 def test_seats_follow_the_highest_quotients(spark):
     targets = [(i, float(t)) for i, t in enumerate([5.0, 900.0, 33.3, 250.0, 250.0, 0.0])]
     df = spark.createDataFrame(targets, "src long, target double")
@@ -78,6 +105,21 @@ def test_a_bad_host_takes_its_documents_along(spark):
     rows = [(i, bad if i % 10 else good, "spam") for i in range(300)] + [(1000 + i, good, f"h{i % 20}") for i in range(600)] + [(5000, good, None)]
     kept = {r.doc_id: r.kept for r in host_rules.host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not any(kept[i] for i in range(300)) and all(v for k, v in kept.items() if k >= 1000)
+    # a host that makes up most of the table is still refused, a small one with a single failure is not
+    rows = [(i, bad if i % 10 else good, "spam") for i in range(900)] + [(1000 + i, bad if i == 7 else good, f"h{i % 20}") for i in range(60)]
+    kept = {r.doc_id: r.kept for r in host_rules.host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(kept[i] for i in range(900)) and sum(kept[i] for i in kept if i >= 1000) >= 59
+
+
+def test_hosts_are_judged_by_their_posterior(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    # of 400, half fail: over the least rate and over twice the odds of all; of 4, half fail: nothing is certain
+    rows = [(i, good if i % 2 else "short", "half") for i in range(400)] + [(1000 + i, good if i % 2 else "short", "few") for i in range(4)]
+    rows += [(2000 + i, good, f"h{i % 30}") for i in range(3000)]
+    got = host_rules.host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    kept = {r.doc_id: r.kept for r in got}
+    assert not any(kept[i] for i in range(400)) and [kept[1000 + i] for i in range(4)] == [False, True, False, True]
+    assert all(kept[i] for i in range(2000, 5000))
 
 
 # ---- secrets -------------------------------------------------------------------------------------------------
