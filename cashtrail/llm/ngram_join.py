@@ -5,7 +5,9 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ PAIRED = 4 * SPARE              # smaller sets meet under two listed grams at on
 BLOCK = 512                     # documents of one inverted block
 PER_PART = 2000                 # candidates of one query that one task takes
 STAR_ROUNDS = 2
+SIGNS = tuple(f"s{k}" for k in range(4))      # columns of a set's parity bitmap, 64 bits each
 MU = 0.0085                     # weight of probing against merging when the long lists are chosen
 
 
@@ -38,19 +41,30 @@ def _set_key(grams: np.ndarray) -> tuple[int, int]:
     return int(np.bitwise_xor.reduce(mix64(mixed + np.arange(3, dtype=np.uint64))).astype(np.int64)), len(grams)
 
 
+def _parity(grams: np.ndarray) -> np.ndarray:
+    """A bitmap of a set: a bit for each slot that an odd number of its grams falls into."""
+    slots = (mix64(grams) >> np.uint64(64 - 8)).astype(np.int64)  # 8 bits number the 64 * len(SIGNS) slots
+    return np.packbits((np.bincount(slots, minlength=64 * len(SIGNS)) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _describe(size: int):
-    """Rows (doc_id, cls, n) for documents and (slot, null, count) for the frequency counters."""
+    """Rows (doc_id, cls, n, bitmap) for documents and (slot, null, count, zeros) for the frequency counters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(SLOTS, np.int64)
         for batch in batches:
             keys, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            signs = np.zeros((batch.num_rows, len(SIGNS)), np.int64)
             for row, grams in row_shingles(batch.column(1), size):
                 grams = np.unique(grams)
                 keys[row], sizes[row] = _set_key(grams)
+                signs[row] = _parity(grams)
                 _count(slots, grams)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys), pa.array(sizes), pa.array(np.zeros(len(keys), bool))], ["id", "cls", "n", "counter"])
+            yield described(batch.column(0).cast(pa.int64()), keys, sizes, False, signs)
         held = np.flatnonzero(slots)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.zeros(len(held), np.int64)), pa.array(slots[held]), pa.array(np.ones(len(held), bool))], ["id", "cls", "n", "counter"])
+        yield described(pa.array(held), np.zeros(len(held), np.int64), slots[held], True, np.zeros((len(held), len(SIGNS)), np.int64))
+
+    def described(ids: pa.Array, keys: np.ndarray, sizes: np.ndarray, counter: bool, signs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(sizes), pa.array(np.full(len(keys), counter)), *map(pa.array, np.ascontiguousarray(signs.T))], ["id", "cls", "n", "counter", *SIGNS])
 
     return run
 
@@ -212,14 +226,15 @@ class Join:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def describe(self) -> None:
-        both = self.scratch.keep(self.docs.mapInArrow(_describe(self.size), "id long, cls long, n long, counter boolean"), "described")
+        both = self.scratch.keep(self.docs.mapInArrow(_describe(self.size), ", ".join(["id long, cls long, n long, counter boolean", *[f"{c} long" for c in SIGNS]])), "described")
         self.members = both.filter("not counter").select(F.col("id").alias("doc_id"), "cls", "n")
         # at most SLOTS rows reach the driver and, as one array, the tasks
         counts = both.filter("counter").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
         slots = np.zeros(SLOTS, np.int64)
         slots[counts["id"].to_numpy()] = counts["n"].to_numpy()
         self.frequency = self.spark.sparkContext.broadcast(np.minimum(slots, (1 << 31) - 1).astype(np.int32))
-        self.classes = self.scratch.keep(self.members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").cast("int").alias("n")), "classes")
+        sets = both.filter("not counter and n > 0").groupBy("cls").agg(F.min("id").alias("doc_id"), F.max("n").cast("int").alias("n"), *[F.max(c).alias(c) for c in SIGNS])
+        self.classes = self.scratch.keep(sets, "classes")
 
     def index(self) -> None:
         """Inverted lists of at least two sets: (gram, cls, n, i, paired, cut, own, needy); long ones only hold the sets that need them.
@@ -269,6 +284,16 @@ class Join:
     def close(self, a: str, b: str):
         return self.den * F.least(a, b) >= self.num * F.greatest(a, b)
 
+    def alike(self):
+        """Whether the bitmaps allow the required overlap.
+
+        A gram that only one of two sets holds turns one bit of one bitmap, so at least as many grams differ as bits do; sets of n and
+        n2 grams that need T in common differ in n + n2 - 2 T grams at most. Two turns of one bit only lower the count.
+        """
+        need = F.ceil(self.num * (F.col("n") + F.col("n2")) / (self.num + self.den))
+        apart = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in SIGNS])
+        return apart <= F.col("n") + F.col("n2") - 2 * need
+
     def early(self):
         """Whether a meeting at places i and i2 counts for sets of n and n2 grams that need T in common.
 
@@ -291,7 +316,8 @@ def jaccard_links(join: Join) -> DataFrame:
 
     Star rounds first tie every list's sets to one set of the list, which folds groups of near copies without
     forming their pairs. What then remains is every pair of sets of different groups that meet in enough
-    lists; in each list only sets outside its largest group are paired with the others.
+    lists; in each list only sets outside its largest group are paired with the others, and only those whose bitmaps
+    allow a link.
     """
     posts, links, tried = join.lists.withColumn("comp", F.col("cls")), None, None
     for turn in range(STAR_ROUNDS):
@@ -316,11 +342,11 @@ def jaccard_links(join: Join) -> DataFrame:
         posts = join.labelled(links, turn)
     groups = posts.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k"))
     most = groups.groupBy("gram").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    left = join.scratch.keep(posts.join(most.select("gram", "main"), "gram"), "left")
-    ours = left.filter("comp <> main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "i", "cut", "needy", "comp")])
+    left = join.scratch.keep(posts.join(most.select("gram", "main"), "gram").join(join.classes.select("cls", *SIGNS), "cls"), "left")
+    ours = left.filter("comp <> main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "i", "cut", "needy", "comp", *SIGNS)])
     # sets that both have lists of single grams meet in those
     met = left.join(ours, "gram").filter((F.col("comp") != F.col("comp2")) & (~F.col("paired") | (F.least("n", "n2") < join.paired)) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("cls2"))) & join.close("n", "n2")
-                                         & join.early())
+                                         & join.early() & join.alike())
     lost = F.when(F.col("paired") | (F.col("needy") & F.col("needy2")), 0).otherwise(F.least("cut", "cut2"))
     turned = F.col("cls") > F.col("cls2")
     met = met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"), F.when(turned, F.col("n2")).otherwise(F.col("n")).alias("n"), F.when(turned, F.col("n")).otherwise(F.col("n2")).alias("n2"),

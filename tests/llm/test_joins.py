@@ -111,6 +111,32 @@ def test_templates_form_no_pairs_by_the_square(spark, monkeypatch):
     assert sum(formed) <= 5000
 
 
+def test_near_misses_are_not_paired(spark, monkeypatch):
+    """Many sets a little under the threshold of one large group: next to no pair of them is verified."""
+    verified = []
+    old = ngram_join.Join.verify
+    monkeypatch.setattr(ngram_join.Join, "verify", lambda self, pairs: (verified.append(pairs.count()), old(self, pairs))[1])
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join([*base[:i % 149], f"copy{i}", *base[i % 149 + 1:]]) for i in range(150)]
+    for i in range(150):  # four words exchanged: up to 12 of 148 windows, Jaccard 0.85 and less to most others
+        words = list(base)
+        for k in range(4):
+            words[(i + 37 * k) % 150] = f"miss{i}x{k}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == expected_join(rows)
+    assert verified[-1] < 2 * len(rows)
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_grams():
+    draw = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = draw.integers(0, 1 << 63, draw.integers(1, 700), dtype=np.uint64), draw.integers(0, 1 << 63, draw.integers(0, 90), dtype=np.uint64)
+        a, b = np.unique(a), np.unique(np.concatenate([a[:draw.integers(0, len(a) + 1)], b]))
+        bits = (ngram_join._parity(a) ^ ngram_join._parity(b)).view(np.uint64)
+        assert sum(int(x).bit_count() for x in bits) <= len(np.setxor1d(a, b))
+
+
 def test_divide_skip_finds_the_sets_that_overlap_enough():
     rng = np.random.default_rng(3)
     query = np.unique(rng.integers(0, 2 ** 63, 200).astype(np.uint64))
