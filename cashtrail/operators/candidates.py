@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
+from ..session import cut_lineage
 from . import accounts as acct
 from . import spatial
 from .distribution import value_at_rank
 from .graph import CREW_HOPS, trace, undirected
+from .nearness import within_three
 
 HISTORY_FRACTION = 0.50
 DENSITY_KM, HOTSPOT_KM = 3.0, 5.0
@@ -58,13 +60,13 @@ def crew_prior(targets: DataFrame, edges: DataFrame, past: DataFrame, hops: int
     ``targets``: (account_id, atm_id). Asking "is this past user of that machine near this
     account" keeps the work to candidate machines; no neighbourhood is ever expanded in full.
     Accounts next to a hub (a third of all transfers may touch one account) take the hub's
-    summed surroundings in one step and only the rest is tested pair by pair. The number of
-    hubs treated so only changes speed, never the result.
+    summed surroundings in one step and only the rest is tested pair by pair (``within_three``). The
+    number of hubs treated so only changes speed, never the result.
     """
     if hops != 3:
         raise ValueError("the crew is defined by three transfers")
     targets = targets.select("account_id", "atm_id").distinct()
-    links = undirected(edges)
+    links = cut_lineage(undirected(edges))
     hubs = (links.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).filter(F.col("degree") >= hub_degree)
             .orderBy(F.desc("degree"), "a").limit(MAX_HUBS).select(F.col("a").alias("hub")))
     hub_ids = [r.hub for r in hubs.collect()]  # MAX_HUBS rows at most
@@ -91,31 +93,18 @@ def crew_prior(targets: DataFrame, edges: DataFrame, past: DataFrame, hops: int
 
 def _near_pairs(asked: DataFrame, links: DataFrame, reach: DataFrame | None) -> DataFrame:
     """Sum of n over the (account, past user) pairs that are at most three links apart."""
-    pairs = asked.select(F.col("account_id").alias("a"), "b").distinct()
-    self_pairs = pairs.filter("a = b")
-    one = pairs.join(links, ["a", "b"], "left_semi")
-    plain = links
-    found = [self_pairs, one]
+    asked = cut_lineage(asked.select(F.col("account_id").alias("a"), "b", "atm_id", "n"))
+    pairs, plain = asked.select("a", "b"), links
+    if reach is not None:
+        # ways over a hub are told by its surroundings, so the others need not step on one
+        plain = links.join(reach.select(F.col("hub").alias("b")).distinct(), "b", "left_anti")
+    close = within_three(pairs, plain)
     if reach is not None:
         ra = reach.select("hub", F.col("account_id").alias("a"), F.col("depth").alias("da"))
         rb = reach.select("hub", F.col("account_id").alias("b"), F.col("depth").alias("db"))
-        found.append(pairs.join(ra, "a").join(rb, ["b", "hub"]).filter("da + db <= 3").select("a", "b").distinct())
-        plain = links.join(reach.select(F.col("hub").alias("b")).distinct(), "b", "left_anti")
-    middle = plain.select("a", F.col("b").alias("x"))               # a - x, x is no hub
-    open_pairs = pairs.filter("a <> b").join(links, ["a", "b"], "left_anti")
-    via = open_pairs.join(middle, "a")                               # a - x ... b
-    two = via.join(links.select(F.col("a").alias("x"), "b"), ["x", "b"], "left_semi").select("a", "b").distinct()
-    left = via.join(two, ["a", "b"], "left_anti")
-    users = left.select("b").distinct()
-    # b - y - x with y no hub, one row per (b, x)
-    back = (links.join(users, "b", "left_semi").select("b", F.col("a").alias("y"))
-            .join(plain.select(F.col("b").alias("y"), F.col("a").alias("x")), "y").select("b", "x").distinct())
-    found += [two, left.join(back, ["b", "x"], "left_semi").select("a", "b").distinct()]
-    close = found[0]
-    for more in found[1:]:
-        close = close.union(more)
-    return (asked.withColumnRenamed("account_id", "a").join(close.distinct(), ["a", "b"], "left_semi")
-            .groupBy(F.col("a").alias("account_id"), "atm_id").agg(F.sum("n").alias("crew_prior")))
+        by_hub = pairs.distinct().join(ra, "a").join(rb, ["b", "hub"]).filter("da + db <= 3").select("a", "b")
+        close = close.select("a", "b").union(by_hub).distinct()
+    return (asked.join(close, ["a", "b"], "left_semi").groupBy(F.col("a").alias("account_id"), "atm_id").agg(F.sum("n").alias("crew_prior")))
 
 
 def candidate_sets(terminals: DataFrame, directory: DataFrame, k: int = spatial.CANDIDATES) -> DataFrame:
@@ -167,8 +156,6 @@ def nearest_in_group(queries: DataFrame, points: DataFrame, group: str) -> DataF
     Every round doubles the ring; places that found a point closer than the ring's safe
     radius leave the loop, so dense places stop at once.
     """
-    from ..session import cut_lineage
-
     spots = (spatial.finite_points(points).groupBy(group, F.col("lat").alias("plat"), F.col("lon").alias("plon"))
              .agg(F.min("atm_id").alias("atm_id")))
     groups = spots.select(group).distinct()
