@@ -155,7 +155,7 @@ def _(d):
 select evidence_no, substr(case when c='' then 'artefact' else c end, 1, 180) as safe_name
 from (select evidence_no, regexp_replace(regexp_replace(trim(regexp_extract('../' || kind || '/..' || replace(text, chr(10), ' '), '([^/]*)$', 1)), '[^A-Za-z0-9._ -]', '_', 'g'), '^\.+', '') as c from evidence)""")
 def _(d):
-    name = F.concat(F.lit("../"), "kind", F.lit("/.."), F.regexp_replace("text", "\n", " "))
+    name = F.concat(F.lit("../"), "kind", F.lit("/.."), F.replace("text", F.lit("\n"), F.lit(" ")))
     return d.evidence.select("evidence_no", text.safe_display_name(name).alias("safe_name"))
 
 

@@ -72,3 +72,14 @@ def test_labels(spark):
     assert one(spark, text.safe_display_name(F.lit("../../etc/..pass<wd>"))) == "pass_wd_"
     assert one(spark, text.safe_display_name(F.lit("a/.."))) == "artefact"
     assert one(spark, F.length(text.sms_text(F.lit("x" * 150), F.lit("y" * 50)))) == 160
+
+
+def test_long_names_with_slashes_cost_no_square(spark):
+    import time
+
+    plain = "x" * 60_000
+    began = time.perf_counter()
+    assert one(spark, text.safe_display_name(F.concat(*[F.lit(v) for v in (plain, "/", plain, "/  ...a\u20acb", plain)]))) == ("a_b" + plain)[:180]
+    assert time.perf_counter() - began < 10
+    assert one(spark, text.safe_display_name(F.lit("a/ .. b "))) == " b"
+    assert one(spark, text.safe_display_name(F.lit("a/"))) == "artefact"
