@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .distribution import exact_quantiles, forward_counts, next_event, previous_in_time
 
 CENSORED_DWELL_S = 120 * 24 * 3600.0
@@ -14,6 +15,8 @@ BURST_S = 300
 NIGHT_HOURS = (23, 0, 1, 2, 3, 4)
 OBSERVATION_DAYS = 120
 RECENT_S = 3600
+#: an account with more transfer sides than this is measured in blocks, any other in one sorted run
+BUSY_SIDES = 100_000
 HALF_LIFE_DAYS = 30.0
 
 
@@ -29,9 +32,13 @@ def account_totals(ledger: DataFrame) -> DataFrame:
     plain counts and a hot account meets its counterparties pre-aggregated.
     """
     pairs = ledger.groupBy("src_account", "dst_account").agg(F.sum("amount").alias("amt"), F.count(F.lit(1)).alias("n"))
-    got = pairs.groupBy(F.col("dst_account").alias("account_id")).agg(
+    return _totals(pairs, pairs)
+
+
+def _totals(received: DataFrame, sent: DataFrame) -> DataFrame:
+    got = received.groupBy(F.col("dst_account").alias("account_id")).agg(
         F.sum("amt").alias("total_received"), F.sum("n").alias("in_degree"), F.count(F.lit(1)).alias("distinct_senders"))
-    gave = pairs.groupBy(F.col("src_account").alias("account_id")).agg(
+    gave = sent.groupBy(F.col("src_account").alias("account_id")).agg(
         F.sum("amt").alias("total_sent"), F.sum("n").alias("out_degree"), F.count(F.lit(1)).alias("distinct_receivers"))
     return (got.join(gave, "account_id", "full_outer").na.fill(0)
             .withColumn("avg_txn_amount", F.when(F.col("in_degree") > 0, F.col("total_received") / F.col("in_degree")).otherwise(0.0)))
@@ -68,10 +75,76 @@ def max_hop(ledger: DataFrame) -> DataFrame:
             .agg(F.max("hop_depth").alias("hop_depth")))
 
 
-def account_features(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
-    """The measured feature table: every account that moved money."""
-    parts = [account_totals(ledger), night_ratio(ledger), median_dwell(ledger), burst_5min(ledger), max_hop(ledger)]
-    joined = reduce(lambda left, right: left.join(right, "account_id", "left"), parts)
+MOVED = ["src_account", "dst_account", "amount", "ts_s", "hop_depth", "is_fraud"]
+
+
+def moved(ledger: DataFrame) -> DataFrame:
+    """The columns that behaviour is measured from, written once: a ledger may be a costly view."""
+    return cut_lineage(ledger.select(*MOVED))
+
+
+def _sides(moves: DataFrame) -> DataFrame:
+    """Two rows per transfer, one for either account, where there is one."""
+    def side(account: str, other: str, credit: bool):
+        return F.struct(F.col(account).alias("account_id"), F.col(other).alias("other"), F.lit(credit).alias("credit"))
+
+    both = F.explode(F.array(side("dst_account", "src_account", True), side("src_account", "dst_account", False))).alias("s")
+    return moves.select("amount", "ts_s", "hop_depth", "is_fraud", both).select("s.*", "amount", "ts_s", "hop_depth", "is_fraud").filter("account_id is not null")
+
+
+def _measured_in_runs(sides: DataFrame) -> DataFrame:
+    """All measures of accounts of bounded size: rows go to their account once and are read in falling time order."""
+    back = Window.partitionBy("account_id").orderBy(F.desc("ts_s"))
+    credit, debit = F.col("credit"), ~F.col("credit")
+    next_debit = F.min(F.when(debit, F.col("ts_s"))).over(back.rangeBetween(Window.unboundedPreceding, 0))
+    in_window = F.sum(debit.cast("long")).over(back.rangeBetween(-BURST_S, 0))
+    hour = F.floor(F.pmod(F.col("ts_s"), F.lit(86400)) / 3600)
+    rows = sides.withColumns({"gap_s": F.when(credit, next_debit - F.col("ts_s")), "in_window": F.when(debit & F.col("ts_s").isNotNull(), in_window)})
+
+    def distinct(side):
+        return (F.size(F.collect_set(F.when(side, F.col("other")))) + F.max(F.when(side & F.col("other").isNull(), 1).otherwise(0))).cast("long")
+
+    sent = F.count(F.when(debit, 1))
+    return (rows.groupBy("account_id").agg(
+        F.sum(F.when(credit, F.col("amount"))).alias("total_received"), F.count(F.when(credit, 1)).alias("in_degree"), distinct(credit).alias("distinct_senders"),
+        F.sum(F.when(debit, F.col("amount"))).alias("total_sent"), sent.alias("out_degree"), distinct(debit).alias("distinct_receivers"),
+        F.when(sent > 0, F.sum(F.when(debit & hour.isin(*NIGHT_HOURS), 1.0).otherwise(0.0)) / sent).alias("night_txn_ratio"),
+        F.percentile("gap_s", F.lit(0.5)).alias("median_dwell_seconds"), F.max("in_window").alias("burst_out_5min"),
+        F.max(F.when(credit & (F.col("is_fraud") == 1), F.col("hop_depth"))).alias("hop_depth")).na.fill(0, ["total_received", "total_sent"])
+        .withColumn("avg_txn_amount", F.when(F.col("in_degree") > 0, F.col("total_received") / F.col("in_degree")).otherwise(0.0)))
+
+
+def _measured_in_blocks(moves: DataFrame) -> DataFrame:
+    """The same measures without ever holding an account's rows in one task."""
+    pairs = moves.groupBy("src_account", "dst_account").agg(F.sum("amount").alias("amt"), F.count(F.lit(1)).alias("n"))
+    totals = _totals(pairs.filter("dst_account is not null"), pairs.filter("src_account is not null"))
+    parts = [totals, night_ratio(moves), median_dwell(moves), burst_5min(moves), max_hop(moves)]
+    return reduce(lambda left, right: left.join(right, "account_id", "left"), parts)
+
+
+def measured(moves: DataFrame, busy_sides: int = BUSY_SIDES) -> DataFrame:
+    """Every measure of ``account_features`` per account of the written ``moves``. Where the line of busy accounts is drawn changes speed, never the result."""
+    sides = _sides(moves)
+    busy = cut_lineage(sides.groupBy("account_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > busy_sides).select("account_id"))
+    found = _measured_in_runs(sides)
+    if not busy.isEmpty():
+        theirs = [busy.select(F.col("account_id").alias(c), F.lit(True).alias(f"__{c}")) for c in ("src_account", "dst_account")]
+        touched = moves.join(theirs[0], "src_account", "left").join(theirs[1], "dst_account", "left").filter("__src_account or __dst_account").select(*MOVED)
+        blocks = _measured_in_blocks(cut_lineage(touched)).join(busy, "account_id", "left_semi")
+        found = _measured_in_runs(sides.join(busy, "account_id", "left_anti")).unionByName(blocks)
+    unnamed = moves.filter("src_account is null or dst_account is null")
+    if unnamed.isEmpty():
+        return found
+    # a null account counts under id 0 in the totals, as in ``account_totals``
+    found = cut_lineage(found)
+    pairs = unnamed.groupBy("src_account", "dst_account").agg(F.sum("amount").alias("amt"), F.count(F.lit(1)).alias("n"))
+    totals = _totals(pairs.filter("dst_account is null"), pairs.filter("src_account is null"))
+    return found.unionByName(totals.join(found.drop(*[c for c in totals.columns if c != "account_id"]), "account_id", "left"))
+
+
+def account_features(ledger: DataFrame, accounts: DataFrame, written: bool = False) -> DataFrame:
+    """The measured feature table: every account that moved money. ``written``: the ledger is one that ``moved`` gave."""
+    joined = measured(ledger if written else moved(ledger))
     through = F.col("total_sent") / F.col("total_received")
     return (joined.join(accounts, "account_id").select(
         "account_id", "bank_id", "city", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"),

@@ -120,8 +120,9 @@ COLUMNS = list(acct.FEATURE_COLUMNS)
 STACK = TOTALS + ",\nlong as (" + " union all ".join(f"select account_id, is_mule_label as label, '{c}' as feature, {c}::double as value from features" for c in COLUMNS) + ")"
 
 
-def _features(d):
-    return cut_lineage(acct.account_features(d.ledger, d.accounts).withColumn("label", F.col("is_mule_label")))
+def _features(d, moves=None):
+    moves = acct.moved(d.ledger) if moves is None else moves
+    return cut_lineage(acct.account_features(moves, d.accounts, written=True).withColumn("label", F.col("is_mule_label")))
 
 
 @query("single_feature_f1", "ledger accounts", """
@@ -439,7 +440,8 @@ def _(d):
 
 
 def _risk_rows(d):
-    rows, names = learning.graph_features(_features(d), d.ledger, COLUMNS)
+    moves = acct.moved(d.ledger)
+    rows, names = learning.graph_features(_features(d, moves), moves, COLUMNS)
     return cut_lineage(learning.stratified_split(rows)), names
 
 

@@ -84,3 +84,43 @@ def test_numbers_in_any_order_with_ties(spark, limit):
     assert [(r.share, r.cell) for r in sorted(got, key=lambda r: r["rank"])] == sorted(rows, key=lambda r: (-r[0], r[1]))
     assert sorted(r["rank"] for r in got) == list(range(1, 301))
     assert D.number_sorted(spark.createDataFrame([], "share double, cell string"), [F.desc("share")], "rank").count() == 0
+
+
+def test_measures_in_runs_and_in_blocks_agree(spark):
+    """One sorted run per account gives what the block-wise measures give, null ends, seconds and amounts included."""
+    from cashtrail.operators import accounts as acct
+
+    rng = np.random.default_rng(8)
+    rows = [(int(s), int(d), float(a), int(t), int(h), int(f)) for s, d, a, t, h, f in zip(rng.integers(0, 6, 400), rng.integers(0, 9, 400), rng.integers(1, 90, 400), rng.integers(0, 300_000, 400), rng.integers(1, 5, 400), rng.integers(0, 2, 400))]
+    rows += [(None, 3, 5.0, 50, 1, 1), (2, None, 7.0, 60, 1, 1), (1, 4, 2.0, None, 2, 1), (1, 1, None, 500, 3, 1), (7, 20, 1.0, 10, 1, 0), (0, 3, 1.0, 100, 1, 0), (0, 3, 1.0, 100, 1, 0)]
+    moves = acct.moved(spark.createDataFrame(rows, "src_account long, dst_account long, amount double, ts_s long, hop_depth long, is_fraud int"))
+    names = ["account_id", "total_received", "in_degree", "distinct_senders", "total_sent", "out_degree", "distinct_receivers", "avg_txn_amount", "night_txn_ratio", "median_dwell_seconds", "burst_out_5min", "hop_depth"]
+
+    def got(df):
+        return sorted(tuple(None if v is None else round(float(v), 9) for v in r) for r in df.filter("account_id is not null").select(*names).collect())
+
+    want = acct.account_totals(moves)
+    for part in (acct.night_ratio, acct.median_dwell, acct.burst_5min, acct.max_hop):
+        want = want.join(part(moves), "account_id", "left")
+    want = got(want)
+    assert len(want) == 12  # a null sender and a null receiver stand under id 0 beside it
+    assert got(acct.measured(moves)) == want
+    assert got(acct.measured(moves, busy_sides=100)) == want
+
+
+def test_the_ledger_of_the_features_is_computed_once(spark):
+    """The view behind the ledger is read in one write; every measure starts from the written rows."""
+    from cashtrail.operators import accounts as acct
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(1, 2, 5.0, 10, 1, 1, 1), (2, 3, 4.0, 20, 2, 0, 2)]
+    ledger = spark.createDataFrame(rows, "src_account long, dst_account long, amount double, ts_s long, hop_depth long, is_fraud int, txn_id long")
+    people = spark.createDataFrame([(i, 1, "X", 1.0, 2.0, 30, 0) for i in (1, 2, 3)], "account_id long, bank_id long, city string, lat double, lon double, account_age_days long, is_mule_label int")
+    assert acct.account_features(ledger.mapInArrow(count, ledger.schema), people).count() == 3
+    assert seen.value == len(rows)
