@@ -59,9 +59,9 @@ def _(d):
 
 
 def _in_files(rows, parts):
-    """A stream of ``rows`` that comes in as many files as ``parts`` has conditions, and a call for each delivery."""
+    """A stream of the written ``rows`` that comes in as many files as ``parts`` has conditions, and a call for each delivery."""
     folder = f"{shared_folder(rows.sparkSession)}/streams/in-{uuid.uuid4().hex}"
-    rows, schema = cut_lineage(rows), rows.schema
+    schema = rows.schema
     stream = lambda: jobs.file_stream(rows.sparkSession, f"{folder}/*", schema)
     return stream, [lambda i=i, part=part: rows.filter(part).coalesce(1).write.parquet(f"{folder}/{i}") for i, part in enumerate(parts)]
 
@@ -70,10 +70,9 @@ def _ticks(d, registry=None):
     """Complaints filed before the busiest instant's window, in it and after it, each delivered as a file to a query started anew."""
     p = Picture.of(d)
     base, low = f"{shared_folder(d.spark)}/streams/tick-{uuid.uuid4().hex}", p.as_of_s - 1200
-    filed = d.complaints.select("ticket_id", "stolen_amount", "filed_s", "fraud_type", "state", "city")
-    stream, deliveries = _in_files(filed, [F.col("filed_s") < low, F.col("filed_s") == low, F.col("filed_s") > low])
+    stream, deliveries = _in_files(p.complaints, [F.col("filed_s") < low, F.col("filed_s") == low, F.col("filed_s") > low])
     store = PosteriorStore(d.spark, f"{base}/store", p.directory)
-    outs, attached = cut_lineage(acct.cashouts(p.attached).join(p.history, "complaint_id", "left_semi")), cut_lineage(p.attached)
+    outs, attached = cut_lineage(acct.cashouts(p.attached).join(p.history, "complaint_id", "left_semi")), p.attached
     for deliver in deliveries:
         deliver()
         sink = jobs.alert_sink(store, lambda: attached, d.accounts, lambda now: acct.decayed_prior(outs, store.membership, now), f"{base}/rows",
@@ -113,7 +112,7 @@ def _(d):
     at = F.unix_timestamp("ts")
     channel = F.element_at(F.array(*[F.lit(c) for c in ("email", "sms", "webhook", "fax")]), (F.col("user_id") % 4 + 1).cast("int"))
     rows = times.select(F.col("user_id").alias("delivery_id"), channel.alias("channel"), (F.col("event_type") == "purchase").alias("ok"), F.col("event_type").alias("error"), at.alias("at_s"))
-    stream, deliveries = _in_files(rows, [F.col("at_s") <= low, (F.col("at_s") > low) & (F.col("at_s") <= high), F.col("at_s") > high])
+    stream, deliveries = _in_files(cut_lineage(rows), [F.col("at_s") <= low, (F.col("at_s") > low) & (F.col("at_s") <= high), F.col("at_s") > high])
     base = f"{shared_folder(d.spark)}/streams/retry-{uuid.uuid4().hex}"
 
     def sink(batch, epoch):

@@ -172,3 +172,13 @@ def test_registry_hits_in_the_tick(spark, tmp_path):
     assert raised["hit"] - raised["miss"] == {"R-HIGH-REGISTRY"}
     jobs.alert_sink(store, lambda: chain, None, lambda now: prior, str(tmp_path / "none"), lambda batch: None)(posts, 0)
     assert not (tmp_path / "none").exists()
+
+
+def test_what_the_surface_reads_again_is_written(domain):
+    """Transfers, complaints and history behind the surface are tables, not views that every reader computes anew."""
+    from cashtrail.plans.place_queries import Picture
+
+    p = Picture(domain)
+    for table in (p.attached, p.complaints, p.history):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(step in plan for step in ("Window", "Join", "Aggregate"))
