@@ -107,3 +107,13 @@ def test_crew_prior_with_and_without_hubs(spark):
     for degree in (10**9, 6):
         got = {(r.account_id, r.atm_id): r.crew_prior for r in candidates.crew_prior(targets, e, history, hub_degree=degree).collect()}
         assert got == {k: v for k, v in want.items() if v}
+
+
+def test_rows_of_a_trace_come_after_the_join(spark):
+    """A trace joins bits with lists of complaints and only then makes a row per complaint and account."""
+    rows = [(i, i + 1, 1000 + i, 1) for i in range(6)]
+    moves = spark.createDataFrame(rows, "src_account long, dst_account long, complaint_id long, hop_depth long")
+    found = graph.trace_complaints(moves, max_depth=2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+    assert sorted(map(tuple, found.collect())) == sorted((1000 + i, i + k, k) for i in range(6) for k in range(3) if i + k <= 6)
