@@ -12,6 +12,8 @@ EDITS = 2                   # lines this many edits apart, or fewer, are one
 LEAST_CHARS = 24            # shorter lines are not looked at
 STAR_ROUNDS = 2
 BROADCAST_ROWS = 500_000    # numbers of eight bytes that every executor may hold
+GRAIN = 4                   # lengths are told apart in steps of this many characters where segments are cut; divides LEAST_CHARS
+NATIVE_CHARS = 1_000        # up to this length Spark's own distance is faster than the band, whose steps it takes once a character of both
 LETTERS = "aeiounrtshdl"    # counted per line to tell pairs apart before they are formed; any characters would do
 BLOCKS = 8                  # of a line's signatures, which leave two of them out
 SAMPLED = 12                # columns looked at before the whole band is run
@@ -25,35 +27,29 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", "line_no", F.xxhash64("line").alias("lid"), "line")
 
 
-def segment_keys(edits: int = EDITS) -> list[tuple[int, int, int, bool]]:
-    """(d, i, shift, own) of every index key (own) and probe key of a line.
+def segment_keys(size: str) -> list[str]:
+    """Keys of a line of n characters among the lines whose length is ``size`` or a little more.
 
-    A line of length l is cut into ``edits`` + 1 even segments. A line of length n asks for segment i of lengths n - d,
-    d = 0..edits, at the starts (moved by ``shift``) where the segment can stand if the edits before it and after it are few
-    enough on both sides. With d = 0 and no shift that is the line's own segment.
+    The first, second and last ``size`` div 3 characters, and the second ones a place later. Two edits leave one of these three
+    untouched. The first stands at the start of both lines then, the last at their end. With one edit in each of those, the second
+    is moved by the first edit alone: not at all, or by one place seen from one of the two lines.
     """
-    keys = []
-    for d in range(edits + 1):
-        for i in range(edits + 1):
-            for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                keys.append((d, i, shift, d == 0 and shift == 0))
-    return keys
-
-
-def _keyed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(k, lid, own): index keys (own) and probe keys of every line."""
-    asked = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift"), F.lit(own).alias("own")) for d, i, shift, own in segment_keys(edits)])
-    # four bytes a character, so that a segment is cut out without a walk from the start of the line
-    wide = lines.select("lid", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("u"))
-    rows = wide.select("lid", "n", "u", F.explode(asked).alias("q")).select("lid", "u", "q.*", (F.col("n") - F.col("q.d")).alias("size"))
-    parts = edits + 1
-    over = f"({parts} - size % {parts})"
-    rows = rows.selectExpr("lid", "own", "u", "size", "i", f"i * (size div {parts}) + greatest(0, i - {over}) + shift as start", f"(size div {parts}) + if(i >= {over}, 1, 0) as width")
-    return rows.selectExpr("xxhash64(size, i, substring(u, cast(4 * start + 1 as int), cast(4 * width as int))) as k", "lid", "own")
+    width = f"cast({size} div {EDITS + 1} as int)"
+    starts = ((0, "1"), (1, f"{width} + 1"), (1, f"{width} + 2"), (2, f"n - {width} + 1"))
+    return [f"xxhash64({size}, {i}, substring(line, {start}, {width}))" for i, start in starts]
+
+
+def _keyed(lines: DataFrame) -> DataFrame:
+    """(k, lid): segment keys of every line, by its length in steps of GRAIN and, if a shorter partner may lie there, by the step before."""
+    size = f"(n - n % {GRAIN})"
+    own, lower = segment_keys(size), segment_keys(f"({size} - {GRAIN})")
+    keys = f"if(n % {GRAIN} < {EDITS} and {size} > {LEAST_CHARS}, array({', '.join(own + lower)}), array({', '.join(own)}))"
+    return lines.select("lid", "line", F.length("line").alias("n")).select(F.explode(F.expr(keys)).alias("k"), "lid")
 
 
 def within_edits(a: str, b: str, edits: int = EDITS) -> Column:
-    """Whether two strings of ``LEAST_CHARS`` or more are at most ``edits`` apart, by a bit-parallel band along the diagonal.
+    """Whether two strings of ``LEAST_CHARS`` or more are at most ``edits`` apart: by Spark's bounded distance up to NATIVE_CHARS, beyond
+    by a bit-parallel band along the diagonal, whose work does not grow with the square of the length.
 
     The band of 2 * edits + 1 cells moves down one row per column; vertical differences are two bit sets, a column is a few bit operations.
     The distance is followed down the band's lower rim and, once that meets the last row, along this row.
@@ -77,7 +73,8 @@ def within_edits(a: str, b: str, edits: int = EDITS) -> Column:
     sample = f"size(filter(sequence(1, length({b}), greatest(1, length({b}) div {SAMPLED})), j -> instr({near}, substring({b}, j, 1)) = 0)) <= {edits}"
     # q holds the characters of both; binding it once keeps them from being split again in every step
     run = f"transform(array(struct(split({a}, '') as p, split({b}, '') as t)), q -> {run})[0]"
-    return F.expr(f"if(abs(length({a}) - length({b})) <= {edits}, if({sample}, {run} <= {edits}, false), false)")
+    exact = f"if(length({a}) <= {NATIVE_CHARS}, levenshtein({a}, {b}, {edits}) >= 0, {run} <= {edits})"
+    return F.expr(f"if(abs(length({a}) - length({b})) <= {edits}, if({sample}, {exact}, false), false)")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -91,29 +88,31 @@ def _signatures(texts: DataFrame) -> DataFrame:
     """(k, lid, own): hashes of a line without two of its BLOCKS even blocks, own ones and those of shorter or equal partners.
 
     Two edits touch at most two blocks of the shorter line; the blocks before the first stand where they stood, those after the second
-    are moved by the difference in length, those between by what the first edit moved them. So lines two edits apart
-    share a signature, and lines that share one agree everywhere but in two blocks.
+    are moved by the difference in length, those between by what the first edit moved them: by one or not at all, seen from the
+    longer line or, of lines of one length, from one of the two. Edits in one block leave it and a neighbour out, with nothing between.
+    So lines two edits apart share a signature, and lines that share one agree everywhere but in two blocks.
     """
     wide = texts.select("lid", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("u"))
     rows = wide.select("lid", "n", "u", F.explode(F.array(*[F.lit(d) for d in range(EDITS + 1)])).alias("d")).withColumn("size", F.col("n") - F.col("d"))
     full = f"({BLOCKS} - size % {BLOCKS})"
     cut = (f"xxhash64(i, substring(u, cast(4 * (i * (size div {BLOCKS}) + greatest(0, i - {full}) + m) + 1 as int), "
            f"cast(4 * ((size div {BLOCKS}) + if(i >= {full}, 1, 0)) as int)))")
-    # for every move m from -1 to EDITS the exclusive-or of the first j block hashes, j = 0..BLOCKS
-    sums = (f"transform(sequence(-1, {EDITS}), m -> aggregate(sequence(0, {BLOCKS - 1}), array(0L), (a, i) -> concat(a, array(a[size(a) - 1] ^ {cut}))))")
-    moves = {0: (-1, 0, 1), 1: (0, 1), 2: (0, 1, 2)}
+    # for every move m from 0 to EDITS the exclusive-or of the first j block hashes, j = 0..BLOCKS
+    sums = (f"transform(sequence(0, {EDITS}), m -> aggregate(sequence(0, {BLOCKS - 1}), array(0L), (a, i) -> concat(a, array(a[size(a) - 1] ^ {cut}))))")
+    moves = {0: (0, 1), 1: (0, 1), 2: (1,)}
     picks = [F.struct(F.lit(d).alias("pd"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(m).alias("m"))
-             for d, ms in moves.items() for x in range(BLOCKS) for y in range(x + 1, BLOCKS) for m in ms]
+             for d, ms in moves.items() for x in range(BLOCKS) for y in range(x + 1, BLOCKS) for m in (ms if y > x + 1 else (0,))]
     rows = rows.select("lid", "d", "size", F.expr(sums.replace("size(a)", "cardinality(a)")).alias("p"))
     chosen = F.explode(F.filter(F.array(*picks), lambda q: q["pd"] == F.col("d"))).alias("q")
     rows = rows.select("lid", "d", "size", "p", chosen).select("lid", "d", "size", "p", "q.x", "q.y", "q.m")
-    key = f"xxhash64(size, x, y, p[1][x], p[m + 1][y] ^ p[m + 1][x + 1], p[d + 1][{BLOCKS}] ^ p[d + 1][y + 1])"
+    key = f"xxhash64(size, x, y, p[0][x], p[m][y] ^ p[m][x + 1], p[d][{BLOCKS}] ^ p[d][y + 1])"
     return rows.select(F.expr(key).alias("k"), "lid", ((F.col("d") == 0) & (F.col("m") == 0)).alias("own"))
 
 
 def _shared(keyed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Rows of the keys under which a line's own entry meets another line."""
-    shared = (keyed.groupBy("k").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.max("own").alias("indexed"))
+    """Rows of the keys under which two lines meet, one of them by its own entry where these are marked."""
+    indexed = F.max("own") if "own" in keyed.columns else F.lit(True)
+    shared = (keyed.groupBy("k").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), indexed.alias("indexed"))
               .filter("low <> high and indexed").select("k"))
     return keyed.join(_few(scratch.keep(shared, f"{name}-keys")), "k").distinct()
 
@@ -125,7 +124,7 @@ def _few(table: DataFrame) -> DataFrame:
 
 def _letters(texts: DataFrame) -> DataFrame:
     """(lid, f): how often each of LETTERS stands in a line. An edit changes these counts by two in all at most."""
-    count = lambda c: F.length("line") - F.length(F.translate("line", c, ""))
+    count = lambda c: F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit("")))
     return texts.select("lid", F.array(*[count(c) for c in LETTERS]).alias("f"))
 
 

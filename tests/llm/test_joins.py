@@ -237,3 +237,53 @@ def test_banded_distance(spark, seed):
     df = spark.createDataFrame(rows, "a string, b string").withColumn("near", line_join.within_edits("a", "b"))
     for r in df.collect():
         assert r.near == (edits(r.a, r.b) <= 2), r
+
+
+def test_keys_of_lines_two_edits_apart(spark):
+    rng, rows = random.Random(23), []
+    for case in range(400):
+        a = [rng.choice("abé漢") for _ in range(rng.randrange(24, 60))]
+        b = list(a)
+        for _ in range(2):
+            # also at the cuts: an insertion behind the last character, at the first one, between segments
+            what, at = rng.randrange(3), rng.choice([0, len(b) // 3, 2 * len(b) // 3, len(b) - 1, rng.randrange(len(b))])
+            b[at:at + (what != 0)] = [] if what == 1 else [rng.choice("ab\U0001f600")]
+            if what == 0 and rng.random() < 0.2:
+                b.append(b.pop(at))
+        a, b = "".join(a), "".join(b)
+        if a != b and len(b) >= line_join.LEAST_CHARS and edits(a, b) <= 2:
+            rows += [(2 * case, a), (2 * case + 1, b)]
+    assert len(rows) > 500
+    lines = spark.createDataFrame(rows, "lid long, line string")
+    segments, signatures = {}, {}
+    for r in line_join._keyed(lines).collect():
+        segments.setdefault(r.lid, []).append(r.k)
+    for r in line_join._signatures(lines).collect():
+        signatures.setdefault(r.lid, []).append((r.k, r.own))
+    for lid, _ in rows[::2]:
+        assert set(segments[lid]) & set(segments[lid + 1])
+        own = [{k for k, mine in signatures[x] if mine} for x in (lid, lid + 1)]
+        every = [{k for k, _ in signatures[x]} for x in (lid, lid + 1)]
+        assert own[0] & every[1] or own[1] & every[0]
+
+
+def test_number_of_keys_of_a_line(spark):
+    lines = spark.range(24, 224).selectExpr("id as lid", "substring(repeat('The quick brown fox. ', 12), 1, cast(id as int)) as line")
+    # 12 and 224 a line when every length asked for its own segments and every move was made from both lines
+    assert line_join._keyed(lines).count() <= 6 * 200
+    assert line_join._signatures(lines).count() <= 126 * 200
+
+
+def test_distance_of_long_and_wide_lines(spark):
+    rng, rows = random.Random(4), []
+    for n in (24, 300, line_join.NATIVE_CHARS - 1, line_join.NATIVE_CHARS, line_join.NATIVE_CHARS + 1):
+        for k in range(4):
+            a = [rng.choice("aé漢\U0001f600") for _ in range(n)]
+            b = list(a)
+            for at in rng.sample(range(n), k):
+                b[at] = "z"
+            rows.append(("".join(a), "".join(b), k <= 2))
+            rows.append(("".join(a), "x" + "".join(b)[:-1] if k == 0 else "".join(b) + "yyy"[:k], k == 0 or 2 * k <= 2))
+    df = spark.createDataFrame(rows, "a string, b string, want boolean")
+    got = df.withColumn("there", line_join.within_edits("a", "b")).withColumn("back", line_join.within_edits("b", "a")).collect()
+    assert [r.there for r in got] == [r.want for r in got] == [r.back for r in got]
