@@ -12,7 +12,8 @@ from . import accounts as acct
 from . import spatial
 from .distribution import value_at_rank
 from .graph import CREW_HOPS, trace, undirected
-from .nearness import within_three
+from .nearness import crew_sums, within_three
+from .packed import ACCOUNTS_A_TASK, Accounts, Packed
 
 HISTORY_FRACTION = 0.50
 DENSITY_KM, HOTSPOT_KM = 3.0, 5.0
@@ -57,19 +58,30 @@ def crew_prior(targets: DataFrame, edges: DataFrame, past: DataFrame, hops: int
                hub_degree: int = HUB_DEGREE) -> DataFrame:
     """Past cash-outs at a candidate machine by accounts within three transfers of the terminal account.
 
-    ``targets``: (account_id, atm_id). Asking "is this past user of that machine near this
-    account" keeps the work to candidate machines; no neighbourhood is ever expanded in full.
-    Accounts next to a hub (a third of all transfers may touch one account) take the hub's
-    summed surroundings in one step and only the rest is tested pair by pair (``within_three``). The
-    number of hubs treated so only changes speed, never the result.
+    ``targets``: (account_id, atm_id); ``edges`` and ``past``: written tables, which are read several times. Asking "is this past user of that
+    machine near this account" keeps the work to candidate machines. Tasks hold the links as lists and sum the crews of their accounts one after
+    the other (``crew_sums``). Accounts next to a hub (a third of all transfers may touch one account) take the hub's
+    summed surroundings in one step and only the rest is tested pair by pair (``within_three``); this is also the way for more accounts than a
+    task may mark. The number of hubs treated so only changes speed, never the result.
     """
     if hops != 3:
         raise ValueError("the crew is defined by three transfers")
+    ends = edges.select(F.col("src_account").alias("account_id")).union(edges.select("dst_account"))
+    accounts = Accounts(ends.union(targets.select("account_id")).union(past.select("account_id")), edges.agg(F.count(F.lit(1))).head()[0])
+    if accounts.size <= ACCOUNTS_A_TASK:
+        pairs = accounts.number(edges.select("src_account", "dst_account").filter("src_account <> dst_account"), t="src_account", s="dst_account")
+        packed = Packed(pairs.select(F.explode(F.array(F.struct("t", "s"), F.struct(F.col("s").alias("t"), F.col("t").alias("s")))).alias("p")).select("p.*"))
+        hubs = packed.degrees().filter(F.col("n") >= hub_degree)
+        hubs = accounts.named(hubs.withColumnRenamed("t", "account")).select(F.col("account_id").alias("hub"), F.col("n").alias("degree"))
+    else:
+        packed = None
+        hubs = undirected(edges).groupBy(F.col("a").alias("hub")).agg(F.count(F.lit(1)).alias("degree")).filter(F.col("degree") >= hub_degree)
+    hub_ids = [r.hub for r in hubs.orderBy(F.desc("degree"), "hub").limit(MAX_HUBS).collect()]  # MAX_HUBS rows at most
+    if packed and not hub_ids:
+        return _summed_crews(targets, past, packed, accounts)
+
     targets = targets.select("account_id", "atm_id").distinct()
     links = cut_lineage(undirected(edges))
-    hubs = (links.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).filter(F.col("degree") >= hub_degree)
-            .orderBy(F.desc("degree"), "a").limit(MAX_HUBS).select(F.col("a").alias("hub")))
-    hub_ids = [r.hub for r in hubs.collect()]  # MAX_HUBS rows at most
     if not hub_ids:
         return _near_pairs(targets.join(past.select(F.col("account_id").alias("b"), "atm_id", "n"), "atm_id"), links, None)
 
@@ -91,6 +103,25 @@ def crew_prior(targets: DataFrame, edges: DataFrame, past: DataFrame, hops: int
             .agg(F.sum("n").alias("crew_prior")))
 
 
+def _summed_crews(targets: DataFrame, past: DataFrame, links: Packed, accounts: Accounts) -> DataFrame:
+    """``crew_prior`` where no account is a hub."""
+    whole = isinstance(past.schema["atm_id"].dataType, T.IntegralType) and isinstance(targets.schema["atm_id"].dataType, T.IntegralType)
+    if whole:
+        def numbered(df):
+            return accounts.number(df, account="account_id").withColumn("machine", F.col("atm_id").cast("long"))
+    else:
+        machines = Accounts(past.select(F.col("atm_id").alias("account_id")), 0)
+
+        def numbered(df):
+            return machines.number(accounts.number(df, account="account_id"), machine="atm_id").withColumn("machine", F.col("machine").cast("long"))
+
+    asked, used = (numbered(df).filter("account is not null and machine is not null") for df in (targets.select("account_id", "atm_id"), past.select("account_id", "atm_id", "n")))
+    sums = cut_lineage(accounts.named(crew_sums(asked, used, links, accounts)))
+    if whole:
+        return sums.select("account_id", F.col("machine").cast(past.schema["atm_id"].dataType).alias("atm_id"), "crew_prior")
+    return machines.named(sums.withColumnRenamed("account_id", "who").withColumnRenamed("machine", "account")).select(F.col("who").alias("account_id"), F.col("account_id").alias("atm_id"), "crew_prior")
+
+
 def _near_pairs(asked: DataFrame, links: DataFrame, reach: DataFrame | None) -> DataFrame:
     """Sum of n over the (account, past user) pairs that are at most three links apart."""
     asked = cut_lineage(asked.select(F.col("account_id").alias("a"), "b", "atm_id", "n"))

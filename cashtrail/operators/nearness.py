@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
+from .packed import Accounts, Lists, Packed, spans, whole_in_each
 
 #: links and asked pairs that one task of the grid holds, about
 LINKS_A_TASK, PAIRS_A_TASK = 2_000_000, 1_000_000
@@ -128,3 +129,101 @@ def within_three(pairs: DataFrame, links: DataFrame) -> DataFrame:
     for c in "ab":
         near = near.join(ids.select(F.col("no").alias(c), F.col("id").alias(f"id_{c}")), c)
     return near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+#: asked rows of one task that sums crews, about
+ASKED_A_TASK = 4_000_000
+
+
+def _sum_crews(n: int, before: dict[int, int], size: int):
+    """The work of a task of ``crew_sums``."""
+    def work(batches):
+        lists, kept = Lists(n, before, size), []
+        for batch in batches:
+            listed = batch.column("part").is_valid()
+            lists.take(batch.filter(listed))
+            rows = batch.filter(pa.compute.invert(listed))
+            if rows.num_rows:
+                kept.append([rows.column("account").to_numpy(), rows.column("machine").to_numpy(), rows.column("n").fill_null(0).to_numpy(), rows.column("n").is_valid().to_numpy(zero_copy_only=False)])
+        lists.close()
+        if not kept:
+            return
+        account, machine, times, past = (np.concatenate([k[i] for k in kept]) for i in range(4))
+        kept.clear()
+        order = np.lexsort((account[past], machine[past]))
+        users, weight, at = account[past][order], times[past][order], machine[past][order]
+        machines, first = np.unique(at, return_index=True)
+        first = np.append(first, len(at))
+        asks = np.unique(np.stack([account[~past].astype(np.int64), machine[~past].astype(np.int64)], axis=1), axis=0)
+        del account, machine, times, past, order, at
+        if not len(asks) or not len(machines):
+            return
+        where, there = _find(machines, asks[:, 1])
+        asks, where = asks[there], where[there]
+        people, begin = np.unique(asks[:, 0], return_index=True)
+        begin = np.append(begin, len(asks))
+        s, start, degree = lists.s, lists.start, lists.degree
+        near, out = np.zeros(size + 1, bool), []
+
+        def ends(nodes):
+            """Neighbours of the nodes, in slices of about FOLLOWED links, and how far the nodes are done."""
+            total, low = np.cumsum(degree[nodes]), 0
+            while low < len(nodes):
+                high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + FOLLOWED, "right")))
+                yield low, high, s[spans(start[nodes[low:high]], degree[nodes[low:high]])]
+                low = high
+
+        for i, a in enumerate(people.tolist()):
+            mine = where[begin[i]:begin[i + 1]]
+            size_of = first[mine + 1] - first[mine]
+            at = spans(first[mine], size_of)
+            b = users[at]
+            around = s[start[a]:start[a + 1]]
+            touched = [np.append(around, a)]
+            near[touched[0]] = True
+            for _, _, z in ends(around):
+                near[z] = True
+                touched.append(z)
+            found = near[b]
+            open_ = np.flatnonzero(~found)
+            links = int(degree[b[open_]].sum())
+            if links > 4 * len(s):
+                # many past users: the third step is taken once, and each user looked up
+                second = np.unique(np.concatenate(touched))
+                for _, _, z in ends(second):
+                    near[z] = True
+                found = near[b]
+                near[:] = False
+            else:
+                for low, high, z in ends(b[open_]):
+                    hit, sizes = near[z], degree[b[open_[low:high]]]
+                    some = np.flatnonzero(sizes)
+                    if len(some):
+                        found[open_[low:high][some]] = np.logical_or.reduceat(hit, (np.cumsum(sizes) - sizes)[some])
+                for z in touched:
+                    near[z] = False
+            lead = np.cumsum(size_of) - size_of
+            got, hits = np.add.reduceat(np.where(found, weight[at], 0), lead), np.flatnonzero(np.logical_or.reduceat(found, lead))
+            if len(hits):
+                out.append((np.full(len(hits), a, np.int32), asks[begin[i]:begin[i + 1], 1][hits], got[hits]))
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], ["account", "machine", "crew_prior"])
+                out.clear()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], ["account", "machine", "crew_prior"])
+
+    return work
+
+
+def crew_sums(targets: DataFrame, past: DataFrame, links: Packed, accounts: Accounts) -> DataFrame:
+    """(account_id, atm_id, crew_prior): per row of ``targets`` the sum of n over the past users of the machine at most three links from the account.
+
+    ``targets``: (account, machine) and ``past``: (account, machine, n) by number, ``links``: both ways. A task takes a share of the accounts and reads all
+    links and past users; marks of the two-link surroundings of one account are open at a time, so neither pairs nor surroundings are written.
+    """
+    tasks = targets.sparkSession.sparkContext.defaultParallelism
+    n_asked = targets.agg(F.count(F.lit(1))).head()[0]
+    tasks = max(min(2 * tasks, math.ceil(n_asked / 100_000)), math.ceil(n_asked / ASKED_A_TASK), 1)
+    share = F.pmod(F.xxhash64("account"), F.lit(tasks)).cast("int")
+    own = targets.select(share.alias("task"), "account", "machine", F.lit(None).cast("long").alias("n")).unionByName(past.select(F.lit(-1).alias("task"), "account", "machine", F.col("n").cast("long")))
+    return whole_in_each(tasks, links, cut_lineage(own, "task"), _sum_crews(links.n, links.before, accounts.size), "account int, machine long, crew_prior long")
