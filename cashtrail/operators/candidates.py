@@ -236,14 +236,14 @@ def terminal_rows(attached: DataFrame, complaints: DataFrame, accounts: DataFram
 
 def ranking_set(attached: DataFrame, ledger: DataFrame, complaints: DataFrame, accounts: DataFrame, directory: DataFrame,
                 features: DataFrame, risk: DataFrame | None = None, with_crew: bool = True) -> DataFrame:
-    """One row per (terminal transfer outside history, candidate) with context, candidate columns and label."""
-    history = history_complaints(complaints)
+    """One row per (terminal transfer outside history, candidate) with context, candidate columns and label. ``attached`` and ``ledger``: written tables."""
+    history = cut_lineage(history_complaints(complaints))
     atm_prior, past = cashout_priors(attached, history, directory)
     rows = (terminal_rows(attached, complaints, accounts).join(history, "complaint_id", "left_anti")
             .join(directory.select(F.col("atm_id").alias("cashout_atm_id")), "cashout_atm_id", "left_semi"))
     people = rows.select(F.col("dst_account").alias("account_id"), "bank_id", "lat", "lon").distinct()
-    cands = candidate_sets(people, directory)
-    crew = crew_prior(cands, ledger, past) if with_crew else None
+    cands = cut_lineage(candidate_sets(people, directory))
+    crew = crew_prior(cands, ledger, cut_lineage(past)) if with_crew else None
     block = candidate_columns(cands, directory, atm_prior, crew).drop("lat", "lon", "bank_id", "plat", "plon")
     behaviour = features.select(F.col("account_id").alias("dst_account"), "hop_depth_max", *BEHAVIOUR) if "hop_depth_max" in features.columns else \
         features.select(F.col("account_id").alias("dst_account"), F.col("hop_depth").alias("hop_depth_max"), *BEHAVIOUR)
@@ -260,9 +260,15 @@ def ranking_set(attached: DataFrame, ledger: DataFrame, complaints: DataFrame, a
         "stolen_amount", F.coalesce("hop_depth_max", F.lit(DEFAULT_HOP)).alias("hop_depth"), "velocity", "hour_of_day", "day_of_week",
         F.col("amount").alias("amount_after_split"), F.col("risk").alias("mule_probability"), *BEHAVIOUR,
         F.log1p("median_gap_s").alias("log_median_gap"), F.log1p("min_gap_s").alias("log_min_gap"), F.log1p("span_s").alias("log_span"))
+    # told from the transfers before they meet their candidates: the rows of the result are not shuffled by transfer
+    context = cut_lineage(context)
+    reached = (context.select("txn_id", "account_id", F.col("cashout_atm_id").alias("atm_id"))
+               .join(cands.select("account_id", "atm_id"), ["account_id", "atm_id"], "left_semi").select(F.col("txn_id").alias("hit")).distinct().withColumn("is_hit", F.lit(1)))
+    context = (context.join(reached, F.col("txn_id").eqNullSafe(F.col("hit")), "left")
+               .withColumn("truth_in_candidates", F.coalesce("is_hit", F.lit(0))).drop("hit", "is_hit"))
     chosen = (F.col("atm_id") == F.col("cashout_atm_id")).cast("int")
-    return (context.join(block, "account_id").withColumn("label", chosen)
-            .withColumn("truth_in_candidates", F.max("label").over(Window.partitionBy("txn_id"))))
+    rows = context.join(block, "account_id").withColumn("label", chosen)
+    return rows.select(*[c for c in rows.columns if c != "truth_in_candidates"], "truth_in_candidates")
 
 
 BEHAVIOUR = ("median_dwell_seconds", "account_age_days", "passthrough_ratio", "burst_out_5min", "night_txn_ratio")

@@ -471,8 +471,8 @@ def _(d):
 
 
 def _ranking(d):
-    attached = tables.attached_only(d.ledger)
-    return candidates.ranking_set(attached, d.ledger, d.complaints, d.accounts, cut_lineage(d.cashpoints), _features(d))
+    ledger = cut_lineage(d.ledger)
+    return candidates.ranking_set(tables.attached_only(ledger), ledger, d.complaints, d.accounts, cut_lineage(d.cashpoints), _features(d, ledger.select(*acct.MOVED)))
 
 
 @query("ranking_set")
